@@ -27,7 +27,9 @@ def _cols(keys: Sequence[str | Column]) -> list[Column]:
 
 
 def hash_hex(keys: Sequence[str | Column], salt) -> Column:
-    return F.md5(F.concat_ws(":", *_cols(keys), F.lit(str(salt))))
+    """``salt`` is a scalar, or a Column (e.g. a per-row seed of an experiment grid)."""
+    s = salt.cast("string") if isinstance(salt, Column) else F.lit(str(salt))
+    return F.md5(F.concat_ws(":", *_cols(keys), s))
 
 
 def uniform_from_hex(h: Column, start: int = 1) -> Column:
@@ -51,9 +53,10 @@ def hash_normal(keys: Sequence[str | Column], salt) -> Column:
 
 # ---- SQL twins (ANSI-ish, DuckDB dialect) used by the oracle queries -----------------------
 
-def sql_hash_hex(keys: Sequence[str], salt) -> str:
+def sql_hash_hex(keys: Sequence[str], salt, salt_is_column: bool = False) -> str:
     parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"md5(concat_ws(':', {parts}, '{salt}'))"
+    s = f"CAST({salt} AS VARCHAR)" if salt_is_column else f"'{salt}'"
+    return f"md5(concat_ws(':', {parts}, {s}))"
 
 
 def sql_uniform_from_hex(h: str, start: int = 1) -> str:

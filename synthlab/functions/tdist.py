@@ -144,11 +144,11 @@ def sql_t_abs_prob(t: str, nu: str) -> str:
     th = f"atan(abs({t}) / sqrt(({nu})::DOUBLE))"
     c2 = f"(cos({th}) * cos({th}))"
     # c_k = (2k)! / (4^k (k!)^2)
-    even_sum = (f"coalesce(list_sum(list_transform(range(1, (({nu}) - 2) // 2 + 1), lambda k: "
-                f"exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4.0::DOUBLE)) * pow({c2}, k))), 0.0::DOUBLE)")
+    even_sum = (f"coalesce(list_sum(list_transform(range(1, (({nu}) - 2) // 2 + 1), lambda tdj: "
+                f"exp(lgamma(2 * tdj + 1) - 2 * lgamma(tdj + 1) - tdj * ln(4.0::DOUBLE)) * pow({c2}, tdj))), 0.0::DOUBLE)")
     # d_k = 4^k (k!)^2 / (2k+1)!
-    odd_sum = (f"coalesce(list_sum(list_transform(range(1, (({nu}) - 3) // 2 + 1), lambda k: "
-               f"exp(k * ln(4.0::DOUBLE) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow({c2}, k))), 0.0::DOUBLE)")
+    odd_sum = (f"coalesce(list_sum(list_transform(range(1, (({nu}) - 3) // 2 + 1), lambda tdj: "
+               f"exp(tdj * ln(4.0::DOUBLE) + 2 * lgamma(tdj + 1) - lgamma(2 * tdj + 2)) * pow({c2}, tdj))), 0.0::DOUBLE)")
     even = f"(sin({th}) * (1.0::DOUBLE + {even_sum}))"
     odd = (f"((2.0::DOUBLE / pi()) * ({th} + CASE WHEN ({nu}) >= 3 THEN sin({th}) * cos({th}) * "
            f"(1.0::DOUBLE + {odd_sum}) ELSE 0.0::DOUBLE END))")

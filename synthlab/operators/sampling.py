@@ -214,14 +214,19 @@ def n_for_alpha(n_real: Column, alpha: Column, rounding: str = "floor") -> Colum
     return (F.floor(x) if rounding == "floor" else F.bround(x, 0)).cast("long")
 
 
-def nested_prefix(syn: DataFrame, alphas: DataFrame, n_real: int, rank_col: str = "syn_rank",
+def nested_prefix(syn: DataFrame, alphas: DataFrame, n_real, rank_col: str = "syn_rank",
                   rounding: str = "floor") -> DataFrame:
     """Rows 1..n_alpha of one ranked synthetic table for every alpha at once.
 
-    ``alphas`` is a parameter table (alpha DOUBLE), a handful of rows: broadcast, and the
-    non-equi condition becomes a broadcast nested-loop join that never shuffles ``syn``."""
-    a = alphas.select(F.col("alpha").cast("double").alias("alpha"),
-                      n_for_alpha(F.lit(n_real), F.col("alpha"), rounding).alias("n_alpha"))
+    ``alphas`` is a parameter table (alpha DOUBLE), a handful of rows; ``n_real`` an int or a
+    one-row DataFrame ``(n_real)``.  The (alpha, n_alpha) table is broadcast and the non-equi
+    condition runs as a broadcast nested-loop join that never shuffles ``syn``."""
+    a = alphas.select(F.col("alpha").cast("double").alias("alpha"))
+    if isinstance(n_real, DataFrame):
+        a = a.crossJoin(n_real.select(F.col("n_real").cast("long").alias("_nr")))
+    else:
+        a = a.withColumn("_nr", F.lit(int(n_real)).cast("long"))
+    a = a.select("alpha", n_for_alpha(F.col("_nr"), F.col("alpha"), rounding).alias("n_alpha"))
     return syn.join(F.broadcast(a), F.col(rank_col) <= F.col("n_alpha"), "inner")
 
 
