@@ -129,3 +129,62 @@ def embeddings_wide(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFra
 def sql_embeddings_wide(dims: int = 64) -> str:
     cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(dims))
     return f"SELECT vec_id, {cols}, CAST(label = 0 AS INTEGER) AS target FROM embeddings"
+
+
+# ---- TSTR arm: synthetic-only training (condition synthetic_only), metric = 12.5 * mean tax ----------
+
+def tstr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "F")
+    return (li.select(F.col("l_returnflag").alias("dataset"), _band(F.col("l_linenumber"), N_BANDS).cast("bigint").alias("n"),
+                      F.month("l_shipdate").cast("bigint").alias("seed"), "l_tax")
+            .groupBy("dataset", "n", "seed").agg((F.avg("l_tax") * 12.5).alias("auc"))
+            .select("dataset", "n", "seed", F.lit("method").alias("method"), F.lit(None).cast("double").alias("alpha"),
+                    "auc", F.lit("synthetic_only").alias("condition")))
+
+
+SQL_TSTR = (
+    "SELECT l_returnflag AS dataset, " + _sql_band("l_linenumber", N_BANDS, "BIGINT") + " AS n, "
+    "CAST(month(l_shipdate) AS BIGINT) AS seed, 'method' AS method, CAST(NULL AS DOUBLE) AS alpha, "
+    "avg(l_tax) * 12.5 AS auc, 'synthetic_only' AS condition FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3")
+
+
+def results_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results_long(spark, sf_dir).unionByName(tstr_results(spark, sf_dir))
+
+
+SQL_RESULTS_ALL = f"SELECT dataset, n, seed, method, alpha, auc, condition FROM ({SQL_RESULTS_LONG}) UNION ALL {SQL_TSTR}"
+
+
+# ---- retry log: planted failed attempts (W6 A30 J6) -------------------------------------------------------
+# u < 0.10: a failed attempt then a success; 0.10 <= u < 0.15: only a failed attempt
+
+def _cell_u():
+    from synthlab.functions.keys import hash_uniform
+    return hash_uniform([F.col("dataset"), F.col("n"), F.col("seed"), F.col("method"),
+                         F.coalesce((F.col("alpha") * 10).cast("bigint"), F.lit(-1).cast("bigint"))], "retry")
+
+
+def retry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results_long(spark, sf_dir).withColumn("_u", _cell_u())
+    cols = ["dataset", "n", "seed", "method", "alpha"]
+    failed = r.filter(F.col("_u") < 0.15).select(*cols, F.lit(1).cast("bigint").alias("attempt"),
+                                                 F.lit(None).cast("double").alias("auc"), F.lit("fit failed").alias("error"))
+    retried = r.filter(F.col("_u") < 0.10).select(*cols, F.lit(2).cast("bigint").alias("attempt"), "auc",
+                                                  F.lit(None).cast("string").alias("error"))
+    clean = r.filter(F.col("_u") >= 0.15).select(*cols, F.lit(1).cast("bigint").alias("attempt"), "auc",
+                                                 F.lit(None).cast("string").alias("error"))
+    return failed.unionByName(retried).unionByName(clean)
+
+
+def _sql_cell_u() -> str:
+    from synthlab.functions.keys import sql_uniform_from_hex
+    h = ("md5(concat_ws(':', CAST(dataset AS VARCHAR), CAST(n AS VARCHAR), CAST(seed AS VARCHAR), CAST(method AS VARCHAR), "
+         "CAST(coalesce(CAST(alpha * 10 AS BIGINT), -1) AS VARCHAR), 'retry'))")
+    return sql_uniform_from_hex(h)
+
+
+SQL_RETRY_LOG = f"""SELECT dataset, n, seed, method, alpha, attempt, auc, error FROM (
+  WITH r AS (SELECT *, {_sql_cell_u()} AS u FROM ({SQL_RESULTS_LONG}))
+  SELECT dataset, n, seed, method, alpha, CAST(1 AS BIGINT) AS attempt, CAST(NULL AS DOUBLE) AS auc, 'fit failed' AS error FROM r WHERE u < 0.15
+  UNION ALL SELECT dataset, n, seed, method, alpha, CAST(2 AS BIGINT), auc, CAST(NULL AS VARCHAR) FROM r WHERE u < 0.10
+  UNION ALL SELECT dataset, n, seed, method, alpha, CAST(1 AS BIGINT), auc, CAST(NULL AS VARCHAR) FROM r WHERE u >= 0.15)"""

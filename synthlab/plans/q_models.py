@@ -1 +1,91 @@
-"""placeholder"""
+"""Registered queries: model metrics (W3 W4 M8 M9 F9 F10) and MLlib-backed runs (M1-M7, E*)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from synthlab.functions.exprs import r6
+from synthlab.operators import metrics as M
+from synthlab.plans.registry import register
+from synthlab.sources.tables import load
+
+# scored stand-in: cell = line status, score = discount (11 distinct values: heavy ties),
+# label = returned (R)
+SQL_SCORED = ("SELECT l_linestatus AS cell, l_discount AS score, CAST(l_returnflag = 'R' AS INTEGER) AS y, "
+              "l_extendedprice, l_quantity FROM lineitem")
+
+
+def _scored(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_linestatus").alias("cell"), F.col("l_discount").alias("score"),
+                     (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_extendedprice", "l_quantity")
+
+
+# independent oracle: mid-rank Mann-Whitney over raw rows
+@register("roc_auc", f"""WITH s AS ({SQL_SCORED}),
+r AS (SELECT cell, y, rank() OVER (PARTITION BY cell ORDER BY score)
+             + (count(*) OVER (PARTITION BY cell, score) - 1) / 2.0::DOUBLE AS mr FROM s)
+SELECT cell, round((sum(CASE WHEN y = 1 THEN mr ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE)
+                   / (sum(y) * (count(*) - sum(y))), 6) AS auc_roc,
+       CAST(sum(y) AS BIGINT) AS n_pos, CAST(count(*) - sum(y) AS BIGINT) AS n_neg FROM r GROUP BY cell""")
+def q_auc(spark, sf_dir):
+    res = M.auc_ap(_scored(spark, sf_dir), "score", "y", ["cell"])
+    return res.select("cell", r6("auc_roc").alias("auc_roc"), "n_pos", "n_neg")
+
+
+# oracle: step sum over thresholds in descending order, ties grouped
+@register("avg_precision", f"""WITH s AS ({SQL_SCORED}),
+g AS (SELECT cell, score, sum(y) AS pos, count(*) AS cnt FROM s GROUP BY cell, score),
+c AS (SELECT cell, score, pos, sum(pos) OVER (PARTITION BY cell ORDER BY score DESC) AS tp,
+             sum(cnt) OVER (PARTITION BY cell ORDER BY score DESC) AS k,
+             sum(pos) OVER (PARTITION BY cell) AS p_all FROM g)
+SELECT cell, round(sum(pos / p_all::DOUBLE * (tp / k::DOUBLE)), 6) AS avg_precision FROM c GROUP BY cell""")
+def q_ap(spark, sf_dir):
+    res = M.auc_ap(_scored(spark, sf_dir), "score", "y", ["cell"])
+    return res.select("cell", r6("avg_precision").alias("avg_precision"))
+
+
+# prediction = score > 0.5 after rescaling discount to [0, 1] (x10)
+@register("f1_minority", f"""WITH s AS ({SQL_SCORED}),
+p AS (SELECT cell, y, CAST(score * 10 > 0.5::DOUBLE AS INTEGER) AS pred FROM s),
+g AS (SELECT cell, sum(pred * y) AS tp, sum(pred * (1 - y)) AS fp, sum((1 - pred) * y) AS fn FROM p GROUP BY cell)
+SELECT cell, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1_minority,
+       CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn FROM g""")
+def q_f1(spark, sf_dir):
+    s = _scored(spark, sf_dir).withColumn("score", F.col("score") * 10)
+    return M.f1_minority(s, "score", "y", ["cell"]).select(
+        "cell", r6("f1_minority").alias("f1_minority"), "tp", "fp", "fn")
+
+
+# regression stand-in: predict extended price from quantity * mean unit price of the cell
+@register("mape_r2", f"""WITH s AS ({SQL_SCORED}),
+u AS (SELECT cell, sum(l_extendedprice) / sum(l_quantity) AS up FROM s GROUP BY cell),
+p AS (SELECT s.cell, s.l_extendedprice AS y, s.l_quantity * u.up AS yhat FROM s JOIN u ON s.cell = u.cell)
+SELECT cell, round(avg(abs(y - yhat) / greatest(abs(y), {M.EPS!r}::DOUBLE)), 6) AS mape,
+       round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), 6) AS r2 FROM p GROUP BY cell""")
+def q_mape(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    u = s.groupBy("cell").agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("up"))
+    p = s.join(u, "cell").select("cell", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * F.col("up")).alias("yhat"))
+    return M.regression_metrics(p, "y", "yhat", ["cell"]).select("cell", r6("mape").alias("mape"), r6("r2").alias("r2"))
+
+
+# best-F1 threshold over distinct scores (predict score >= t)
+@register("best_f1_threshold", f"""WITH s AS ({SQL_SCORED}),
+g AS (SELECT cell, score, sum(y) AS pos, count(*) - sum(y) AS neg FROM s GROUP BY cell, score),
+c AS (SELECT cell, score, sum(pos) OVER (PARTITION BY cell ORDER BY score DESC) AS tp,
+             sum(neg) OVER (PARTITION BY cell ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY cell) AS pa FROM g),
+f AS (SELECT cell, score, 2.0::DOUBLE * tp / (tp + pa + fp) AS f1 FROM c)
+SELECT cell, round(arg_max(score, (f1, score)), 6) AS threshold, round(max(f1), 6) AS best_f1 FROM f GROUP BY cell""")
+def q_best_f1(spark, sf_dir):
+    res = M.best_f1_threshold(_scored(spark, sf_dir), "score", "y", ["cell"])
+    return res.select("cell", r6("threshold").alias("threshold"), r6("best_f1").alias("best_f1"))
+
+
+# calibration bins of the rescaled score
+@register("calibration_bins", f"""WITH s AS ({SQL_SCORED})
+SELECT cell, CAST(least(floor(score * 10 * 10), 9) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n,
+       round(avg(score * 10), 6) AS mean_score, round(avg(y::DOUBLE), 6) AS rate FROM s GROUP BY ALL""")
+def q_calib(spark, sf_dir):
+    s = _scored(spark, sf_dir).withColumn("score", F.col("score") * 10)
+    res = M.calibration_bins(s, "score", "y", 10, ["cell"])
+    return res.select("cell", "bin", F.col("n").cast("long"), r6("mean_score").alias("mean_score"), r6("rate").alias("rate"))
