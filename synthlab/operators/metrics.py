@@ -23,21 +23,26 @@ EPS = 2.220446049250313e-16  # fixed value: double machine epsilon (MAPE denomin
 
 
 def running_before(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                   partitions: int | None = None) -> DataFrame:
-    """Add ``<c>_before`` = sum of ``c`` over rows of the same ``by`` group with a smaller ``order``
-    value (``order`` is unique within a group)."""
+                   partitions: int | None = None, agg: str = "sum") -> DataFrame:
+    """Add ``<c>_before`` = sum (or max, ``agg="max"``) of ``c`` over rows of the same ``by`` group
+    with a smaller ``order`` value (``order`` unique within a group; may be a struct)."""
     by = list(by)
+    fn = {"sum": F.sum, "max": F.max}[agg]
+    zero = F.lit(0) if agg == "sum" else F.lit(None)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *by, order).withColumn("_pid", F.spark_partition_id())
     parts = cut_lineage(parts)
-    tot = parts.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    tot = parts.groupBy("_pid", *by).agg(*[fn(c).alias(f"_t_{c}") for c in sums])
     wo = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    offsets = tot.select("_pid", *by, *[fn(f"_t_{c}").over(wo).alias(f"_o_{c}") for c in sums])
     wl = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = parts.join(offsets, ["_pid", *by], "inner")
-    return out.select(*[c for c in parts.columns if c != "_pid"],
-                      *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wl), F.lit(0))).alias(f"{c}_before")
-                        for c in sums])
+    if agg == "sum":
+        vals = [(F.coalesce(F.col(f"_o_{c}"), zero) + F.coalesce(F.sum(c).over(wl), zero)).alias(f"{c}_before")
+                for c in sums]
+    else:
+        vals = [F.greatest(F.col(f"_o_{c}"), F.max(c).over(wl)).alias(f"{c}_before") for c in sums]
+    return out.select(*[c for c in parts.columns if c != "_pid"], *vals)
 
 
 def score_table(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
