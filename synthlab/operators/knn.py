@@ -40,51 +40,67 @@ def sq_dist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def knn(points: DataFrame, key: str, vec: str, k: int, slab_size: int = 256, dims: int | None = None) -> DataFrame:
-    """Rows (key, nn_key, nn_rank 1..k, dist) of the k nearest other points of every point."""
+def _slab_of(values: DataFrame, starts: DataFrame, key_type) -> DataFrame:
+    """As-of lookup: for rows (_k, _side, _x) the largest slab whose first projection value <= _x
+    (slab 0 when none).  Sorted union of slab starts and probes + distributed running max."""
+    probes = values.select(F.struct(F.col("_x"), F.lit(1).alias("t"), F.col("_k").cast("string").alias("_k"),
+                                    F.col("_side")).alias("_o"), F.lit(None).cast("long").alias("_sv"), "_k", "_side")
+    marks = starts.select(F.struct(F.col("_v0").alias("_x"), F.lit(0).alias("t"), F.col("_s").cast("string").alias("_k"),
+                                   F.lit("").alias("_side")).alias("_o"), F.col("_s").alias("_sv"),
+                          F.lit(None).cast(key_type).alias("_k"), F.lit(None).cast("string").alias("_side"))
+    u = probes.unionByName(marks).withColumn("_g", F.lit(1))
+    a = running_before(u, ["_g"], "_o", ["_sv"], agg="max")
+    return a.filter(F.col("_sv").isNull()).select("_k", "_side", F.coalesce(F.col("_sv_before"), F.lit(0)).alias("_slab"))
+
+
+def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: int, slab_size: int = 256,
+             dims: int | None = None, exclude_self: bool = False) -> DataFrame:
+    """Rows (key, nn_key, nn_rank 1..k, dist): the k nearest reference points of every query point.
+    With ``exclude_self`` a point never matches the reference row with the same key."""
     if dims is None:
-        dims = len(points.select(vec).first()[0])
+        dims = len(reference.select(vec).first()[0])
     w = _unit_vector(dims)
-    p = points.select(F.col(key).alias("_k"), F.col(vec).alias("_v")).withColumn("_p", _dot(F.col("_v"), w))
-    ranked = global_rank(p.withColumn("_o", F.struct("_p", "_k")), "_o", name="_r").drop("_o")
-    pts = ranked.withColumn("_s", (F.col("_r") / slab_size).cast("long")).drop("_r")
-    members = pts.select(F.col("_s").alias("_ms"), F.col("_k").alias("nn_key"), F.col("_v").alias("_nv"))
-
-    def candidates(q: DataFrame) -> DataFrame:
-        # q: (_k, _v, _cs) -> distances to every member of slab _cs
-        j = q.join(members, q["_cs"] == members["_ms"], "inner").filter(F.col("nn_key") != F.col("_k"))
+    ref = reference.select(F.col(key).alias("_k"), F.col(vec).alias("_v")).withColumn("_p", _dot(F.col("_v"), w))
+    ranked = global_rank(ref.withColumn("_o", F.struct("_p", "_k")), "_o", name="_r").drop("_o")
+    slabbed = ranked.withColumn("_s", (F.col("_r") / slab_size).cast("long")).drop("_r")
+    starts = slabbed.groupBy("_s").agg(F.min("_p").alias("_v0"))
+    members = slabbed.select(F.col("_s").alias("_ms"), F.col("_k").alias("nn_key"), F.col("_v").alias("_nv"))
+    key_type = reference.schema[key].dataType
+
+    q = queries.select(F.col(key).alias("_k"), F.col(vec).alias("_v")).withColumn("_p", _dot(F.col("_v"), w))
+    if queries is reference:
+        q = slabbed
+    else:
+        own = _slab_of(q.select("_k", F.lit("own").alias("_side"), F.col("_p").alias("_x")), starts, key_type)
+        q = q.join(own.select("_k", F.col("_slab").alias("_s")), "_k")
+
+    def candidates(qq: DataFrame) -> DataFrame:
+        j = qq.join(members, qq["_cs"] == members["_ms"], "inner")
+        if exclude_self:
+            j = j.filter(F.col("nn_key") != F.col("_k"))
         return j.select("_k", "nn_key", sq_dist(F.col("_v"), F.col("_nv")).alias("_d2"))
 
     def top(c: DataFrame) -> DataFrame:
         wk = Window.partitionBy("_k").orderBy("_d2", "nn_key")
         return c.withColumn("nn_rank", F.row_number().over(wk)).filter(F.col("nn_rank") <= k)
 
-    q1 = pts.select("_k", "_v", "_p", "_s", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1)).alias("_cs"))
-    c1 = candidates(q1)
-    t1 = top(c1)
+    q1 = q.select("_k", "_v", "_p", "_s", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1)).alias("_cs"))
+    t1 = top(candidates(q1))
     rad = t1.groupBy("_k").agg(F.max("_d2").alias("_r2"), F.count(F.lit(1)).alias("_c"))
     # points with fewer than k candidates need every slab (radius unbounded)
-    q = pts.join(rad, "_k", "left").withColumn(
+    qr = q.join(rad, "_k", "left").withColumn(
         "_rad", F.when(F.col("_c") >= k, F.sqrt("_r2")).otherwise(F.lit(float("inf"))))
-
-    # as-of: slab of a value = the largest slab whose first projection value is <= it
-    starts = pts.groupBy("_s").agg(F.min("_p").alias("_v0"))
-    lo = q.select("_k", (F.col("_p") - F.col("_rad")).alias("_x"), F.lit("lo").alias("_side"))
-    hi = q.select("_k", (F.col("_p") + F.col("_rad")).alias("_x"), F.lit("hi").alias("_side"))
-    probes = lo.unionByName(hi).select(F.struct(F.col("_x"), F.lit(1).alias("t"), F.col("_k").cast("string").alias("_k"),
-                                                 F.col("_side")).alias("_o"),
-                                       F.lit(None).cast("long").alias("_sv"), "_k", "_side")
-    marks = starts.select(F.struct(F.col("_v0").alias("_x"), F.lit(0).alias("t"), F.col("_s").cast("string").alias("_k"),
-                                   F.lit("").alias("_side")).alias("_o"), F.col("_s").alias("_sv"),
-                          F.lit(None).cast(pts.schema["_k"].dataType).alias("_k"), F.lit(None).cast("string").alias("_side"))
-    u = probes.unionByName(marks).withColumn("_g", F.lit(1))
-    # inclusive running max = max(before, own)
-    a = running_before(u, ["_g"], "_o", ["_sv"], agg="max")
-    a = a.filter(F.col("_sv").isNull()).select("_k", "_side", F.coalesce(F.col("_sv_before"), F.lit(0)).alias("_slab"))
+    lo = qr.select("_k", (F.col("_p") - F.col("_rad")).alias("_x"), F.lit("lo").alias("_side"))
+    hi = qr.select("_k", (F.col("_p") + F.col("_rad")).alias("_x"), F.lit("hi").alias("_side"))
+    a = _slab_of(lo.unionByName(hi), starts, key_type)
     rng = a.groupBy("_k").agg(F.min(F.when(F.col("_side") == "lo", F.col("_slab"))).alias("_lo"),
                               F.max(F.when(F.col("_side") == "hi", F.col("_slab"))).alias("_hi"))
-    q2 = (q.join(rng, "_k").select("_k", "_v", "_s", F.explode(F.sequence("_lo", "_hi")).alias("_cs"))
+    q2 = (qr.join(rng, "_k").select("_k", "_v", "_s", F.explode(F.sequence("_lo", "_hi")).alias("_cs"))
           .filter((F.col("_cs") < F.col("_s") - 1) | (F.col("_cs") > F.col("_s") + 1)))
-    c2 = candidates(q2)
-    t = top(t1.select("_k", "nn_key", "_d2").unionByName(c2))
+    t = top(t1.select("_k", "nn_key", "_d2").unionByName(candidates(q2)))
     return t.select(F.col("_k").alias(key), "nn_key", F.col("nn_rank").cast("long"), F.sqrt("_d2").alias("dist"))
+
+
+def knn(points: DataFrame, key: str, vec: str, k: int, slab_size: int = 256, dims: int | None = None) -> DataFrame:
+    """Self-join version: the k nearest *other* points of every point."""
+    return knn_join(points, points, key, vec, k, slab_size, dims, exclude_self=True)

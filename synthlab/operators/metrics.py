@@ -23,25 +23,31 @@ EPS = 2.220446049250313e-16  # fixed value: double machine epsilon (MAPE denomin
 
 
 def running_before(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                   partitions: int | None = None, agg: str = "sum") -> DataFrame:
-    """Add ``<c>_before`` = sum (or max, ``agg="max"``) of ``c`` over rows of the same ``by`` group
-    with a smaller ``order`` value (``order`` unique within a group; may be a struct)."""
+                   partitions: int | None = None, agg: str = "sum", maxes: Sequence[str] = ()) -> DataFrame:
+    """Add ``<c>_before`` = sum (``agg="max"``: max) of ``c`` over rows of the same ``by`` group with
+    a smaller ``order`` value (``order`` unique within a group; may be a struct); columns in
+    ``maxes`` always get a running max.
+
+    Range-partition on (group, order), checkpoint (stable partition ids), per-partition totals become
+    offsets, a window inside each partition adds the local running value."""
     by = list(by)
-    fn = {"sum": F.sum, "max": F.max}[agg]
-    zero = F.lit(0) if agg == "sum" else F.lit(None)
+    kinds = {c: agg for c in sums}
+    kinds.update({c: "max" for c in maxes})
+    fns = {"sum": F.sum, "max": F.max}
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *by, order).withColumn("_pid", F.spark_partition_id())
     parts = cut_lineage(parts)
-    tot = parts.groupBy("_pid", *by).agg(*[fn(c).alias(f"_t_{c}") for c in sums])
+    tot = parts.groupBy("_pid", *by).agg(*[fns[kd](c).alias(f"_t_{c}") for c, kd in kinds.items()])
     wo = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select("_pid", *by, *[fn(f"_t_{c}").over(wo).alias(f"_o_{c}") for c in sums])
+    offsets = tot.select("_pid", *by, *[fns[kd](f"_t_{c}").over(wo).alias(f"_o_{c}") for c, kd in kinds.items()])
     wl = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = parts.join(offsets, ["_pid", *by], "inner")
-    if agg == "sum":
-        vals = [(F.coalesce(F.col(f"_o_{c}"), zero) + F.coalesce(F.sum(c).over(wl), zero)).alias(f"{c}_before")
-                for c in sums]
-    else:
-        vals = [F.greatest(F.col(f"_o_{c}"), F.max(c).over(wl)).alias(f"{c}_before") for c in sums]
+    vals = []
+    for c, kd in kinds.items():
+        if kd == "sum":
+            vals.append((F.coalesce(F.col(f"_o_{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(wl), F.lit(0))).alias(f"{c}_before"))
+        else:
+            vals.append(F.greatest(F.col(f"_o_{c}"), F.max(c).over(wl)).alias(f"{c}_before"))
     return out.select(*[c for c in parts.columns if c != "_pid"], *vals)
 
 
