@@ -89,3 +89,105 @@ def q_calib(spark, sf_dir):
     s = _scored(spark, sf_dir).withColumn("score", F.col("score") * 10)
     res = M.calibration_bins(s, "score", "y", 10, ["cell"])
     return res.select("cell", "bin", F.col("n").cast("long"), r6("mean_score").alias("mean_score"), r6("rate").alias("rate"))
+
+
+# ---- MLlib runs (rows-only checks: model fits are not SQL-expressible) ------------------------------------
+
+def _telco_ds(spark, sf_dir):
+    from synthlab.plans.experiment import Dataset
+    from synthlab.plans.q_prep import q_telco
+    df = q_telco(spark, sf_dir).withColumn("monthly_charges", F.col("monthly_charges").cast("double"))
+    feats = ["contract", "region_code", "tenure", "monthly_charges", "total_charges"]
+    df = df.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats], "target")
+    return Dataset(df, "customer_id", "target", "classification", "telco_like", feats)
+
+
+def _events_ds(spark, sf_dir):
+    from synthlab.plans import fixtures as X
+    from synthlab.plans.experiment import Dataset
+    t = X.events_target(spark, sf_dir)
+    df = t.select("event_id", *[F.col(c).cast("double").alias(c) for c in X.EVENT_FEATURES], "target")
+    return Dataset(df, "event_id", "target", "classification", "hillstrom_like", X.EVENT_FEATURES)
+
+
+@register("augment_sweep")
+def q_augment_sweep(spark, sf_dir):
+    """Baseline, TSTR and alpha sweep with two generators (GBT, 100 trees, depth 4)."""
+    from synthlab.plans.experiment import results_frame, run_experiment
+    ds = _telco_ds(spark, sf_dir)
+    return results_frame(spark, run_experiment(ds, generators=("smote", "bootstrap"), alphas=(0.3,), seed=42, tstr=False))
+
+
+@register("multi_classifier")
+def q_multi_classifier(spark, sf_dir):
+    """E4 with M1 M3 M4 M5 (M6 registry): four classifiers, one generator at alpha = 1."""
+    from synthlab.plans.experiment import run_multi_classifier
+    ds = _telco_ds(spark, sf_dir)
+    return run_multi_classifier(spark, ds, seeds=[42], classifiers=["gbc", "lr", "rf", "mlp"],
+                                generators=(), alphas=(1.0,), tstr=False)
+
+
+@register("low_data")
+def q_low_data_run(spark, sf_dir):
+    """N grid below 0.7 * rows, real-only vs 2n with SMOTE and bootstrap, fixed holdout."""
+    from synthlab.plans.experiment import results_frame, run_low_data
+    ds = _telco_ds(spark, sf_dir)
+    return results_frame(spark, run_low_data(ds, [250, 500, 1000, 2000], seed=42, generators=("smote",)))
+
+
+@register("small_n_alpha_sweep")
+def q_small_n_sweep(spark, sf_dir):
+    """Matched small-n design, alpha sweep on prefixes of one synthetic table per (n, seed)."""
+    from synthlab.plans.experiment import results_frame, run_small_n
+    ds = _telco_ds(spark, sf_dir)
+    return results_frame(spark, run_small_n(ds, [100], [42], holdout_n=300, generators=("bootstrap",),
+                                            alpha=[0.3, 1.0]))
+
+
+@register("balanced_vs_plain")
+def q_balanced(spark, sf_dir):
+    """Class-weighted vs plain GBT on the rare-target stand-in."""
+    from synthlab.plans.experiment import results_frame, run_balanced
+    return results_frame(spark, run_balanced(_events_ds(spark, sf_dir), seed=42))
+
+
+@register("sparse_stress")
+def q_sparse(spark, sf_dir):
+    """Dense vs 70 %-sparse vs sparse + bootstrap augmentation on the 64-feature stand-in."""
+    from synthlab.plans import fixtures as X
+    from synthlab.plans.experiment import Dataset, results_frame, run_sparse
+    df = X.embeddings_wide(spark, sf_dir)
+    ds = Dataset(df, "vec_id", "target", "classification", "nomao_like", [f"f{i}" for i in range(64)])
+    return results_frame(spark, run_sparse(ds, 0.7, seed=42))
+
+
+@register("clv_regression")
+def q_clv_regression(spark, sf_dir):
+    """M2 + M9 through E1 on the customer-value table (regression: MAPE, R^2)."""
+    from synthlab.operators import prep
+    from synthlab.plans.experiment import Dataset, results_frame, run_experiment
+    li = load(spark, sf_dir, "lineitem").withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))
+    clv = prep.clv_rollup(li.withColumnRenamed("l_orderkey", "o_orderkey"), load(spark, sf_dir, "orders"),
+                          invoice="o_orderkey", customer="o_custkey", date="o_orderdate", quantity="l_quantity",
+                          unit_price="unit_price")
+    feats = ["frequency", "recency", "avg_order_value", "num_items"]
+    df = clv.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats], "total_spend")
+    ds = Dataset(df, "customer_id", "total_spend", "regression", "retail_clv", feats)
+    return results_frame(spark, run_experiment(ds, generators=("bootstrap",), alphas=(0.5,), seed=42))
+
+
+@register("detection_auc")
+def q_detection(spark, sf_dir):
+    """can a classifier tell real rows from synthetic ones?  LR on a hash split, exact AUC."""
+    from synthlab.operators import generate as G
+    from synthlab.operators import sampling as S
+    from synthlab.plans.models import fit_score
+    ds = _telco_ds(spark, sf_dir)
+    n = ds.df.count()
+    syn = G.bootstrap_jitter(ds.df, ds.key, ds.features, ds.target, n, 42).select(
+        (F.col("syn_rank") + F.lit(10 ** 12)).alias(ds.key), *ds.features)
+    both = ds.df.select(ds.key, *ds.features).withColumn("origin", F.lit(0)).unionByName(syn.withColumn("origin", F.lit(1)))
+    sp = S.stratified_split(both, [ds.key], "origin", 42)
+    scored = fit_score(sp.filter("split = 'train'"), sp.filter("split = 'test'"), ds.features, "origin", "lr", 42)
+    res = M.auc_ap(scored, "score", "origin")
+    return res.select(r6("auc_roc").alias("detection_auc"), "n_pos", "n_neg")

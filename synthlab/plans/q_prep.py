@@ -131,14 +131,14 @@ def _telco_raw(spark, sf_dir):
         F.col("c_acctbal").alias("monthly_charges"),
         F.when(hash_uniform(["c_custkey"], "blank") < 0.05, F.lit(" "))
          .otherwise(F.format_string("%.2f", F.col("_tot"))).alias("total_charges"),
-        F.when(F.col("_open") == 1, "Yes").otherwise("No").alias("churn"))
+        F.when(F.col("_open") == 0, "Yes").otherwise("No").alias("churn"))
 
 
 SQL_TELCO_RAW = f"""
 SELECT c.c_custkey AS customer_id, c.c_mktsegment AS contract, CAST(c.c_nationkey AS BIGINT) AS region_code,
        CAST(p.tenure AS BIGINT) AS tenure, c.c_acctbal AS monthly_charges,
        CASE WHEN {sql_hash_uniform(['c.c_custkey'], 'blank')} < 0.05 THEN ' ' ELSE printf('%.2f', p.tot) END AS total_charges,
-       CASE WHEN p.open = 1 THEN 'Yes' ELSE 'No' END AS churn
+       CASE WHEN p.open = 0 THEN 'Yes' ELSE 'No' END AS churn
 FROM customer c JOIN (SELECT o_custkey, sum(o_totalprice) AS tot, count(*) AS tenure,
                              max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS open
                       FROM orders GROUP BY o_custkey) p ON c.c_custkey = p.o_custkey
