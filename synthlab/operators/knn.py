@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from synthlab.operators.metrics import running_before
 from synthlab.operators.prep import global_rank
+from synthlab.session import cut_lineage
 
 
 def _unit_vector(d: int, seed: int = 17) -> list[float]:
@@ -31,13 +32,20 @@ def _unit_vector(d: int, seed: int = 17) -> list[float]:
 
 
 def _dot(vec, w: Sequence[float]):
-    arr = F.array(*[F.lit(x) for x in w])
-    return F.aggregate(F.zip_with(vec, arr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    """Projection as plain arithmetic over the array elements (whole-stage codegen, no lambdas)."""
+    acc = F.lit(0.0)
+    for i, x in enumerate(w):
+        acc = acc + vec[i] * F.lit(x)
+    return acc
 
 
-def sq_dist(a, b):
-    """Squared Euclidean distance, summed left to right."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+def sq_dist(a, b, dims: int):
+    """Squared Euclidean distance, summed left to right from 0.0."""
+    acc = F.lit(0.0)
+    for i in range(dims):
+        d = a[i] - b[i]
+        acc = acc + d * d
+    return acc
 
 
 def _slab_of(values: DataFrame, starts: DataFrame, key_type) -> DataFrame:
@@ -53,7 +61,7 @@ def _slab_of(values: DataFrame, starts: DataFrame, key_type) -> DataFrame:
     return a.filter(F.col("_sv").isNull()).select("_k", "_side", F.coalesce(F.col("_sv_before"), F.lit(0)).alias("_slab"))
 
 
-def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: int, slab_size: int = 256,
+def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: int, slab_size: int = 128,
              dims: int | None = None, exclude_self: bool = False) -> DataFrame:
     """Rows (key, nn_key, nn_rank 1..k, dist): the k nearest reference points of every query point.
     With ``exclude_self`` a point never matches the reference row with the same key."""
@@ -62,7 +70,8 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     w = _unit_vector(dims)
     ref = reference.select(F.col(key).alias("_k"), F.col(vec).alias("_v")).withColumn("_p", _dot(F.col("_v"), w))
     ranked = global_rank(ref.withColumn("_o", F.struct("_p", "_k")), "_o", name="_r").drop("_o")
-    slabbed = ranked.withColumn("_s", (F.col("_r") / slab_size).cast("long")).drop("_r")
+    # reused by both as-of lookups and both candidate joins: materialise once
+    slabbed = cut_lineage(ranked.withColumn("_s", (F.col("_r") / slab_size).cast("long")).drop("_r"))
     starts = slabbed.groupBy("_s").agg(F.min("_p").alias("_v0"))
     members = slabbed.select(F.col("_s").alias("_ms"), F.col("_k").alias("nn_key"), F.col("_v").alias("_nv"))
     key_type = reference.schema[key].dataType
@@ -72,20 +81,29 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
         q = slabbed
     else:
         own = _slab_of(q.select("_k", F.lit("own").alias("_side"), F.col("_p").alias("_x")), starts, key_type)
-        q = q.join(own.select("_k", F.col("_slab").alias("_s")), "_k")
+        q = cut_lineage(q.join(own.select("_k", F.col("_slab").alias("_s")), "_k"))
 
     def candidates(qq: DataFrame) -> DataFrame:
         j = qq.join(members, qq["_cs"] == members["_ms"], "inner")
         if exclude_self:
             j = j.filter(F.col("nn_key") != F.col("_k"))
-        return j.select("_k", "nn_key", sq_dist(F.col("_v"), F.col("_nv")).alias("_d2"))
+        return j.select("_k", "nn_key", sq_dist(F.col("_v"), F.col("_nv"), dims).alias("_d2"))
 
-    def top(c: DataFrame) -> DataFrame:
-        wk = Window.partitionBy("_k").orderBy("_d2", "nn_key")
+    def top(c: DataFrame, part=("_k",)) -> DataFrame:
+        wk = Window.partitionBy(*part).orderBy("_d2", "nn_key")
         return c.withColumn("nn_rank", F.row_number().over(wk)).filter(F.col("nn_rank") <= k)
 
-    q1 = q.select("_k", "_v", "_p", "_s", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1)).alias("_cs"))
-    t1 = top(candidates(q1))
+    # phase 1: members replicated to the neighbouring slab ids, joined on the query's own slab, so
+    # all candidates of a query meet in one join partition and the top-k window (partitioned by
+    # slab and query) reuses the join's partitioning instead of shuffling the candidate pairs again
+    near = members.select(F.explode(F.array(F.col("_ms") - 1, F.col("_ms"), F.col("_ms") + 1)).alias("_ns"),
+                          "nn_key", "_nv")
+    j1 = q.select("_k", "_v", "_s").join(near, F.col("_s") == F.col("_ns"), "inner")
+    if exclude_self:
+        j1 = j1.filter(F.col("nn_key") != F.col("_k"))
+    c1 = j1.select("_s", "_k", "nn_key", sq_dist(F.col("_v"), F.col("_nv"), dims).alias("_d2"))
+    # phase-1 neighbours feed both the radius and the final answer: materialise once
+    t1 = cut_lineage(top(c1, ("_s", "_k")).drop("_s"))
     rad = t1.groupBy("_k").agg(F.max("_d2").alias("_r2"), F.count(F.lit(1)).alias("_c"))
     # points with fewer than k candidates need every slab (radius unbounded)
     qr = q.join(rad, "_k", "left").withColumn(
@@ -93,7 +111,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     lo = qr.select("_k", (F.col("_p") - F.col("_rad")).alias("_x"), F.lit("lo").alias("_side"))
     hi = qr.select("_k", (F.col("_p") + F.col("_rad")).alias("_x"), F.lit("hi").alias("_side"))
     a = _slab_of(lo.unionByName(hi), starts, key_type)
-    rng = a.groupBy("_k").agg(F.min(F.when(F.col("_side") == "lo", F.col("_slab"))).alias("_lo"),
+    rng = cut_lineage(a).groupBy("_k").agg(F.min(F.when(F.col("_side") == "lo", F.col("_slab"))).alias("_lo"),
                               F.max(F.when(F.col("_side") == "hi", F.col("_slab"))).alias("_hi"))
     q2 = (qr.join(rng, "_k").select("_k", "_v", "_s", F.explode(F.sequence("_lo", "_hi")).alias("_cs"))
           .filter((F.col("_cs") < F.col("_s") - 1) | (F.col("_cs") > F.col("_s") + 1)))
@@ -101,6 +119,6 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     return t.select(F.col("_k").alias(key), "nn_key", F.col("nn_rank").cast("long"), F.sqrt("_d2").alias("dist"))
 
 
-def knn(points: DataFrame, key: str, vec: str, k: int, slab_size: int = 256, dims: int | None = None) -> DataFrame:
+def knn(points: DataFrame, key: str, vec: str, k: int, slab_size: int = 128, dims: int | None = None) -> DataFrame:
     """Self-join version: the k nearest *other* points of every point."""
     return knn_join(points, points, key, vec, k, slab_size, dims, exclude_self=True)

@@ -4,9 +4,10 @@ Exact ROC AUC (ties at mid-rank, Mann-Whitney) and average precision (step sum,
 need running totals over scores in order.  They are computed from one distributed prefix sum:
 
 * aggregate to one row per (cell, distinct score) with positive/negative counts (partial agg);
-* range-partition that table on (cell, score), checkpoint it so partition ids are stable;
-* per-partition totals (one row per partition and cell) become offsets;
-* a window inside each partition adds the local running sum to the offset.
+* cut the score axis into value buckets (split points from one approximate-quantile pass);
+* per-bucket totals (one row per bucket and cell) become offsets;
+* a window inside each (cell, bucket) adds the local running sum to the offset
+  (``operators.ordered.running_before``).
 
 No window ever spans a whole cell, so a cell holding most of the rows is still spread over tasks.
 """
@@ -17,40 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthlab.session import cut_lineage
+from synthlab.operators.ordered import running_before  # noqa: F401  (re-exported)
 
 EPS = 2.220446049250313e-16  # fixed value: double machine epsilon (MAPE denominator floor)
 
 
-def running_before(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                   partitions: int | None = None, agg: str = "sum", maxes: Sequence[str] = ()) -> DataFrame:
-    """Add ``<c>_before`` = sum (``agg="max"``: max) of ``c`` over rows of the same ``by`` group with
-    a smaller ``order`` value (``order`` unique within a group; may be a struct); columns in
-    ``maxes`` always get a running max.
-
-    Range-partition on (group, order), checkpoint (stable partition ids), per-partition totals become
-    offsets, a window inside each partition adds the local running value."""
-    by = list(by)
-    kinds = {c: agg for c in sums}
-    kinds.update({c: "max" for c in maxes})
-    fns = {"sum": F.sum, "max": F.max}
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *by, order).withColumn("_pid", F.spark_partition_id())
-    parts = cut_lineage(parts)
-    tot = parts.groupBy("_pid", *by).agg(*[fns[kd](c).alias(f"_t_{c}") for c, kd in kinds.items()])
-    wo = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select("_pid", *by, *[fns[kd](f"_t_{c}").over(wo).alias(f"_o_{c}") for c, kd in kinds.items()])
-    wl = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.join(offsets, ["_pid", *by], "inner")
-    vals = []
-    for c, kd in kinds.items():
-        if kd == "sum":
-            vals.append((F.coalesce(F.col(f"_o_{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(wl), F.lit(0))).alias(f"{c}_before"))
-        else:
-            vals.append(F.greatest(F.col(f"_o_{c}"), F.max(c).over(wl)).alias(f"{c}_before"))
-    return out.select(*[c for c in parts.columns if c != "_pid"], *vals)
-
-
 def score_table(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per (cell, distinct score): pos, neg, pos_before, neg_before (ascending score)."""
     g = scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("pos"),

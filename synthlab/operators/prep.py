@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthlab.functions.exprs import exact_sum
-from synthlab.session import cut_lineage
+from synthlab.operators.ordered import global_rank
 
 
 # ---- P1-P3: columns --------------------------------------------------------------------------
@@ -100,28 +100,10 @@ def minority_to_one(df: DataFrame, label: str, out: str = "target") -> DataFrame
             .withColumn(out, (F.col(label) == F.col("_min")).cast("int")).drop("_min"))
 
 
-def global_rank(values: DataFrame, col: str, name: str = "code", partitions: int | None = None) -> DataFrame:
-    """0-based rank of each row of ``values`` in ascending ``col`` order, fully distributed.
-
-    Range-partition on ``col`` (sampled bounds), checkpoint so partition ids are stable, count rows
-    per partition (one row per partition), turn counts into offsets, and rank inside each partition."""
-    spark = values.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = values.repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id())
-    parts = cut_lineage(parts)
-    counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_pid", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    wr = Window.partitionBy("_pid").orderBy(col)
-    return (parts.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.col("_off") + F.row_number().over(wr) - 1).cast("long"))
-            .drop("_pid", "_off"))
-
-
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """P10: ordinal codes by sorted distinct value; NULL becomes the category "nan" (T20).
 
-    Dictionaries are built with a distributed distinct + range-partitioned rank and joined back
+    Dictionaries are built with a distributed distinct + bucketed global rank and joined back
     (broadcast by AQE when small, shuffled when a column has very many values)."""
     out = df
     for c in cols:
