@@ -35,7 +35,7 @@ def tvd_js(real: DataFrame, syn: DataFrame, cols: Sequence[str], bins: int = 20)
     h = lv.join(F.broadcast(rng), "col").groupBy("col", b.alias("bin")).agg(
         F.count_if(F.col("side") == "real").alias("_nr"), F.count_if(F.col("side") == "syn").alias("_ns"))
     tot = h.groupBy("col").agg(F.sum("_nr").alias("_tr"), F.sum("_ns").alias("_ts"))
-    h = h.join(tot, "col").withColumn("p", F.col("_nr") / F.col("_tr")).withColumn("q", F.col("_ns") / F.col("_ts"))
+    h = h.join(tot, "col").withColumn("p", F.try_divide(F.col("_nr"), F.col("_tr"))).withColumn("q", F.try_divide(F.col("_ns"), F.col("_ts")))
     m = (F.col("p") + F.col("q")) / 2
     kl = (F.when(F.col("p") > 0, F.col("p") * F.log(F.col("p") / m)).otherwise(0.0) +
           F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / m)).otherwise(0.0))
@@ -52,10 +52,10 @@ def ecdf_distances(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> Data
     rb = running_before(g.withColumn("xp", F.col("x")), ["col"], "x", ["cr", "cs"], maxes=["xp"])
     rb = rb.join(tot, "col")
     # CDFs just below x (valid on [prev x, x)) and at x (inclusive)
-    f_lo = F.col("cr_before") / F.col("_tr")
-    g_lo = F.col("cs_before") / F.col("_ts")
-    f_at = (F.col("cr_before") + F.col("cr")) / F.col("_tr")
-    g_at = (F.col("cs_before") + F.col("cs")) / F.col("_ts")
+    f_lo = F.try_divide(F.col("cr_before"), F.col("_tr"))
+    g_lo = F.try_divide(F.col("cs_before"), F.col("_ts"))
+    f_at = F.try_divide(F.col("cr_before") + F.col("cr"), F.col("_tr"))
+    g_at = F.try_divide(F.col("cs_before") + F.col("cs"), F.col("_ts"))
     seg = F.when(F.col("xp_before").isNotNull(), F.abs(f_lo - g_lo) * (F.col("x") - F.col("xp_before"))).otherwise(0.0)
     return rb.groupBy("col").agg(F.sum(seg).alias("wasserstein"), F.max(F.abs(f_at - g_at)).alias("ks"))
 
@@ -166,7 +166,7 @@ def precision_at(scored: DataFrame, score: str, label: str, keys: Sequence[str],
     return t.groupBy(*by).agg(F.avg(F.when(F.col("_top"), F.col(label).cast("double"))).alias("precision"),
                               F.avg(F.col(label).cast("double")).alias("base_rate"),
                               F.count_if(F.col("_top")).cast("long").alias("k")) \
-        .withColumn("lift", F.col("precision") / F.col("base_rate"))
+        .withColumn("lift", F.try_divide(F.col("precision"), F.col("base_rate")))
 
 
 def variance_components(res: DataFrame, value: str, a: str, b: str, by: Sequence[str]) -> DataFrame:

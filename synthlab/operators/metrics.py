@@ -42,7 +42,7 @@ def auc_ap(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
         F.broadcast(per_cell.select("n_pos", "n_neg")))
     tp = F.col("n_pos") - F.col("pos_before")
     fp = F.col("n_neg") - F.col("neg_before")
-    ap = t2.groupBy(*by).agg(F.sum(F.col("pos") / F.col("n_pos") * (tp / (tp + fp))).alias("avg_precision"))
+    ap = t2.groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("n_pos")) * F.try_divide(tp, tp + fp)).alias("avg_precision"))
     del w
     res = per_cell.join(ap, list(by), "inner") if by else per_cell.crossJoin(ap)
     return res.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
@@ -87,7 +87,7 @@ def best_f1_threshold(scored: DataFrame, score: str, label: str, by: Sequence[st
     t = t.join(cell, list(by), "inner") if by else t.crossJoin(F.broadcast(cell))
     tp = F.col("_P") - F.col("pos_before")
     fp = F.col("_N") - F.col("neg_before")
-    f1 = 2.0 * tp / (tp + F.col("_P") + fp)
+    f1 = F.try_divide(2.0 * tp, tp + F.col("_P") + fp)
     t = t.withColumn("_f1", f1)
     best = t.groupBy(*by).agg(F.max(F.struct(F.col("_f1"), F.col(score))).alias("_b"))
     return best.select(*by, F.col("_b." + score).alias("threshold"), F.col("_b._f1").alias("best_f1"))

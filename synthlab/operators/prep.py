@@ -130,8 +130,8 @@ def cell_fractions(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     zeros = sum(((F.col(c) == 0).cast("long") for c in cols), F.lit(0).cast("long"))
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.sum(nulls).alias("_nulls"), F.sum(F.coalesce(zeros, F.lit(0))).alias("_zeros")) \
-        .select("n_rows", (F.col("_nulls") / (F.col("n_rows") * k)).alias("missing_frac"),
-                (F.col("_zeros") / (F.col("n_rows") * k)).alias("zero_frac"))
+        .select("n_rows", F.try_divide(F.col("_nulls"), F.col("n_rows") * k).alias("missing_frac"),
+                F.try_divide(F.col("_zeros"), F.col("n_rows") * k).alias("zero_frac"))
 
 
 # ---- A1 / A2: customer value rollup (L4) ------------------------------------------------------

@@ -106,14 +106,14 @@ def bonferroni(tests: DataFrame, p: str = "p_paired", family: Sequence[str] = ()
 
 def _ols_from_moments(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column) -> dict:
     nd = n.cast("double")
-    cxx = sxx - sx * sx / nd
-    cxy = sxy - sx * sy / nd
-    cyy = syy - sy * sy / nd
-    slope = cxy / cxx
-    intercept = (sy - slope * sx) / nd
-    r2 = cxy * cxy / (cxx * cyy)
-    se = F.sqrt((cyy - slope * cxy) / (nd - 2) / cxx)
-    t = slope / se
+    cxx = sxx - F.try_divide(sx * sx, nd)
+    cxy = sxy - F.try_divide(sx * sy, nd)
+    cyy = syy - F.try_divide(sy * sy, nd)
+    slope = F.try_divide(cxy, cxx)
+    intercept = F.try_divide(sy - slope * sx, nd)
+    r2 = F.try_divide(cxy * cxy, cxx * cyy)
+    se = F.sqrt(F.try_divide(F.try_divide(cyy - slope * cxy, nd - 2), cxx))
+    t = F.try_divide(slope, se)
     p = t_two_sided_p(t, n - 2)
     return {"slope": slope, "intercept": intercept, "r2": r2, "se_slope": se, "p_slope": p}
 
@@ -124,9 +124,9 @@ def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
                             F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
                             F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"),
                             F.regr_sxy(y, x).alias("_sxy"))
-    se = F.sqrt((F.col("_syy") - F.col("slope") * F.col("_sxy")) / (F.col("n") - 2) / F.col("_sxx"))
+    se = F.sqrt(F.try_divide(F.try_divide(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.col("n") - 2), F.col("_sxx")))
     return g.select(*by, F.col("n").cast("long"), "slope", "intercept", "r2", se.alias("se_slope"),
-                    F.when(F.col("n") > 2, t_two_sided_p(F.col("slope") / se, F.col("n") - 2)).alias("p_slope"))
+                    F.when(F.col("n") > 2, t_two_sided_p(F.try_divide(F.col("slope"), se), F.col("n") - 2)).alias("p_slope"))
 
 
 def loo_ols(df: DataFrame, id_col: str, x: str, y: str) -> DataFrame:

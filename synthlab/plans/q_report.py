@@ -123,7 +123,7 @@ def q_width(spark, sf_dir):
     ps = _paired(spark, sf_dir)
     return _rounded(ps.select("dataset", "n", "alpha", F.col("baseline_ci95_indep").alias("baseline_ci95"),
                               F.col("method_ci95_indep").alias("method_ci95"),
-                              (F.col("baseline_ci95_indep") / F.col("method_ci95_indep")).alias("width_ratio")))
+                              F.try_divide(F.col("baseline_ci95_indep"), F.col("method_ci95_indep")).alias("width_ratio")))
 
 
 @register("outlier_seed", f"""WITH r AS ({R}),
