@@ -132,9 +132,9 @@ def copula_fit(train: DataFrame, key: str, features: Sequence[str], grid: int =
     corr = Correlation.corr(vec, "_z").first()[0].toArray()
     corr = np.nan_to_num(corr)
     np.fill_diagonal(corr, 1.0)
-    # quantile tables: percentile over the column (distributed aggregate), grid points 0..1
+    # quantile tables: approximate percentiles (bounded-memory sketch per column), grid points 0..1
     probs = [i / (grid - 1) for i in range(grid)]
-    qs = train.agg(*[F.percentile(c, probs).alias(c) for c in features]).first()
+    qs = train.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * grid).alias(c) for c in features]).first()
     q_rows = [(c, i, float(v)) for c in features for i, v in enumerate(qs[c])]
     qtab = train.sparkSession.createDataFrame(q_rows, "col STRING, g INT, q DOUBLE")
     return qtab, corr.tolist()
