@@ -62,11 +62,8 @@ def ecdf_distances(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> Data
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """F4 part: Spearman correlation of every column pair (mid-ranks, Pearson on ranks)."""
-    from synthlab.operators.stats import mid_rank
-    r = df.select(*cols)
-    rid = r.withColumn("_rid", F.monotonically_increasing_id())
-    for c in cols:
-        rid = mid_rank(rid, c, name=f"_r_{c}")
+    from synthlab.operators.stats import mid_ranks
+    rid = mid_ranks(df.select(*cols), cols)
     pairs = [F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for i, a in enumerate(cols) for b in cols[i + 1:]]
     wide = rid.agg(*pairs)
     return wide.unpivot([], [f"{a}|{b}" for i, a in enumerate(cols) for b in cols[i + 1:]], "pair", "rho")
@@ -89,20 +86,8 @@ def dcr(syn: DataFrame, real: DataFrame, key: str, vec: str, slab_size: int = 25
         .select(key, "dcr", F.when(F.col("_d2") > 0, F.col("dcr") / F.col("_d2")).alias("nndr"))
 
 
-def poisson1(u):
-    """Poisson(1) draw from a uniform by inverse CDF (thresholds from the series e^-1 sum 1/j!)."""
-    thresholds, cum, term = [], 0.0, math.exp(-1)
-    for j in range(12):
-        cum += term
-        thresholds.append(cum)
-        term /= (j + 1)
-    expr = F.lit(len(thresholds))
-    for j in reversed(range(len(thresholds))):
-        expr = F.when(u < F.lit(thresholds[j]), F.lit(j)).otherwise(expr)
-    return expr
-
-
 def poisson_thresholds() -> list[float]:
+    """Cumulative Poisson(1) probabilities e^-1 * sum_{i<=j} 1/i!, j = 0..11."""
     out, cum, term = [], 0.0, math.exp(-1)
     for j in range(12):
         cum += term
@@ -111,15 +96,42 @@ def poisson_thresholds() -> list[float]:
     return out
 
 
+def poisson1(u):
+    """Poisson(1) draw from a uniform by inverse CDF: the number of cumulative thresholds <= u.
+    A sum of comparisons (``u`` referenced unconditionally, so it is computed once)."""
+    acc = F.lit(0)
+    for t in poisson_thresholds():
+        acc = acc + F.when(u >= F.lit(t), 1).otherwise(0)
+    return acc
+
+
+UNIFORMS_PER_DIGEST = 4
+
+
+def bootstrap_weights(keys: Sequence[str], replicates: int, seed):
+    """Array of ``replicates`` Poisson(1) weights per row.  Each md5 digest of (key, seed:j) gives
+    four independent 32-bit uniforms, so B replicates cost ceil(B / 4) digests per row."""
+    from synthlab.functions.keys import hash_hex
+    digests = [hash_hex(list(keys), f"{seed}:{j}") for j in range(-(-replicates // UNIFORMS_PER_DIGEST))]
+    return digests, [(b // UNIFORMS_PER_DIGEST, (b % UNIFORMS_PER_DIGEST) * 8 + 1) for b in range(replicates)]
+
+
 def bootstrap_auc(scored: DataFrame, score: str, label: str, keys: Sequence[str], replicates: int, seed,
                   by: Sequence[str] = ()) -> DataFrame:
-    """Poisson-weighted bootstrap replicates of the exact AUC (one job for all replicates)."""
-    spark = scored.sparkSession
-    reps = spark.range(1, replicates + 1).select(F.col("id").alias("b"))
-    ex = scored.crossJoin(F.broadcast(reps)).withColumn(
-        "_w", poisson1(hash_uniform([*keys, "b"], seed)).cast("long")).filter(F.col("_w") > 0)
-    g = ex.groupBy(*by, "b", score).agg(F.sum(F.col("_w") * F.col(label)).alias("pos"),
-                                        F.sum(F.col("_w") * (1 - F.col(label))).alias("neg"))
+    """Poisson-weighted bootstrap replicates of the exact AUC (one job for all replicates).
+
+    Digests are projected first, weights second (no md5 is repeated per comparison); rows are
+    exploded to (replicate, weight) and pre-aggregated to one row per (cell, replicate, score)."""
+    from synthlab.functions.keys import uniform_from_hex
+    digests, slots = bootstrap_weights(keys, replicates, seed)
+    # project digests once per row; the generator reads them as columns, and the Poisson count runs
+    # after the generator, so no digest is recomputed per replicate or per comparison
+    hx = scored.select(*by, score, label, *[d.alias(f"_h{j}") for j, d in enumerate(digests)])
+    us = F.array(*[uniform_from_hex(F.col(f"_h{j}"), start) for j, start in slots])
+    ex = (hx.select(*by, score, label, F.posexplode(us).alias("_b0", "_u"))
+          .withColumn("_w", poisson1(F.col("_u"))).filter(F.col("_w") > 0))
+    g = ex.groupBy(*by, (F.col("_b0") + 1).alias("b"), score).agg(
+        F.sum(F.col("_w") * F.col(label)).alias("pos"), F.sum(F.col("_w") * (1 - F.col(label))).alias("neg"))
     t = running_before(g, [*by, "b"], score, ["pos", "neg"])
     per = t.groupBy(*by, "b").agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
                                   F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("_u"))

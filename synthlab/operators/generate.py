@@ -121,12 +121,10 @@ def copula_fit(train: DataFrame, key: str, features: Sequence[str], grid: int =
     import numpy as np
     from pyspark.ml.stat import Correlation
     from pyspark.ml.feature import VectorAssembler
-    from synthlab.operators.stats import mid_rank
+    from synthlab.operators.stats import mid_ranks
 
     n = train.count()
-    scored = train.select(key, *features)
-    for c in features:
-        scored = mid_rank(scored, c, name=f"_r_{c}")
+    scored = mid_ranks(train.select(key, *features), features)
     z = scored.select(*[_norm_ppf_col(F.col(f"_r_{c}") / F.lit(float(n + 1))).alias(c) for c in features])
     vec = VectorAssembler(inputCols=list(features), outputCol="_z").transform(z).select("_z")
     corr = Correlation.corr(vec, "_z").first()[0].toArray()

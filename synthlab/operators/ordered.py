@@ -3,7 +3,8 @@
 Both primitives cut the order axis into ~P value buckets whose split points come from one
 ``percentile_approx`` aggregate (P - 1 numbers to the driver, bounded by the partition count).  A
 row's bucket is a pure function of its order value, so recomputation after an executor loss gives
-the same buckets: no checkpoint and no dependence on partition ids.  Per-bucket totals (P rows per
+the same buckets and no dependence on partition ids.  The (usually aggregated) input is checkpointed
+once into the shared folder because it is read twice.  Per-bucket totals (P rows per
 group) become offsets; windows run inside (group, bucket) partitions of ~n/P rows each.
 """
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
+from synthlab.session import cut_lineage
+
 NUMERIC = (NumericType,)
 
 ACCURACY = 10000
@@ -65,6 +68,8 @@ def _nbuckets(df: DataFrame, buckets: int | None) -> int:
 
 def global_rank(values: DataFrame, col: str, name: str = "code", buckets: int | None = None) -> DataFrame:
     """0-based rank of each row in ascending ``col`` order (``col`` unique; may be a struct)."""
+    # the input is read twice (split points, then ranks): materialise it once
+    values = cut_lineage(values)
     head = _head(values, col)
     pts = split_points(values, head, _nbuckets(values, buckets))
     b = values.withColumn("_bk", bucket_of(head, pts))
@@ -86,6 +91,9 @@ def running_before(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[
     kinds = {c: agg for c in sums}
     kinds.update({c: "max" for c in maxes})
     fns = {"sum": F.sum, "max": F.max}
+    # the input (one row per distinct order value, usually an aggregate) is read twice: once for the
+    # split points, once for the sums; materialise it once instead of recomputing its upstream
+    df = cut_lineage(df)
     head = _head(df, order)
     pts = split_points(df, head, _nbuckets(df, buckets))
     b = df.withColumn("_bk", bucket_of(head, pts))

@@ -152,6 +152,21 @@ def mid_rank(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None =
     return df.join(g, [*by, col], "inner")
 
 
+def mid_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "_r_") -> DataFrame:
+    """Mid-ranks of several columns in one pass: long (column, value) counts, one distributed
+    running count grouped by column, then one join back per column (NULL values get NULL ranks)."""
+    from synthlab.operators.metrics import running_before
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_col", "_x")
+    g = long.filter(F.col("_x").isNotNull()).groupBy("_col", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    rb = running_before(g, ["_col"], "_x", ["_c"])
+    ranks = rb.select("_col", "_x", (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias("_mr"))
+    out = df
+    for c in cols:
+        r = ranks.filter(F.col("_col") == c).select(F.col("_x").alias("_jx"), F.col("_mr").alias(prefix + c))
+        out = out.join(r, F.col(c).cast("double") == F.col("_jx"), "left").drop("_jx")
+    return out
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Spearman rho = Pearson correlation of mid-ranks."""
     r = mid_rank(mid_rank(df, x, by, "_rx"), y, by, "_ry")

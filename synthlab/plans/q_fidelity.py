@@ -110,6 +110,13 @@ B = 20
 LKEY = X.LINEITEM_KEY
 
 
+def _sql_u_slot() -> str:
+    """Replicate b uses 32-bit slice (b-1) % 4 of md5(key ':' '42:' || (b-1) // 4)."""
+    keys = ", ".join(f"CAST({k} AS VARCHAR)" for k in LKEY)
+    h = f"md5(concat_ws(':', {keys}, '42:' || CAST((b.b - 1) // 4 AS VARCHAR)))"
+    return f"(CAST(('0x' || substr({h}, CAST(((b.b - 1) % 4) * 8 + 1 AS INTEGER), 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
 def _sql_poisson(u: str) -> str:
     th = FD.poisson_thresholds()
     return "CASE " + " ".join(f"WHEN {u} < {t!r}::DOUBLE THEN {j}" for j, t in enumerate(th)) + f" ELSE {len(th)} END"
@@ -117,7 +124,7 @@ def _sql_poisson(u: str) -> str:
 
 @register("bootstrap_auc_ci", f"""WITH s AS (SELECT {', '.join(LKEY)}, l_linestatus AS cell, l_discount AS score,
                                         CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
-e AS (SELECT s.*, b.b, {_sql_poisson(sql_hash_uniform([*LKEY, 'b.b'], 42))} AS w FROM s CROSS JOIN (SELECT range AS b FROM range(1, {B + 1})) b),
+e AS (SELECT s.*, b.b, {_sql_poisson(_sql_u_slot())} AS w FROM s CROSS JOIN (SELECT range AS b FROM range(1, {B + 1})) b),
 g AS (SELECT cell, b, score, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM e WHERE w > 0 GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cell, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g),
 a AS (SELECT cell, b, sum(pos * (nb + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY cell, b)
