@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from synthlab.functions.exprs import exact_sum
 from synthlab.operators.ordered import global_rank
+from synthlab.session import cut_lineage
 
 
 # ---- P1-P3: columns --------------------------------------------------------------------------
@@ -76,10 +77,12 @@ def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=list(cols))
 
 
-def align_columns(df: DataFrame, schema_df: DataFrame) -> DataFrame:
-    """Reindex to the columns of ``schema_df``; missing columns become 0 of the right type."""
+def align_columns(df: DataFrame, schema_df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Reindex to the columns of ``schema_df``; missing columns become 0 of the right type.
+    Columns in ``extra`` (e.g. ``syn_rank``) are carried through unchanged."""
     have = set(df.columns)
-    return df.select(*[(F.col(c) if c in have else F.lit(0)).cast(t).alias(c) for c, t in schema_df.dtypes])
+    return df.select(*[(F.col(c) if c in have else F.lit(0)).cast(t).alias(c) for c, t in schema_df.dtypes],
+                     *[F.col(c) for c in extra])
 
 
 def cast_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -153,6 +156,9 @@ def clv_rollup(lines: DataFrame, invoices: DataFrame, *, invoice: str, customer:
     per_customer = joined.groupBy(customer).agg(
         exact_sum("_rev").alias("_spend"), F.count(F.lit(1)).alias("frequency"),
         F.max(date).alias("_last"), F.sum("_lines").alias("_lines"), F.sum("_qty").alias("num_items"))
+    # the snapshot is a second consumer of the per-customer table; without materialising it the
+    # optimizer prunes that branch differently and re-scans and re-aggregates all lines
+    per_customer = cut_lineage(per_customer)
     snapshot = per_customer.agg(F.max("_last").alias("_snap"))
     return (per_customer.filter(F.col("_spend") > 0)
             .crossJoin(F.broadcast(snapshot))

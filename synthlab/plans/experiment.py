@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from synthlab.operators import generate as G
 from synthlab.operators import sampling as S
 from synthlab.operators.metrics import balanced_weights, regression_metrics
+from synthlab.operators.prep import align_columns
 from synthlab.plans.models import classification_metrics, fit_score, fit_score_regression
 from synthlab.session import cut_lineage
 
@@ -118,7 +119,8 @@ def run_experiment(ds: Dataset, generators: Sequence[str] = ("smote", "bootstrap
                     rows.append(_row(ds, n_train, seed, g, "augmented", a, clf, error=f"{type(e).__name__}: {e}"))
             continue
         cols = [ds.key, *ds.features, ds.target]
-        syn_rows = syn.withColumn(ds.key, F.lit(None).cast(dict(train.dtypes)[ds.key]))
+        # Synthetic rows reindexed to the training columns (the key, absent, becomes 0)
+        syn_rows = align_columns(syn, train.select(*cols), extra=["syn_rank"])
         for clf in classifiers:
             if tstr and g != "smote":  # SMOTE is minority-only: no TSTR (P1)
                 tr = syn_rows.filter(F.col("syn_rank") <= n_train).select(*cols)

@@ -331,13 +331,16 @@ _ADV, _RNG = _sql_recommend("pos_rate")
 
 @register("recommend", f"""WITH p AS (SELECT event_type AS profile, avg(CAST(value > 150.0::DOUBLE AS DOUBLE)) AS pos_rate,
                                  CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type)
-SELECT profile, round(pos_rate, 6) AS pos_rate, n, {_ADV} AS advice, {_RNG} AS alpha_range FROM p""")
+SELECT profile, round(pos_rate, 6) AS pos_rate, n, {_ADV} AS advice, {_RNG} AS alpha_range,
+       CASE WHEN pos_rate < 0.01 THEN 'extreme' WHEN pos_rate < 0.10 THEN 'moderate' ELSE 'mild' END AS regime FROM p""")
 def q_recommend(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     p = ev.groupBy(F.col("event_type").alias("profile")).agg(
         F.avg((F.col("value") > 150.0).cast("double")).alias("pos_rate"), F.count(F.lit(1)).cast("long").alias("n"))
     adv, rng = RP.recommend(F.col("pos_rate"))
-    return p.select("profile", r6("pos_rate").alias("pos_rate"), "n", adv.alias("advice"), rng.alias("alpha_range"))
+    from synthlab.operators.prep import imbalance_regime
+    return p.select("profile", r6("pos_rate").alias("pos_rate"), "n", adv.alias("advice"), rng.alias("alpha_range"),
+                    imbalance_regime(F.col("pos_rate")).alias("regime"))
 
 
 @register("gain_to_cost", f"""WITH {SQL_AM}, {SQL_BM}, {SQL_BEST}
