@@ -73,6 +73,9 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     # reused by both as-of lookups and both candidate joins: materialise once
     slabbed = cut_lineage(ranked.withColumn("_s", (F.col("_r") / slab_size).cast("long")).drop("_r"))
     starts = slabbed.groupBy("_s").agg(F.min("_p").alias("_v0"))
+
+    def slab_of(vals: DataFrame) -> DataFrame:
+        return _slab_of(vals, starts, key_type)
     members = slabbed.select(F.col("_s").alias("_ms"), F.col("_k").alias("nn_key"), F.col("_v").alias("_nv"))
     key_type = reference.schema[key].dataType
 
@@ -80,7 +83,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     if queries is reference:
         q = slabbed
     else:
-        own = _slab_of(q.select("_k", F.lit("own").alias("_side"), F.col("_p").alias("_x")), starts, key_type)
+        own = slab_of(q.select("_k", F.lit("own").alias("_side"), F.col("_p").alias("_x")))
         q = cut_lineage(q.join(own.select("_k", F.col("_slab").alias("_s")), "_k"))
 
     def candidates(qq: DataFrame) -> DataFrame:
@@ -102,15 +105,21 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     if exclude_self:
         j1 = j1.filter(F.col("nn_key") != F.col("_k"))
     c1 = j1.select("_s", "_k", "nn_key", sq_dist(F.col("_v"), F.col("_nv"), dims).alias("_d2"))
+    # top-k per query from its candidates (at most 3 slabs, a bounded list): hash aggregate grouped by
+    # (slab, query), which the join's partitioning already satisfies -- no sort of all pairs
+    best = c1.groupBy("_s", "_k").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("_d2", "nn_key"))), 1, k).alias("_top"))
+    t1 = best.select("_k", F.posexplode("_top").alias("_pos", "_t")).select(
+        "_k", F.col("_t.nn_key").alias("nn_key"), F.col("_t._d2").alias("_d2"), (F.col("_pos") + 1).alias("nn_rank"))
     # phase-1 neighbours feed both the radius and the final answer: materialise once
-    t1 = cut_lineage(top(c1, ("_s", "_k")).drop("_s"))
+    t1 = cut_lineage(t1)
     rad = t1.groupBy("_k").agg(F.max("_d2").alias("_r2"), F.count(F.lit(1)).alias("_c"))
     # points with fewer than k candidates need every slab (radius unbounded)
     qr = q.join(rad, "_k", "left").withColumn(
         "_rad", F.when(F.col("_c") >= k, F.sqrt("_r2")).otherwise(F.lit(float("inf"))))
     lo = qr.select("_k", (F.col("_p") - F.col("_rad")).alias("_x"), F.lit("lo").alias("_side"))
     hi = qr.select("_k", (F.col("_p") + F.col("_rad")).alias("_x"), F.lit("hi").alias("_side"))
-    a = _slab_of(lo.unionByName(hi), starts, key_type)
+    a = slab_of(lo.unionByName(hi))
     rng = cut_lineage(a).groupBy("_k").agg(F.min(F.when(F.col("_side") == "lo", F.col("_slab"))).alias("_lo"),
                               F.max(F.when(F.col("_side") == "hi", F.col("_slab"))).alias("_hi"))
     q2 = (qr.join(rng, "_k").select("_k", "_v", "_s", F.explode(F.sequence("_lo", "_hi")).alias("_cs"))
