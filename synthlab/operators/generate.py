@@ -42,7 +42,7 @@ def smote(train: DataFrame, key: str, features: Sequence[str], target: str, n: i
     nn = knn(minority, key, "_x", k_eff, slab_size=slab_size, dims=len(features))
     base = hash_rank(minority, [key], seed, name="_idx").withColumn("_idx", F.col("_idx") - 1)
     if isinstance(n, DataFrame):
-        ids = spark.range(0, 1).crossJoin(n.select(F.col("n_syn").cast("long"))).select(
+        ids = n.select(F.col("n_syn").cast("long")).select(
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_syn") - 1)).alias("id"))
         ids = ids.filter(F.col("id").isNotNull())
     else:

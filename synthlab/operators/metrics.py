@@ -44,7 +44,7 @@ def auc_ap(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
     fp = F.col("n_neg") - F.col("neg_before")
     ap = t2.groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("n_pos")) * F.try_divide(tp, tp + fp)).alias("avg_precision"))
     del w
-    res = per_cell.join(ap, list(by), "inner") if by else per_cell.crossJoin(ap)
+    res = per_cell.join(ap, list(by), "inner") if by else per_cell.crossJoin(F.broadcast(ap))
     return res.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                                   F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc_roc"),
                       F.when(F.col("n_pos") > 0, F.col("avg_precision")).alias("avg_precision"),

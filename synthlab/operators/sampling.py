@@ -223,7 +223,7 @@ def nested_prefix(syn: DataFrame, alphas: DataFrame, n_real, rank_col: str = "sy
     condition runs as a broadcast nested-loop join that never shuffles ``syn``."""
     a = alphas.select(F.col("alpha").cast("double").alias("alpha"))
     if isinstance(n_real, DataFrame):
-        a = a.crossJoin(n_real.select(F.col("n_real").cast("long").alias("_nr")))
+        a = a.crossJoin(F.broadcast(n_real.select(F.col("n_real").cast("long").alias("_nr"))))  # one row
     else:
         a = a.withColumn("_nr", F.lit(int(n_real)).cast("long"))
     a = a.select("alpha", n_for_alpha(F.col("_nr"), F.col("alpha"), rounding).alias("n_alpha"))

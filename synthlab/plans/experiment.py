@@ -153,18 +153,31 @@ def run_ci(ds: Dataset, seeds: Sequence[int], **kw) -> list[tuple]:
     return out
 
 
+def experiment_grid(spark: SparkSession, datasets: Sequence[str], seeds: Sequence[int], classifiers: Sequence[str],
+                    methods: Sequence[str] = ("baseline",), alphas: Sequence[float | None] = (None,)) -> DataFrame:
+    """The experiment grid (cross product of small parameter lists) as chained explodes of
+    literal arrays in one single-partition relation -- no join, so no partition cross product."""
+    g = spark.range(1).select()
+    for name, vals, typ in [("dataset", datasets, "string"), ("seed", seeds, "int"), ("classifier", classifiers, "string"),
+                            ("method", methods, "string"), ("alpha", alphas, "double")]:
+        arr = F.array(*[F.lit(v).cast(typ) for v in vals])
+        g = g.withColumn(name, F.explode(arr))
+    return g
+
+
 def run_multi_classifier(spark: SparkSession, ds: Dataset, seeds: Sequence[int], classifiers: Sequence[str],
                          done: DataFrame | None = None, **kw) -> DataFrame:
-    """Seeds x classifiers with resume: (seed, classifier) pairs with a valid method row at the
-    largest alpha in ``done`` are skipped (T8)."""
+    """Seeds x classifiers with resume.  Pending (seed, classifier) cells = grid anti-join the
+    cells of ``done`` that have a valid method row at the largest alpha (J6, T8: a baseline row alone
+    does not finish a cell)."""
     todo = [(s, c) for s in seeds for c in classifiers]
     if done is not None:
         alphas = kw.get("alphas", ALPHAS)
-        ok = (done.filter((F.col("dataset") == ds.name) & (F.col("alpha") == max(alphas)) &
-                          F.col("auc_roc").isNotNull() & F.col("error").isNull())
-              .select("seed", "classifier").distinct().collect())  # tiny: one row per finished cell
-        finished = {(r["seed"], r["classifier"]) for r in ok}
-        todo = [t for t in todo if t not in finished]
+        grid = experiment_grid(spark, [ds.name], seeds, classifiers)
+        ok = (done.filter((F.col("alpha") == max(alphas)) & F.col("auc_roc").isNotNull() & F.col("error").isNull())
+              .select("dataset", "seed", "classifier"))
+        pending = grid.join(ok, ["dataset", "seed", "classifier"], "left_anti").select("seed", "classifier")
+        todo = sorted((r["seed"], r["classifier"]) for r in pending.collect())  # bounded by the grid
     rows = []
     for s, c in todo:
         rows.extend(run_experiment(ds, seed=s, classifiers=(c,), **kw))

@@ -71,7 +71,7 @@ def classification_metrics(scored: DataFrame, label: str, by: Sequence[str] = ()
     """M8: AUC, AP and minority F1 (prediction = P(1) > 0.5) per cell."""
     a = M.auc_ap(scored, "score", label, by)
     f = M.f1_minority(scored, "score", label, by)
-    return (a.join(f, list(by)) if by else a.crossJoin(f)).select(*by, "auc_roc", "avg_precision", "f1_minority")
+    return (a.join(f, list(by)) if by else a.crossJoin(F.broadcast(f))).select(*by, "auc_roc", "avg_precision", "f1_minority")
 
 
 def fit_score_regression(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, seed: int = 42) -> DataFrame:

@@ -241,7 +241,8 @@ def q_lookup(spark, sf_dir):
     b = r.filter(F.col("method") == "baseline").select("dataset", "n", "seed", F.col("auc").alias("base"))
     w = (r.filter((F.col("method") == "method") & (F.col("n") == 100)).join(b, ["dataset", "n", "seed"])
          .filter(F.col("auc") - F.col("base") > 0.01).groupBy("dataset", "alpha").agg(F.count(F.lit(1)).alias("wins")))
-    grid = r.select("dataset").distinct().crossJoin(r.filter(F.col("alpha").isNotNull()).select("alpha").distinct())
+    # distinct alphas: bounded by the experiment grid
+    grid = r.select("dataset").distinct().crossJoin(F.broadcast(r.filter(F.col("alpha").isNotNull()).select("alpha").distinct()))
     return grid.join(w, ["dataset", "alpha"], "left").select(
         "dataset", "alpha", F.coalesce(F.col("wins"), F.lit(0)).cast("long").alias("wins"))
 

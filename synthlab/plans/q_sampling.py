@@ -151,7 +151,7 @@ def q_leak(spark, sf_dir):
     t, h, pool = _pool(spark, sf_dir)
     a = S.leak_check(S.small_n(pool, KEY, SMALL_N, 7), h, KEY).agg(F.count(F.lit(1)).alias("overlap_pool_draw"))
     b = S.leak_check(S.small_n(t, KEY, SMALL_N, 7), h, KEY).agg(F.count(F.lit(1)).alias("overlap_all_rows_draw"))
-    return a.crossJoin(b).select(F.col("overlap_pool_draw").cast("long"), F.col("overlap_all_rows_draw").cast("long"))
+    return a.crossJoin(F.broadcast(b)).select(F.col("overlap_pool_draw").cast("long"), F.col("overlap_all_rows_draw").cast("long"))
 
 
 # ---- single_class_guard (D14): n=50 draws for five seeds on the rarest target ---------------------------------

@@ -118,3 +118,26 @@ def test_knn_exact_against_brute_force(spark):
         d = sorted(((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2, j) for j, y in pts if j != i)
         for r in range(3):
             assert got[(i, r + 1)] == d[r][1]
+
+
+def test_prepared_and_guarded_write(spark):
+    from synthlab.sources import files as FS
+    base = FS.scratch_path(spark, "sinks")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(10)
+
+    assert FS.prepared(spark, f"{base}/prep", build).count() == 10
+    assert FS.prepared(spark, f"{base}/prep", build).count() == 10
+    assert len(calls) == 1                                   # S8: built once, then read
+    assert FS.guarded_write(spark, spark.range(10), f"{base}/art", f"{base}/side") == f"{base}/art"
+    assert FS.guarded_write(spark, spark.range(4), f"{base}/art", f"{base}/side") == f"{base}/side"   # S11
+    assert spark.read.parquet(f"{base}/art").count() == 10
+
+
+def test_experiment_grid_is_cross_product(spark):
+    from synthlab.plans.experiment import experiment_grid
+    g = experiment_grid(spark, ["a", "b"], [1, 2, 3], ["gbc", "lr"], ["smote"], [0.1, 1.0])
+    assert g.count() == 2 * 3 * 2 * 1 * 2
