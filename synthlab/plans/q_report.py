@@ -145,13 +145,16 @@ def q_outlier(spark, sf_dir):
 
 # classifier = n band stand-in, generator = dataset stand-in
 CLASSIFIER_OF_N = [(100, "gbc"), (500, "lr"), (1000, "rf")]
+CLASSIFIER_DISPLAY_ORDER = ["gbc", "lr", "rf", "mlp"]
 
 
 @register("multi_classifier_summary", f"""WITH {SQL_AM}, {SQL_BM},
 g AS (SELECT CASE n {' '.join(f"WHEN {k} THEN '{v}'" for k, v in CLASSIFIER_OF_N)} END AS classifier, dataset AS generator,
              mean - baseline_mean AS gain, alpha FROM am JOIN bm USING (dataset, n))
-SELECT classifier, generator, round(max(gain), 6) AS best_gain, arg_max(alpha, (gain, -alpha)) AS best_alpha
-FROM g GROUP BY ALL""")
+SELECT classifier, generator, round(max(gain), 6) AS best_gain, arg_max(alpha, (gain, -alpha)) AS best_alpha,
+       CAST(any_value(o.display_rank) AS BIGINT) AS display_rank
+FROM g JOIN (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(CLASSIFIER_DISPLAY_ORDER, 1))}) o(cls, display_rank) ON g.classifier = o.cls
+GROUP BY classifier, generator""")
 def q_multi(spark, sf_dir):
     r = X.results_long(spark, sf_dir)
     g = RP.alpha_means(r, CELL).join(RP.baseline_means(r, CELL), CELL)
@@ -161,7 +164,11 @@ def q_multi(spark, sf_dir):
     g = g.select(cls.alias("classifier"), F.col("dataset").alias("generator"), "alpha",
                  (F.col("mean") - F.col("baseline_mean")).alias("gain"))
     best = g.groupBy("classifier", "generator").agg(F.max(F.struct("gain", (-F.col("alpha")).alias("na"))).alias("_b"))
-    return best.select("classifier", "generator", r6("_b.gain").alias("best_gain"), (-F.col("_b.na")).alias("best_alpha"))
+    # O3: fixed display order of categories through a join to a small order table
+    order = spark.createDataFrame([(c, i) for i, c in enumerate(CLASSIFIER_DISPLAY_ORDER, 1)], "classifier STRING, display_rank BIGINT")
+    out = best.join(F.broadcast(order), "classifier")
+    return out.select("classifier", "generator", r6("_b.gain").alias("best_gain"), (-F.col("_b.na")).alias("best_alpha"),
+                      "display_rank").orderBy("display_rank", "generator")
 
 
 @register("pivot_wide", f"""WITH r AS ({RA})
