@@ -40,13 +40,31 @@ def _order(keys: Sequence[str]) -> list[Column]:
     return [F.col(H)] + [F.col(k) for k in keys]
 
 
+REFINE_ABOVE = 2_000_000   # boundary buckets larger than this get a second 16-bit level
+
+
+def _boundary(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
+    """Per group: first bucket whose running count reaches the quota ``_q`` and how many rows of it
+    are needed.  A quota <= 0 lands on the first bucket with need <= 0 (nothing chosen); a group
+    smaller than its quota has no boundary (everything chosen)."""
+    w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = counts.withColumn("_cum", F.sum("_n").over(w))
+    return (c.filter(F.col("_cum") >= F.col("_q")).groupBy(*by)
+            .agg(F.min(F.struct(F.col(bucket).alias("b"), (F.col("_q") - F.col("_cum") + F.col("_n")).alias("need"),
+                                F.col("_n").alias("size"))).alias("_s"))
+            .select(*by, F.col("_s.b").alias("_bstar"), F.col("_s.need").alias("_need"), F.col("_s.size").alias("_bsize")))
+
+
 def select_smallest(df: DataFrame, keys: Sequence[str], seed, quota, by: Sequence[str] = (),
-                    flag: str | None = None, digits: int = BUCKET_DIGITS) -> DataFrame:
+                    flag: str | None = None, digits: int = BUCKET_DIGITS,
+                    refine_above: int | None = REFINE_ABOVE) -> DataFrame:
     """Exact "q rows with the smallest hash per group".
 
     ``quota`` is an int or a DataFrame ``(*by, _quota)`` (groups missing from it get 0).  With
     ``flag`` every row is kept and ``flag`` is true for the chosen rows; otherwise only the chosen
-    rows are returned.
+    rows are returned.  When a boundary bucket holds more than ``refine_above`` rows (about 1.3e11
+    rows in one group at the default), its rows are counted again on the next 16 hash bits and only
+    the second-level boundary bucket is ranked with a window.
     """
     by = list(by)
     grouped = bool(by)
@@ -58,27 +76,36 @@ def select_smallest(df: DataFrame, keys: Sequence[str], seed, quota, by: Sequenc
     hashed = with_hash(df, keys, seed).withColumn(B, hash_bucket(F.col(H), digits))
 
     counts = hashed.groupBy(*by, B).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_cum", F.sum("_n").over(w))
     if isinstance(quota, DataFrame):
         counts = (counts.join(quota.select(*by, "_quota"), by, "left")
-                  .withColumn("_q", F.coalesce(F.col("_quota").cast("long"), F.lit(0).cast("long"))))
+                  .withColumn("_q", F.coalesce(F.col("_quota").cast("long"), F.lit(0).cast("long"))).drop("_quota"))
     else:
         counts = counts.withColumn("_q", F.lit(int(quota)).cast("long"))
-    # first bucket whose running count reaches the quota; a quota <= 0 lands on the first bucket
-    # with need <= 0, so nothing is chosen; a group smaller than its quota has no boundary
-    boundary = (counts.filter(F.col("_cum") >= F.col("_q"))
-                .groupBy(*by)
-                .agg(F.min(F.struct(F.col(B).alias("b"), (F.col("_q") - F.col("_cum") + F.col("_n")).alias("need")))
-                     .alias("_s"))
-                .select(*by, F.col("_s.b").alias("_bstar"), F.col("_s.need").alias("_need")))
-    joined = hashed.join(boundary, by, "left")
+    boundary = _boundary(counts, by, B)
+    refine = False
+    if refine_above is not None:
+        from synthlab.session import cut_lineage
+        boundary = cut_lineage(boundary)            # one row per group
+        biggest = boundary.agg(F.max("_bsize")).first()[0]
+        refine = biggest is not None and biggest > refine_above
+    joined = hashed.join(boundary.drop("_bsize"), by, "left")
     bstar = F.coalesce(F.col("_bstar"), F.lit(1 << (4 * digits)))
-    edge = joined.filter(F.col(B) == bstar)
-    rest = joined.filter(F.col(B) != bstar)
     wr = Window.partitionBy(*by).orderBy(*_order(keys))
-    edge = edge.withColumn("_chosen", F.row_number().over(wr) <= F.col("_need"))
-    rest = rest.withColumn("_chosen", F.col(B) < bstar)
+    rest = joined.filter(F.col(B) != bstar).withColumn("_chosen", F.col(B) < bstar)
+    edge = joined.filter(F.col(B) == bstar)
+    if refine:
+        b2 = F.conv(F.substring(F.col(H), digits + 1, 4), 16, 10).cast("int")
+        edge = edge.withColumn("_b2", b2)
+        c2 = edge.groupBy(*by, "_b2").agg(F.count(F.lit(1)).alias("_n")).join(
+            boundary.select(*by, F.col("_need").alias("_q")), by, "inner")
+        bd2 = _boundary(c2, by, "_b2").select(*by, F.col("_bstar").alias("_bstar2"), F.col("_need").alias("_need2"))
+        e2 = edge.join(bd2, by, "left")
+        bstar2 = F.coalesce(F.col("_bstar2"), F.lit(1 << 16))
+        rest2 = e2.filter(F.col("_b2") != bstar2).withColumn("_chosen", F.col("_b2") < bstar2)
+        edge2 = e2.filter(F.col("_b2") == bstar2).withColumn("_chosen", F.row_number().over(wr) <= F.col("_need2"))
+        edge = rest2.unionByName(edge2).drop("_b2", "_bstar2", "_need2")
+    else:
+        edge = edge.withColumn("_chosen", F.row_number().over(wr) <= F.col("_need"))
     out = rest.unionByName(edge).drop(H, B, "_bstar", "_need")
     if not grouped:
         out = out.drop("_g")
