@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,22 +32,39 @@ def get_spark(master: str | None = None, app: str = "synthlab",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate data.
 
-    On a cluster the folder is set by the cluster (a shared file system); only when it is
-    unset (tests, local runs) a fresh local folder is created and registered.
+    Order: ``spark.checkpoint.dir`` of the session, then the folder set with
+    ``sc.setCheckpointDir``.  Only a single-machine session (``local[...]``) that has neither gets
+    a fresh temporary folder; on a cluster that would be a folder executors cannot read, so it is
+    an error there.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="synthlab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="synthlab-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf_dir)
-    return conf_dir
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared folder (never a machine-local temp dir)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and reread it: like a checkpoint, but
+    columnar, so later reads prune columns and push filters."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,18 +1,12 @@
 """Delimited scans, result files and sinks."""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthlab.session import checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from synthlab.session import scratch_path  # noqa: F401  (used by the source queries)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, sep: str = ",",
