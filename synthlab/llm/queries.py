@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthlab.sources.tables import load
-from synthlab.llm import oracle, quality, sharding
+from synthlab.llm import oracle, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -37,3 +37,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = sharding.assign_shards(docs, "doc_id", 16, ties=["size", "text_crc32"])
     return placed.withColumn("law", F.lit("key"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
