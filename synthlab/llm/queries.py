@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthlab.sources.tables import load
-from synthlab.llm import oracle, quality, sharding, simhash, toxicity
+from synthlab.llm import oracle, pieces, quality, sharding, simhash, token_counts, token_files, toxicity
+
+#: vocabulary files, by name in the public tokenizers' folder
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -50,3 +53,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(load(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
+@query()
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(load(spark, sf_dir, "documents").select("doc_id", "text"), BYTES)
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), BYTES)
