@@ -26,7 +26,7 @@ from synthlab.llm.common import text_udf
 MARK = "▁"
 #: a run of markers (as spaces) and the characters up to the next
 MARKED_WORD = re.compile(r" +[^ ]*")
-_PROBE = "  a  bﬁ ①　C "
+_PROBE = "  a  b" + "".join(map(chr, (0xFB01, 0x20, 0x2460, 0x3000, 0xFF23, 0x20)))
 
 
 class Model:

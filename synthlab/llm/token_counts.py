@@ -12,15 +12,14 @@ are read again, from there.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthlab.llm.chartypes import BLANK, END, SPACE, classes
 from synthlab.llm.common import text_udf
 from synthlab.llm.pieces import located
 from synthlab.llm.transducer import Transducer, Vocabulary
@@ -28,23 +27,10 @@ from synthlab.llm.transducer import Transducer, Vocabulary
 LIMIT = 512
 #: characters in one buffer; bytes of a lane; lanes below which single steps are quicker
 BUFFER_CHARS, LANE, FEW = 2_000_000, 512, 24
-END, LETTER, NUMBER, SPACE, BLANK, OTHER = range(6)
-#: Unicode white space other than the space
-BLANKS = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: a border in any text: a single space between two other characters
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-@cache
-def classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)),
-                      np.uint8, 0x110000)
-    out[BLANKS] = BLANK
-    out[32] = SPACE
-    return out
-
-
 def borders(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """True where a chunk begins.  ``codes`` are the code points of texts laid end to end, ``first``
     marks the first character of each."""

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from synthlab.llm.chartypes import BLANK, LETTER, NUMBER, SPACE, ranges
 from synthlab.llm.chunks import ChunkTable, blocks, id_bytes, id_lists
 from synthlab.llm.common import texts_of
 from synthlab.llm.pieces import located
@@ -33,29 +33,12 @@ ROW_GROUP, PAGE_BYTES, PAGE_ROWS, DICTIONARY_BYTES = 32 << 20, 256 << 10, 4000,
 FILE_CHARS = 64 << 20
 
 
-def _ranges(*categories: str) -> str:
-    """The code points of some general categories as the inside of a character class."""
-    out, start = [], None
-    for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] in categories
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-#: white space of the byte-level pattern (the Unicode property)
-SPACES = r"\t-\r\x20\x85\xa0  -     　"
-
-
 @cache
 def chunk_pattern() -> re.Pattern:
     """The byte-level chunk pattern, with its Unicode classes spelled out."""
-    letters, numbers = _ranges("L"), _ranges("N")
-    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+"
-                      f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+    letters, numbers, blanks = ranges(LETTER), ranges(NUMBER), ranges(SPACE, BLANK)
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+"
+                      f"|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
 
 
 class Encoder:
