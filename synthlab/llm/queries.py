@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthlab.sources.tables import load
-from synthlab.llm import oracle, pieces, quality, sharding, simhash, token_counts, token_files, toxicity
+from synthlab.llm import oracle, pieces, quality, sharding, simhash, token_counts, token_files, toxicity, warc
 
 #: vocabulary files, by name in the public tokenizers' folder
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -68,3 +68,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), BYTES)
+
+
+@query(oracle.WARC)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(load(spark, sf_dir, "pages"))
