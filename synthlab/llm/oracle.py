@@ -40,3 +40,29 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND n > 1 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+_WORDS = ("regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text='text')} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(text='text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item, w, least(len(w), 13) AS span FROM b WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item, span, array_to_string(w[i:i + span - 1], ' ') AS win
+  FROM (SELECT item, w, span, unnest(range(1, len(w) - span + 2)) AS i FROM sized)),
+spans AS (SELECT DISTINCT span FROM windows),
+places AS (
+  SELECT doc_id, span, i, array_to_string(w[i:i + span - 1], ' ') AS win
+  FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS i FROM d, spans WHERE len(w) >= span)),
+hits AS (SELECT doc_id, span, i, item FROM places JOIN windows USING (span, win)),
+words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(i, i + span)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthlab.sources.tables import load
-from synthlab.llm import oracle, pieces, quality, sharding, simhash, token_counts, token_files, toxicity, warc
+from synthlab.llm import decontaminate, oracle, pieces, quality, sharding, simhash, token_counts, token_files, toxicity, warc
 
 #: vocabulary files, by name in the public tokenizers' folder
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -26,6 +26,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query(oracle.DECONTAMINATION)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, load(spark, sf_dir, "benchmark")).drop("text_md5")
+
+
 @query()
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
