@@ -2,22 +2,40 @@
 
 A tokenizer whose pieces never cross certain places can be applied chunk by chunk.  A task cuts its
 texts there, encodes the chunks it has not met yet in one call, and puts the ids of a text together
-by looking its chunks up in order.  The table is a memo of bounded size in the worker process: two
-generations, of which the older is dropped when the younger is full.  Dropping costs time only.
+by looking its chunks up in order.  The table is a memo of bounded size in the worker process;
+dropping it costs time only.
 """
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 
 #: chunks in one generation
-GENERATION = 400_000
+GENERATION = 150_000
+
+
+class Memo(dict):
+    """A dict from chunk to value that computes what it lacks; ``trim``, called between texts,
+    empties it when it holds more than ``size`` chunks."""
+
+    def __init__(self, compute: Callable[[str], object], size: int):
+        super().__init__()
+        self.compute, self.size = compute, size
+
+    def __missing__(self, chunk: str):
+        value = self[chunk] = self.compute(chunk)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.clear()
 
 
 class ChunkTable:
-    """Memo from chunk to value; ``encode`` maps a list of chunks to a list of values."""
+    """Table from chunk to value; ``encode`` maps a list of new chunks to a list of values."""
 
     def __init__(self, encode: Callable[[list[str]], list], generation: int = GENERATION):
         self.encode, self.generation = encode, generation
@@ -43,7 +61,7 @@ class ChunkTable:
 
 
 def id_bytes(ids: Iterable[int]) -> bytes:
-    return np.fromiter(ids, np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 def id_lists(rows: list[bytes]) -> pa.Array:
@@ -55,7 +73,7 @@ def id_lists(rows: list[bytes]) -> pa.Array:
 
 
 #: characters of text cut and joined at a time
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterable[list[str]]:

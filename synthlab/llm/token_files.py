@@ -21,32 +21,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from synthlab.llm.chartypes import BLANK, LETTER, NUMBER, SPACE, ranges
-from synthlab.llm.chunks import ChunkTable, blocks, id_bytes, id_lists
+from synthlab.llm.chunks import Memo, id_bytes, id_lists
 from synthlab.llm.common import texts_of
 from synthlab.llm.pieces import located
+from synthlab.llm.transducer import byte_alphabet
 from synthlab.session import scratch_path
 
 END_ID = 2
 #: sizes of the file format: row groups of 32 MB, pages of 256 KB or 4,000 rows
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS, DICTIONARY_BYTES = 32 << 20, 256 << 10, 4000, 4 << 20
+#: distinct words and chunks that a worker process remembers, about 200 bytes each
+WORDS, CHUNKS = 500_000, 400_000
+#: texts encoded at a time
+ROWS = 500
 #: characters of text that one output file should hold
 FILE_CHARS = 64 << 20
 
 
+def _pattern(letters: str, numbers: str, blanks: str) -> re.Pattern:
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+"
+                      f"|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
+#: the chunk pattern for texts of ASCII characters only
+ASCII_PATTERN = _pattern("A-Za-z", "0-9", r"\t-\r ")
+
+
 @cache
 def chunk_pattern() -> re.Pattern:
     """The byte-level chunk pattern, with its Unicode classes spelled out."""
-    letters, numbers, blanks = ranges(LETTER), ranges(NUMBER), ranges(SPACE, BLANK)
-    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+"
-                      f"|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+    return _pattern(ranges(LETTER), ranges(NUMBER), ranges(SPACE, BLANK))
+
+
+class _Irregular(Exception):
+    """A text with white space beside a space; it is cut by the chunk pattern as a whole."""
 
 
 class Encoder:
-    """A tokenizer file of the tokenizers library with its table of chunks.
+    """A tokenizer file of the tokenizers library behind tables of distinct words and chunks.
 
-    Byte-level BPE never merges across its chunk pattern, so chunks are encoded alone; strings of
-    special tokens in a text are matched first, as the library does.  A file of any other kind
-    encodes whole texts.
+    Byte-level BPE never merges across its chunk pattern, and a single space between two other
+    characters always begins a chunk.  So texts are cut at spaces, each distinct word is cut by the
+    pattern once, and each distinct chunk goes through the library's model once.  Strings of special
+    tokens in a text are matched first, as the library does.  A file of any other kind encodes whole
+    texts.
     """
 
     def __init__(self, path: str):
@@ -60,31 +78,54 @@ class Encoder:
         self.by_chunk = (plain and not spec.get("normalizer") and before.get("type") == "ByteLevel"
                          and before.get("use_regex", True) and not before.get("add_prefix_space", True)
                          and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges"))
-        names = sorted((a["content"] for a in added), key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.table = ChunkTable(self._encode)
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [id_bytes(e.ids) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def cut(self, text: str) -> list[str]:
+        self.special = {a["content"]: np.int32(a["id"]).tobytes() for a in added}
+        names = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self.cut_special = re.compile("(" + "|".join(names) + ")") if names else None
+        self.model = self.library.model
+        self.pattern = chunk_pattern()
+        shown = {b: c for c, b in byte_alphabet().items()}
+        self.stand_ins = {b: shown[b] for b in range(256)}
+        self.chunks = Memo(self._chunk, CHUNKS)
+        self.words = Memo(self._word, WORDS)
+
+    def _chunk(self, chunk: str) -> bytes:
+        shown = chunk.encode("utf-8").decode("latin-1").translate(self.stand_ins)
+        return id_bytes([t.id for t in self.model.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Irregular
+        return self._cut(" " + word)
+
+    def _cut(self, text: str) -> bytes:
+        pattern = ASCII_PATTERN if text.isascii() else self.pattern
+        return b"".join(map(self.chunks.__getitem__, pattern.findall(text)))
+
+    def _plain(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        try:
+            if words and (not first or first[-1].isspace()):
+                raise _Irregular
+            return self._cut(first) + b"".join(map(self.words.__getitem__, words))
+        except _Irregular:
+            return self._cut(text)
+
+    def encode_text(self, text: str) -> bytes:
+        """Ids as int32 bytes."""
+        self.words.trim()
+        self.chunks.trim()
+        if not text:
+            return b""
         if not self.by_chunk:
-            return [text] if text else []
-        find = chunk_pattern().findall
-        if self.special is None or not self.special.search(text):
-            return find(text)
-        out: list[str] = []
-        for i, part in enumerate(self.special.split(text)):
-            out += [part] if i % 2 else find(part)
-        return out
+            return id_bytes(self.library.encode(text, add_special_tokens=False).ids)
+        if self.cut_special is None or not any(name in text for name in self.special):
+            return self._plain(text)
+        return b"".join(self.special[p] if i % 2 else self._plain(p) if p else b""
+                        for i, p in enumerate(self.cut_special.split(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for block in blocks(texts):
-            cut = [self.cut(t) for t in block]
-            known = self.table.get_all(cut)
-            out += [b"".join([known[c] for c in chunks]) for chunks in cut]
-        return out
+        return list(map(self.encode_text, texts))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -120,15 +161,18 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, key:
     end = np.int32(end_id).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
+        before, own = 0, encoder(vocabulary)
         for batch in batches:
-            tokens = [r + end for r in encoder(vocabulary).encode(texts_of(batch, "t"))]
-            counts = np.array([len(r) // 4 for r in tokens], dtype=np.int64)
-            starts = before + np.cumsum(counts) - counts
-            before += int(counts.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), id_lists(tokens), pa.array(counts), pa.array(starts)],
-                ["key", "ids", "n_tokens", "file_start"])
+            for at in range(0, batch.num_rows, ROWS):              # bounds what is held in Python
+                part = batch.slice(at, ROWS)
+                block = texts_of(part, "t")
+                tokens = [r + end for r in own.encode(block)]
+                counts = np.array([len(r) // 4 for r in tokens], dtype=np.int64)
+                starts = before + np.cumsum(counts) - counts
+                before += int(counts.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("k"), id_lists(tokens), pa.array(counts), pa.array(starts)],
+                    ["key", "ids", "n_tokens", "file_start"])
     kind = rows.schema["k"].dataType.simpleString()
     out = ordered.mapInArrow(encoded, f"key {kind}, ids array<int>, n_tokens bigint, file_start bigint")
     (out.write
