@@ -1,6 +1,8 @@
 """DuckDB twins of the text queries, where SQL can express them."""
 from __future__ import annotations
 
+from synthlab.llm import licences
+
 #: CRC-32 of a text in SQL: a table built by the bitwise rule, then one fold over the bytes
 _CRC_TABLE = ("SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: "
               "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, x)) AS steps")
@@ -66,3 +68,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _form(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(licences.COPYRIGHT_LINE)}, ' ', 'g')"
+    out = f"regexp_replace(replace({out}, '&', ' and '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for pattern, spelling in licences.SPELLINGS:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(spelling)}, 'g')"
+    return out
+
+
+_ONE_LINE = "trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'))"
+
+LICENCES = f"""
+WITH t(licence, text) AS (VALUES {', '.join(f'({_quoted(n)}, {_quoted(x)})' for n, x in licences.KNOWN)}),
+known AS (
+  SELECT sha256(f) AS digest, min(licence) AS licence
+  FROM (SELECT licence, {_ONE_LINE.format(form=_form('text'))} AS f FROM t) WHERE f <> '' GROUP BY 1),
+d AS (SELECT doc_id, {_form('text')} AS form FROM documents),
+w AS (SELECT doc_id, form, sha256({_ONE_LINE.format(form='form')}) AS text_digest FROM d),
+lines AS (SELECT doc_id, sha256(trim(unnest(string_split(form, chr(10))))) AS digest FROM w),
+n AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names
+  FROM lines JOIN known USING (digest) GROUP BY doc_id)
+SELECT w.doc_id, w.text_digest, known.licence, coalesce(n.n, 0) AS n_notices, coalesce(n.names, '') AS notices
+FROM w LEFT JOIN known ON w.text_digest = known.digest LEFT JOIN n ON w.doc_id = n.doc_id
+"""

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from synthlab.sources.tables import load
-from synthlab.llm import decontaminate, oracle, pieces, quality, sharding, simhash, token_counts, token_files, toxicity, warc
+from synthlab.llm import decontaminate, licences, oracle, pieces, quality, sharding, simhash, token_counts, token_files, toxicity, warc
 
 #: vocabulary files, by name in the public tokenizers' folder
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -76,6 +77,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), BYTES)
 
 
+@query(oracle.LICENCES)
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(load(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 @query(oracle.WARC)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(load(spark, sf_dir, "pages"))
+
+
+QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
