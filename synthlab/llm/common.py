@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: words: runs of characters that are not ASCII white space
 WORD = re.compile(r"[^ \t-\r]+")
 
+#: texts of an Arrow batch that are Python strings at a time
+ROWS = 500
+
 #: A-Z only; other letters keep their case
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -27,17 +30,6 @@ def fold_column(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
-def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """``mapInArrow`` with one function per record batch.  Spark bounds a batch by rows and bytes,
-    so a task holds one batch, not its partition."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
-    return df.mapInArrow(run, schema)
-
-
 def text_udf(schema: str, fn: Callable[[list[str]], pa.Array]) -> Callable[[Column], Column]:
     """An Arrow UDF from the texts of a batch (null counts as empty) to one value each.
 
@@ -45,7 +37,8 @@ def text_udf(schema: str, fn: Callable[[list[str]], pa.Array]) -> Callable[[Colu
     so that Catalyst runs it once, where it stands, and not again in a filter above it.
     """
     def run(column: pa.Array) -> pa.Array:
-        return fn([t or "" for t in column.to_pylist()])
+        parts = [fn([t or "" for t in column.slice(i, ROWS).to_pylist()]) for i in range(0, len(column), ROWS)]
+        return pa.concat_arrays(parts) if parts else fn([])
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, schema).asNondeterministic()
 
