@@ -31,7 +31,7 @@ END_ID = 2
 #: sizes of the file format: row groups of 32 MB, pages of 256 KB or 4,000 rows
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS, DICTIONARY_BYTES = 32 << 20, 256 << 10, 4000, 4 << 20
 #: distinct words and chunks that a worker process remembers, about 200 bytes each
-WORDS, CHUNKS = 500_000, 400_000
+WORDS, CHUNKS = 800_000, 100_000
 #: texts encoded at a time
 ROWS = 500
 #: characters of text that one output file should hold
@@ -85,17 +85,24 @@ class Encoder:
         self.pattern = chunk_pattern()
         shown = {b: c for c, b in byte_alphabet().items()}
         self.stand_ins = {b: shown[b] for b in range(256)}
+        self.space = shown[32]
         self.chunks = Memo(self._chunk, CHUNKS)
         self.words = Memo(self._word, WORDS)
 
-    def _chunk(self, chunk: str) -> bytes:
-        shown = chunk.encode("utf-8").decode("latin-1").translate(self.stand_ins)
+    def _ids(self, shown: str) -> bytes:
         return id_bytes([t.id for t in self.model.tokenize(shown)])
 
+    def _chunk(self, chunk: str) -> bytes:
+        return self._ids(chunk.encode("utf-8").decode("latin-1").translate(self.stand_ins))
+
     def _word(self, word: str) -> bytes:
         """Ids of a word with a space before it."""
+        if word.isalpha():                       # one chunk; ASCII letters stand for themselves
+            return self._ids(self.space + word) if word.isascii() else self._chunk(" " + word)
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Irregular
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.chunks[word[-1]]
         return self._cut(" " + word)
 
     def _cut(self, text: str) -> bytes:
@@ -144,7 +151,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, key:
     """Encode every whole text, append ``end_id`` and write the files; returns their folder.
 
     ``ids`` names the encoding of the ids column, ``dictionary`` or ``delta``.  Rows are in
-    ascending order of key (nulls first), then of the text's MD5, over the files by name.  Rows
+    ascending order of key (nulls first), then of the text's XXH64, over the files by name.  Rows
     of one key may lie in two files.  Null and empty texts are the end id alone.  An empty table
     gives files without rows.  Other columns are dropped.
     """
@@ -152,7 +159,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, key:
         raise ValueError("ids is dictionary or delta")
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
-    tie = F.md5(F.coalesce(F.col(text), F.lit("")))
+    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), tie.alias("m"))
     chars = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,7 +183,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, key:
     kind = rows.schema["k"].dataType.simpleString()
     out = ordered.mapInArrow(encoded, f"key {kind}, ids array<int>, n_tokens bigint, file_start bigint")
     (out.write
-     .option("compression", "zstd")
+     .option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
      .option("parquet.writer.version", "v2")                    # delta encoding where no dictionary
      .option("parquet.enable.dictionary", "false")
      .option("parquet.enable.dictionary#ids.list.element", "true" if ids == "dictionary" else "false")
