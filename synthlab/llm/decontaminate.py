@@ -38,14 +38,22 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _parts(text: Column, use) -> Column:
+    """``use(parts, lead, tail)`` of the folded text cut at what is no word; only the first and the
+    last part can be empty, which lead and tail tell (0 or 1)."""
+    def run(parts: Column) -> Column:
+        return use(parts, F.when(parts[0] == "", 1).otherwise(0),
+                   F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0))
+    return _let(F.split(fold_column(F.coalesce(text, F.lit(""))), NOT_WORD), run)
+
+
 def words_of(text: Column) -> Column:
     """Words of the folded text; null has none."""
-    def trim(parts: Column) -> Column:
-        # only the first and the last part can be empty
-        lead = F.when(parts[0] == "", 1).otherwise(0)
-        tail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-        return F.slice(parts, lead + 1, F.size(parts) - lead - tail)
-    return _let(F.split(fold_column(F.coalesce(text, F.lit(""))), NOT_WORD), trim)
+    return _parts(text, lambda parts, lead, tail: F.slice(parts, lead + 1, F.size(parts) - lead - tail))
+
+
+def word_count(text: Column) -> Column:
+    return _parts(text, lambda parts, lead, tail: (F.size(parts) - lead - tail).cast("long"))
 
 
 def scheme(span: int) -> tuple[int, int]:
@@ -105,6 +113,13 @@ def _equal_run(a: Column, a_at: Column, b: Column, b_at: Column, step: int, most
     return out
 
 
+def _each(fingerprints_column: str) -> Column:
+    """One row per fingerprint.  The outer form is no filter on its input; from the plain one Spark
+    infers a filter and pushes it down to the text, which computes all fingerprints twice.  The
+    join drops the null of a text without any."""
+    return F.explode_outer(fingerprints_column).alias("v")
+
+
 def item_fingerprints(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(span, hash, item, item_words, item_before): what a document's fingerprint is compared with.
     Contexts repeated within an item are kept once.  Items without words or without an id have none."""
@@ -115,7 +130,7 @@ def item_fingerprints(items: DataFrame, key: str = "item_id", text: str = "text"
     out = None
     for span in sorted(r["span"] for r in words.select("span").distinct().collect()):      # 13 values at most
         prints = words.where(F.col("span") == span).select("item", "w", fingerprints(F.col("w"), span).alias("v"))
-        each = prints.select("item", "w", F.explode("v").alias("v"))
+        each = prints.select("item", "w", _each("v"))
         at = F.col("v").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
         near, before = _around(F.col("w"), at, span)
         part = each.select(F.lit(span).alias("span"), F.shiftright("v", POSITION_BITS).alias("hash"), "item",
@@ -136,12 +151,12 @@ def _hits(docs: DataFrame, prints: DataFrame, span: int, broadcast: bool) -> Dat
     position = F.col("v").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
     digest = F.md5("text").alias("text_md5")
     if broadcast:
-        each = with_prints.select("doc", "text", "w", F.explode("v").alias("v"))
+        each = with_prints.select("doc", "text", "w", _each("v"))
         met = (each.withColumn("hash", F.shiftright("v", POSITION_BITS)).join(F.broadcast(own), "hash")
                .withColumn("at", position).withColumn("text_md5", F.md5("text")))
     else:
         # narrow rows first; texts join again for the documents that met an item
-        each = with_prints.select("doc", digest, F.explode("v").alias("v"))
+        each = with_prints.select("doc", digest, _each("v"))
         near = (each.withColumn("hash", F.shiftright("v", POSITION_BITS))
                 .join(own.select("hash").distinct(), "hash", "left_semi").withColumn("at", position))
         texts = worded.select(F.col("doc").alias("d"), F.md5("text").alias("m"), "w").dropDuplicates(["d", "m"])
@@ -151,7 +166,8 @@ def _hits(docs: DataFrame, prints: DataFrame, span: int, broadcast: bool) -> Dat
     met = met.select("doc", "text_md5", "item", "at", "item_words", "item_before",
                      around.alias("doc_words"), before.alias("doc_before"))
     d, db, i, ib = (F.col(c) for c in ("doc_words", "doc_before", "item_words", "item_before"))
-    met = met.where(F.slice(d, db + 1, F.lit(k)) == F.slice(i, ib + 1, F.lit(k)))
+    # as a run of words, not as an equality of arrays, which Spark would make a key of the join
+    met = met.where(_equal_run(d, db, i, ib, 1, k) == k)
     left, right = _equal_run(d, db - 1, i, ib - 1, -1, span - k), _equal_run(d, db + k, i, ib + k, 1, span - k)
     return (met.withColumn("l", left).withColumn("r", right).where(F.col("l") + F.col("r") + k >= span)
             .select("doc", "text_md5", "item", (F.col("at") - F.col("l")).alias("start"),
@@ -191,7 +207,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                .groupBy("doc", "text_md5")
                .agg(F.sum("new").cast("long").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items")))
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias("k"), F.md5(body).alias("m"), F.size(words_of(body)).cast("long").alias("n_words"))
+    base = docs.select(F.col(key).alias("k"), F.md5(body).alias("m"), word_count(body).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return (base.join(per_doc, F.col("k").eqNullSafe(F.col("doc")) & (F.col("m") == F.col("text_md5")), "left")
             .select(F.col("k").alias(key), F.col("m").alias("text_md5"), "n_words", n_hit.alias("n_hit"),
