@@ -20,7 +20,9 @@ SPELLINGS = (
     (r"\backnowledgement", "acknowledgment"), (r"\bfavour", "favor"), (r"\bjudgement", "judgment"),
     (r"\bwhilst\b", "while"), (r"\borganisation", "organization"), (r"\bhttps\b", "http"),
 )
-ANY_SPELLING = "|".join(pattern for pattern, _ in SPELLINGS)
+#: what a text must hold for any of them to apply (the patterns without their edges)
+SPELLING_SIGNS = ("copyright owner", "sub licen", "licence", "non commercial", "non infringement", "per cent",
+                  "acknowledgement", "favour", "judgement", "whilst", "organisation", "https")
 #: a line that states a copyright, or that all rights are reserved, in lower case (fixed value)
 COPYRIGHT_LINE = r"(?m)^[^\n\w]*(?:copyright\s*(?:\(c\)|©|[0-9])|\(c\)\s*[0-9]|©|all rights reserved)[^\n]*$"
 COPYRIGHT_SIGNS = ("copyright", "(c)", "©", "all rights")
@@ -64,14 +66,18 @@ KNOWN = (
 )
 
 
+def _any_of(text: Column, signs: tuple[str, ...]) -> Column:
+    """Most texts hold none of the signs, and plain searches are much cheaper than a pattern."""
+    found = F.lit(False)
+    for sign in signs:
+        found = found | F.contains(text, F.lit(sign))
+    return found
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical form with the line breaks kept; null counts as empty."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    # most texts hold none of these, and a plain search is cheaper than the pattern
-    states = F.lit(False)
-    for sign in COPYRIGHT_SIGNS:
-        states = states | F.contains(out, F.lit(sign))
-    out = F.when(states, F.regexp_replace(out, COPYRIGHT_LINE, " ")).otherwise(out)
+    out = F.when(_any_of(out, COPYRIGHT_SIGNS), F.regexp_replace(out, COPYRIGHT_LINE, " ")).otherwise(out)
     return F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", " ")
 
 
@@ -80,7 +86,7 @@ def spelled(form: Column) -> Column:
     out = form
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling)
-    return F.when(form.rlike(ANY_SPELLING), out).otherwise(form)
+    return F.when(_any_of(form, SPELLING_SIGNS), out).otherwise(form)
 
 
 def one_line(form: Column) -> Column:
@@ -119,12 +125,19 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     shaped = forms(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t")
     whole = shaped.select("k", "form", _sha(one_line(F.col("form"))).alias("text_digest"))
-    lines = whole.select("k", "text_digest", F.posexplode(F.split("form", "\n")).alias("at", "line"))
-    found = (lines.withColumn("digest", _sha(F.trim("line"))).join(side, "digest")
-             .select("k", "text_digest", "at", "licence").distinct()
-             .groupBy(F.col("k").alias("k2"), F.col("text_digest").alias("d2"))
-             .agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("names")))
-    named = whole.select("k", "text_digest").join(side.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    return (named.join(found, F.col("k").eqNullSafe(F.col("k2")) & (F.col("text_digest") == F.col("d2")), "left")
-            .select(F.col("k").alias(key), "text_digest", "licence", F.coalesce("n", F.lit(0).cast("long")).alias("n_notices"),
-                    F.coalesce("names", F.lit("")).alias("notices")))
+    # place 0 is the whole text, the lines follow; the outer form keeps Spark from pushing a filter
+    # on the pieces down to the text, which would compute them twice
+    pieces = F.concat(F.array("text_digest"), F.transform(F.split("form", "\n"), lambda line: _sha(F.trim(line))))
+    each = (whole.select("k", "text_digest", pieces.alias("pieces"))
+            .select("k", "text_digest", F.posexplode_outer("pieces").alias("at", "digest")))
+    line = F.when(F.col("at") > 0, F.col("licence"))
+    per_text = (each.join(side, "digest", "left").groupBy("k", "text_digest")
+                .agg(F.count_if(F.col("at") == 0).alias("copies"),
+                     F.max(F.when(F.col("at") == 0, F.col("licence"))).alias("licence"),
+                     F.count(line).alias("lines"), F.sort_array(F.collect_set(line)).alias("names")))
+    # rows equal in key and form were counted together
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return (per_text.select("*", copy)
+            .select(F.col("k").alias(key), "text_digest", "licence",
+                    (F.col("lines") / F.col("copies")).cast("long").alias("n_notices"),
+                    F.array_join("names", ",").alias("notices")))
