@@ -1,7 +1,9 @@
 """Small shared column expressions."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 6
@@ -12,8 +14,18 @@ def r6(c: Column | str, digits: int = DIGITS) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a.cast("double") / b.cast("double"))
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+            broadcast: bool = False) -> DataFrame:
+    """Join on keys where NULL equals NULL; the keys of ``left`` are kept.  Without keys ``right`` is
+    a one-row table."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    renamed = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+        same = one if same is None else same & one
+    return left.join(F.broadcast(renamed) if broadcast else renamed, same, how).drop(*[f"_on_{k}" for k in keys])
 
 
 def exact_sum(c: Column | str, scale: int = 10) -> Column:
@@ -21,7 +33,3 @@ def exact_sum(c: Column | str, scale: int = 10) -> Column:
     as DOUBLE, so every engine and every partitioning gives the same bits."""
     col = F.col(c) if isinstance(c, str) else c
     return F.sum(col.cast(f"decimal(38,{scale})")).cast("double")
-
-
-def sql_exact_sum(expr: str, scale: int = 10) -> str:
-    return f"CAST(sum(CAST({expr} AS DECIMAL(38,{scale}))) AS DOUBLE)"

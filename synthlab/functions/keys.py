@@ -40,6 +40,11 @@ def hash_uniform(keys: Sequence[str | Column], salt) -> Column:
     return uniform_from_hex(hash_hex(keys, salt))
 
 
+def hash_uniform52(keys: Sequence[str | Column], salt) -> Column:
+    """52 bits, for picking one of more than 2**32 rows."""
+    return F.conv(F.substring(hash_hex(keys, salt), 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
+
+
 def hash_bucket(h: Column, digits: int = 4) -> Column:
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
@@ -72,3 +77,7 @@ def sql_hash_normal(keys: Sequence[str], salt) -> str:
     u1 = f"((CAST(('0x' || substr({h}, 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
     u2 = sql_uniform_from_hex(h, 9)
     return f"(sqrt(-2.0::DOUBLE * ln({u1})) * cos({2 * math.pi!r}::DOUBLE * {u2}))"
+
+
+def sql_hash_uniform52(keys: Sequence[str], salt) -> str:
+    return f"(CAST(('0x' || substr({sql_hash_hex(keys, salt)}, 1, 13)) AS BIGINT) / {float(2 ** 52)!r}::DOUBLE)"

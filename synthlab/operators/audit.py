@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthlab.functions.exprs import join_on
+
 
 def dedup_latest_valid(log: DataFrame, cell: Sequence[str], attempt: str = "attempt",
                        metric: str = "auc") -> DataFrame:
@@ -31,14 +33,15 @@ def run_audit(log: DataFrame, by: Sequence[str], cell: Sequence[str], metric: st
 
 
 def resume_pending(plan: DataFrame, done: DataFrame, cell: Sequence[str], metric: str = "auc") -> DataFrame:
-    """J6 (T8): cells of the plan without a valid row in ``done`` (a baseline row alone does not count)."""
+    """J6 (T8): cells of the plan without a valid row in ``done`` (a baseline row alone does not count).
+    Cell keys may be NULL, as alpha is for baselines."""
     ok = done.filter(F.col(metric).isNotNull() & F.col("error").isNull()).select(*cell)
-    return plan.join(ok, list(cell), "left_anti")
+    return join_on(plan, ok, cell, "left_anti")
 
 
 def run_drift(a: DataFrame, b: DataFrame, cell: Sequence[str], by: Sequence[str], metric: str = "auc") -> DataFrame:
     """Same cells in two runs: matched cells, max |diff|, exact agreement flag."""
-    j = (a.select(*cell, F.col(metric).alias("_a")).join(b.select(*cell, F.col(metric).alias("_b")), list(cell), "inner"))
+    j = join_on(a.select(*cell, F.col(metric).alias("_a")), b.select(*cell, F.col(metric).alias("_b")), cell)
     return j.groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias("n_matched"),
                               F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs_diff")).withColumn(
         "agree", F.col("max_abs_diff") == 0)

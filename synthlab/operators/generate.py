@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from synthlab.functions.keys import hash_normal, hash_uniform
+from synthlab.functions.keys import hash_normal, hash_uniform, hash_uniform52
 from synthlab.operators.knn import knn
 from synthlab.operators.sampling import hash_rank
 
@@ -28,6 +28,11 @@ def smote_guard(n_minority: int, k: int = 5) -> tuple[int, str | None]:
     return min(k, n_minority - 1), None
 
 
+def smote_skip(n_minority: int, k: int = 5) -> str | None:
+    """Reason to leave SMOTE out of a run: the minority cannot give k neighbours to each row."""
+    return None if n_minority > k else f"skipped: {n_minority} minority rows, SMOTE with k={k} needs {k + 1}"
+
+
 def smote(train: DataFrame, key: str, features: Sequence[str], target: str, n: int | DataFrame, seed,
           k: int = 5, slab_size: int = 256) -> DataFrame:
     """G1: ``n`` new minority rows (target = 1): synthetic row i takes base row (i mod m) of the
@@ -41,12 +46,7 @@ def smote(train: DataFrame, key: str, features: Sequence[str], target: str, n: i
         raise ValueError(err)
     nn = knn(minority, key, "_x", k_eff, slab_size=slab_size, dims=len(features))
     base = hash_rank(minority, [key], seed, name="_idx").withColumn("_idx", F.col("_idx") - 1)
-    if isinstance(n, DataFrame):
-        ids = n.select(F.col("n_syn").cast("long")).select(
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_syn") - 1)).alias("id"))
-        ids = ids.filter(F.col("id").isNotNull())
-    else:
-        ids = spark.range(0, int(n))
+    ids = spark.range(0, int(n.first()["n_syn"] if isinstance(n, DataFrame) else n))
     syn = ids.select(F.col("id").alias("_i"), (F.col("id") % F.lit(m)).alias("_idx"),
                      (F.floor(hash_uniform(["id"], f"{seed}:nn") * k_eff) + 1).cast("long").alias("nn_rank"),
                      hash_uniform(["id"], f"{seed}:lam").alias("_lam"))
@@ -68,7 +68,7 @@ def bootstrap_jitter(train: DataFrame, key: str, features: Sequence[str], target
     sds = train.agg(*[F.stddev_samp(c).alias(f"_sd_{c}") for c in features])
     ids = spark.range(0, int(n)).select(
         F.col("id").alias("_i"),
-        F.least(F.floor(hash_uniform(["id"], f"{seed}:pick") * m).cast("long"), F.lit(m - 1)).alias("_idx"))
+        F.least(F.floor(hash_uniform52(["id"], f"{seed}:pick") * m).cast("long"), F.lit(m - 1)).alias("_idx"))
     j = ids.join(ranked, "_idx").crossJoin(F.broadcast(sds))
     cols = [(F.col(c) + F.lit(sigma) * F.coalesce(F.col(f"_sd_{c}"), F.lit(0.0)) * hash_normal(["_i"], f"{seed}:{c}")).alias(c)
             for c in features]
@@ -115,9 +115,16 @@ def _norm_cdf_col(z):
     return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
+DISCRETE_VALUES = 64     # columns of at most so many values keep exactly these values
+
+
 def copula_fit(train: DataFrame, key: str, features: Sequence[str], grid: int = 1000) -> tuple[DataFrame, list[list[float]]]:
-    """Fit marginals (``grid``-point quantile tables, one row per column and grid point) and the
-    correlation of normal scores (d x d, small, to the driver).  Normal scores use mid-ranks."""
+    """Fit marginals and the correlation of normal scores (d x d, small, to the driver).
+
+    Rows (col, g, q, p): a column of many values has a ``grid``-point quantile table (p NULL); a
+    column of at most ``DISCRETE_VALUES`` values has its values in order with exact cumulative
+    shares p, so no value is invented and a rare one keeps its share.  Normal scores use mid-ranks.
+    """
     import numpy as np
     from pyspark.ml.stat import Correlation
     from pyspark.ml.feature import VectorAssembler
@@ -132,54 +139,88 @@ def copula_fit(train: DataFrame, key: str, features: Sequence[str], grid: int =
     np.fill_diagonal(corr, 1.0)
     # quantile tables: approximate percentiles (bounded-memory sketch per column), grid points 0..1
     probs = [i / (grid - 1) for i in range(grid)]
-    qs = train.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * grid).alias(c) for c in features]).first()
-    q_rows = [(c, i, float(v)) for c in features for i, v in enumerate(qs[c])]
-    qtab = train.sparkSession.createDataFrame(q_rows, "col STRING, g INT, q DOUBLE")
-    return qtab, corr.tolist()
+    one = train.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * grid).alias(c) for c in features],
+                    *[F.approx_count_distinct(c).alias(f"_n_{c}") for c in features]).first()
+    few = [c for c in features if one[f"_n_{c}"] <= DISCRETE_VALUES]
+    rows = [(c, i, float(v), None) for c in features if c not in few for i, v in enumerate(one[c] or [])]
+    if few:
+        counts = (train.select(*[F.col(c).cast("double").alias(c) for c in few]).unpivot([], few, "col", "q")
+                  .where("q is not null").groupBy("col", "q").agg(F.count(F.lit(1)).alias("c")).orderBy("col", "q").collect())
+        for c in few:                                  # about 64 values of each
+            own = [(r["q"], r["c"]) for r in counts if r["col"] == c]
+            total, cum = sum(k for _, k in own), 0
+            for i, (v, k) in enumerate(own):
+                cum += k
+                rows.append((c, i, float(v), cum / total))
+    return train.sparkSession.createDataFrame(rows, "col STRING, g INT, q DOUBLE, p DOUBLE"), corr.tolist()
+
+
+def _cholesky(corr: list[list[float]]):
+    """Lower factor; a small ridge keeps it defined for a singular correlation."""
+    import numpy as np
+    c = np.array(corr)
+    return np.linalg.cholesky(c + 1e-9 * np.eye(len(c)))
 
 
 def copula_sample(spark: SparkSession, qtab: DataFrame, corr: list[list[float]], features: Sequence[str],
                   n: int, seed, grid: int = 1000) -> DataFrame:
     """z = L e (Cholesky of the normal-score correlation), u = Phi(z), x = empirical quantile
-    at u (linear between grid points).  The quantile table (d x grid rows) is a constant-size
-    broadcast; draws are generated per id, fully parallel."""
-    import numpy as np
-    c = np.array(corr)
-    # small ridge keeps Cholesky defined for singular correlation
-    L = np.linalg.cholesky(c + 1e-9 * np.eye(len(features)))
+    at u (linear between grid points; for columns of few values the value whose cumulative share
+    reaches u).  The quantile table (d x grid rows) is a constant-size broadcast; draws are
+    generated per id, fully parallel.  ``_z_<col>`` holds the normal score of each column."""
+    L = _cholesky(corr)
     ids = spark.range(0, int(n))
     e = [hash_normal(["id"], f"{seed}:e{j}") for j in range(len(features))]
     zs = []
-    for i in range(len(features)):
+    for i, c in enumerate(features):
         acc = F.lit(0.0)
         for j in range(i + 1):
             if L[i, j] != 0.0:
                 acc = acc + F.lit(float(L[i, j])) * e[j]
-        zs.append(acc.alias(f"_z{i}"))
+        zs.append(acc.alias(f"_z_{c}"))
     draws = ids.select(F.col("id"), *zs)
-    qmap = qtab.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("g", "q"))).alias("_qs"))
+    qmap = qtab.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("g", "q", "p"))).alias("_qs"))
     qwide = qmap.groupBy().pivot("col", list(features)).agg(F.first("_qs"))
     j = draws.crossJoin(F.broadcast(qwide))
     out = []
-    for i, col in enumerate(features):
-        u = _norm_cdf_col(F.col(f"_z{i}"))
+    for col in features:
+        u = _norm_cdf_col(F.col(f"_z_{col}"))
         pos = u * (grid - 1)
         lo = F.least(F.floor(pos).cast("int"), F.lit(grid - 2))
         frac = pos - lo
-        qlo = F.element_at(F.col(col), lo + 1)["q"]
-        qhi = F.element_at(F.col(col), lo + 2)["q"]
-        out.append((qlo + frac * (qhi - qlo)).alias(col))
-    return j.select((F.col("id") + 1).alias("syn_rank"), *out)
+        qlo = F.get(F.col(col), lo)["q"]
+        qhi = F.get(F.col(col), lo + 1)["q"]
+        reached = F.get(F.filter(F.col(col), lambda s: s["p"] >= F.least(u, F.lit(1.0))), F.lit(0))["q"]
+        out.append(F.when(F.get(F.col(col), F.lit(0))["p"].isNull(), qlo + frac * (qhi - qlo)).otherwise(reached).alias(col))
+    return j.select((F.col("id") + 1).alias("syn_rank"), *out, *[f"_z_{c}" for c in features])
+
+
+Fit = tuple[DataFrame, list[list[float]]]
+
+
+def copula_fit_with_class(train: DataFrame, key: str, features: Sequence[str], target: str, grid: int = 1000) -> Fit:
+    """The fit of ``gaussian_copula``, to be shared by several seeds."""
+    return copula_fit(train.withColumn(target, F.col(target).cast("double")), key, [*features, target], grid)
 
 
 def gaussian_copula(train: DataFrame, key: str, features: Sequence[str], target: str, n: int, seed,
-                    grid: int = 1000) -> DataFrame:
-    """G2 with a categorical target: the class is a copula column whose marginal is the class mix,
-    so the synthetic class share tracks the training share."""
+                    grid: int = 1000, fit: Fit | None = None) -> DataFrame:
+    """G2 with a categorical target: the class is a copula column; rows are ranked by its normal
+    score and cut at the exact class shares, so each class has its share of ``n`` to within one row."""
+    from synthlab.operators.ordered import global_rank
     cols = list(features) + [target]
-    qtab, corr = copula_fit(train.withColumn(target, F.col(target).cast("double")), key, cols, grid)
+    qtab, corr = fit or copula_fit_with_class(train, key, features, target, grid)
     s = copula_sample(train.sparkSession, qtab, corr, cols, n, seed, grid)
-    return s.withColumn(target, F.round(F.col(target)).cast("int"))
+    s = global_rank(s.withColumn("_o", F.struct(f"_z_{target}", "syn_rank")), "_o", name="_at")
+    shares = train.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("c")).orderBy(target).collect()
+    total, cum, label = sum(r["c"] for r in shares), 0, None
+    for r in shares[:-1]:                              # one row per class
+        cum += r["c"]
+        below = F.col("_at") < (2 * cum * int(n) + total) // (2 * total)
+        label = F.when(below, F.lit(r[target])) if label is None else label.when(below, F.lit(r[target]))
+    last = F.lit(shares[-1][target]) if shares else F.lit(None)
+    label = last if label is None else label.otherwise(last)
+    return s.select("syn_rank", *features, label.cast(train.schema[target].dataType).alias(target))
 
 
 def log_frequency_shares(train: DataFrame, target: str) -> DataFrame:
@@ -190,26 +231,30 @@ def log_frequency_shares(train: DataFrame, target: str) -> DataFrame:
 
 
 def class_targeted(train: DataFrame, key: str, features: Sequence[str], target: str, n: int, seed,
-                   pos_share: float | None = None) -> DataFrame:
+                   pos_share: float | None = None, generator: str = "copula",
+                   fits: dict | None = None) -> DataFrame:
     """Class mix shifted toward the minority (log-frequency shares unless ``pos_share``), then
-    rows sampled within each class by bootstrap-jitter (classes under 30 rows) or copula."""
-    shares = {r[target]: (r["share"], r["_n"]) for r in log_frequency_shares(train, target).collect()}
+    rows sampled within each class by the named generator, ``copula`` or ``bootstrap``, the same one
+    for classes of every size.  ``fits`` (class -> fit) is filled and reused across calls."""
+    fits = {} if fits is None else fits
+    if generator not in ("copula", "bootstrap"):
+        raise ValueError("generator is copula or bootstrap")
+    shares = {r[target]: r["share"] for r in log_frequency_shares(train, target).collect()}
     if pos_share is not None:
-        shares = {cls: ((pos_share if cls == 1 else 1 - pos_share), cnt) for cls, (_, cnt) in shares.items()}
+        shares = {cls: (pos_share if cls == 1 else 1 - pos_share) for cls in shares}
     parts = []
     offset = 0
     for cls in sorted(shares):
-        share, cnt = shares[cls]
-        quota = int(round(share * n))
-        if quota <= 0:
-            continue
+        quota = int(round(shares[cls] * n))
         sub = train.filter(F.col(target) == cls)
-        if cnt < 30:
+        if generator == "bootstrap":
             g = bootstrap_jitter(sub, key, features, target, quota, f"{seed}:{cls}")
         else:
-            qtab, corr = copula_fit(sub, key, features)
-            g = copula_sample(train.sparkSession, qtab, corr, features, quota, f"{seed}:{cls}").withColumn(
-                target, F.lit(cls))
+            if cls not in fits:
+                fits[cls] = copula_fit(sub, key, features)
+            qtab, corr = fits[cls]
+            g = copula_sample(train.sparkSession, qtab, corr, features, quota, f"{seed}:{cls}").select(
+                "syn_rank", *features).withColumn(target, F.lit(cls))
         parts.append(g.withColumn("syn_rank", F.col("syn_rank") + offset))
         offset += quota
     out = parts[0]

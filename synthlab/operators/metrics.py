@@ -4,7 +4,7 @@ Exact ROC AUC (ties at mid-rank, Mann-Whitney) and average precision (step sum,
 need running totals over scores in order.  They are computed from one distributed prefix sum:
 
 * aggregate to one row per (cell, distinct score) with positive/negative counts (partial agg);
-* cut the score axis into value buckets (split points from one approximate-quantile pass);
+* range-partition these rows on (score, cell), which cuts the score axis into buckets;
 * per-bucket totals (one row per bucket and cell) become offsets;
 * a window inside each (cell, bucket) adds the local running sum to the offset
   (``operators.ordered.running_before``).
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthlab.functions.exprs import join_on
 from synthlab.operators.ordered import running_before  # noqa: F401  (re-exported)
 
 EPS = 2.220446049250313e-16  # fixed value: double machine epsilon (MAPE denominator floor)
@@ -33,18 +34,15 @@ def score_table(scored: DataFrame, score: str, label: str, by: Sequence[str] = (
 def auc_ap(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """W3 + W4 per cell: auc_roc, avg_precision, n_pos, n_neg (NULL when a class is missing)."""
     t = score_table(scored, score, label, by)
-    w = Window.partitionBy(*by) if by else None
     per_cell = t.groupBy(*by).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
         F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("_u"))
     # AP needs the cell totals: tp(s) = P - pos_before, fp(s) = N - neg_before
-    t2 = t.join(per_cell.select(*by, "n_pos", "n_neg"), list(by), "inner") if by else t.crossJoin(
-        F.broadcast(per_cell.select("n_pos", "n_neg")))
+    t2 = join_on(t, per_cell.select(*by, "n_pos", "n_neg"), by)
     tp = F.col("n_pos") - F.col("pos_before")
     fp = F.col("n_neg") - F.col("neg_before")
     ap = t2.groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("n_pos")) * F.try_divide(tp, tp + fp)).alias("avg_precision"))
-    del w
-    res = per_cell.join(ap, list(by), "inner") if by else per_cell.crossJoin(F.broadcast(ap))
+    res = join_on(per_cell, ap, by)
     return res.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                                   F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc_roc"),
                       F.when(F.col("n_pos") > 0, F.col("avg_precision")).alias("avg_precision"),
@@ -77,14 +75,14 @@ def balanced_weights(df: DataFrame, target: str, name: str = "weight") -> DataFr
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     counts = counts.select(target, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(name))
-    return df.join(counts, target, "inner")
+    return join_on(df, counts, [target])
 
 
 def best_f1_threshold(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """threshold (a distinct score, predict score >= t) maximizing F1; ties -> highest threshold."""
     t = score_table(scored, score, label, by)
     cell = t.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    t = t.join(cell, list(by), "inner") if by else t.crossJoin(F.broadcast(cell))
+    t = join_on(t, cell, by)
     tp = F.col("_P") - F.col("pos_before")
     fp = F.col("_N") - F.col("neg_before")
     f1 = F.try_divide(2.0 * tp, tp + F.col("_P") + fp)

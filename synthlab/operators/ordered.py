@@ -1,107 +1,60 @@
 """Distributed order statistics without a global single-task window.
 
-Both primitives cut the order axis into ~P value buckets whose split points come from one
-``percentile_approx`` aggregate (P - 1 numbers to the driver, bounded by the partition count).  A
-row's bucket is a pure function of its order value, so recomputation after an executor loss gives
-the same buckets and no dependence on partition ids.  The (usually aggregated) input is checkpointed
-once into the shared folder because it is read twice.  Per-bucket totals (P rows per
-group) become offsets; windows run inside (group, bucket) partitions of ~n/P rows each.
+Rows are range-partitioned on the whole order key (a struct compares field by field, so one frequent
+first field still spreads over tasks), the partition number is kept as the bucket, and the result is
+written once as Parquet to the shared folder: later reads see fixed buckets, prune columns, and do
+not recompute anything upstream.  Spark's range partitioner samples the split points of any
+orderable type; no expression grows with the number of buckets.  Per-bucket totals (P rows per
+group) become offsets; windows run inside (group, bucket) partitions of about n/P rows.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructType
 
-from synthlab.session import cut_lineage
+from synthlab.functions.exprs import join_on
+from synthlab.session import materialise
 
-NUMERIC = (NumericType,)
+BUCKET = "_bk"
 
-ACCURACY = 10000
 
-
-def _head(df: DataFrame, order: str) -> Column:
-    """Numeric/ordered value used for bucketing: the first field of a struct order key."""
-    dt = df.schema[order].dataType
-    if isinstance(dt, StructType):
-        return F.col(order).getField(dt.fields[0].name)
-    return F.col(order)
-
-
-SAMPLE_PER_BUCKET = 100
-
-
-def split_points(df: DataFrame, head: Column, buckets: int) -> list:
-    """P - 1 split points of the order axis (numeric: approximate quantiles; other orderable types:
-    quantiles of a bounded seeded sample, at most ~100 values per bucket reach the driver)."""
-    if buckets <= 1:
-        return []
-    dt = df.select(head.alias("_h")).schema[0].dataType
-    if isinstance(dt, NUMERIC):
-        probs = [i / buckets for i in range(1, buckets)]
-        row = df.agg(F.percentile_approx(head, probs, ACCURACY).alias("q")).first()
-        pts = row["q"] or []
-    else:
-        total = df.count()
-        want = SAMPLE_PER_BUCKET * buckets
-        frac = min(1.0, want / max(total, 1))
-        sample = [r[0] for r in df.select(head.alias("_h")).sample(False, frac, seed=7).dropna().orderBy("_h").collect()]
-        pts = [sample[(i * len(sample)) // buckets] for i in range(1, buckets)] if sample else []
-    return sorted({p for p in pts if p is not None})
-
-
-def bucket_of(head: Column, points: list) -> Column:
-    """Number of split points <= value (0..len(points)); a sum of comparisons, codegen friendly."""
-    if not points:
-        return F.lit(0)
-    acc = F.lit(0)
-    for p in points:
-        acc = acc + F.when(head >= F.lit(p), 1).otherwise(0)
-    return acc
-
-
-def _nbuckets(df: DataFrame, buckets: int | None) -> int:
-    return buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucketed(df: DataFrame, order: str, ties: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_bk``, written and reread: rows with a smaller (order, *ties) never have a larger
+    bucket.  NULL order values come first."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, order, *ties) if n > 1 else df.coalesce(1)
+    return materialise(ranged.withColumn(BUCKET, F.spark_partition_id()), "ordered")
 
 
 def global_rank(values: DataFrame, col: str, name: str = "code", buckets: int | None = None) -> DataFrame:
     """0-based rank of each row in ascending ``col`` order (``col`` unique; may be a struct)."""
-    # the input is read twice (split points, then ranks): materialise it once
-    values = cut_lineage(values)
-    head = _head(values, col)
-    pts = split_points(values, head, _nbuckets(values, buckets))
-    b = values.withColumn("_bk", bucket_of(head, pts))
-    counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)   # <= P rows
-    offsets = counts.select("_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    wr = Window.partitionBy("_bk").orderBy(col)
-    return (b.join(F.broadcast(offsets), "_bk")
+    b = bucketed(values, col, buckets=buckets)
+    counts = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)   # <= P rows
+    offsets = counts.select(BUCKET, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    wr = Window.partitionBy(BUCKET).orderBy(col)
+    return (b.join(F.broadcast(offsets), BUCKET)
             .withColumn(name, (F.col("_off") + F.row_number().over(wr) - 1).cast("long"))
-            .drop("_bk", "_off"))
+            .drop(BUCKET, "_off"))
 
 
 def running_before(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
                    buckets: int | None = None, agg: str = "sum", maxes: Sequence[str] = ()) -> DataFrame:
     """Add ``<c>_before`` = sum (``agg="max"``: max) of ``c`` over rows of the same ``by`` group
     with a smaller ``order`` value (``order`` unique within a group; may be a struct); columns in
-    ``maxes`` always get a running max."""
+    ``maxes`` always get a running max.  NULL is a group like any other."""
     by = list(by)
     kinds = {c: agg for c in sums}
     kinds.update({c: "max" for c in maxes})
     fns = {"sum": F.sum, "max": F.max}
-    # the input (one row per distinct order value, usually an aggregate) is read twice: once for the
-    # split points, once for the sums; materialise it once instead of recomputing its upstream
-    df = cut_lineage(df)
-    head = _head(df, order)
-    pts = split_points(df, head, _nbuckets(df, buckets))
-    b = df.withColumn("_bk", bucket_of(head, pts))
-    tot = b.groupBy(*by, "_bk").agg(*[fns[kd](c).alias(f"_t_{c}") for c, kd in kinds.items()])
-    wo = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(*by, "_bk", *[fns[kd](f"_t_{c}").over(wo).alias(f"_o_{c}") for c, kd in kinds.items()])
-    wl = Window.partitionBy(*by, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(offsets, [*by, "_bk"], "inner")
+    b = bucketed(df, order, by, buckets)
+    tot = b.groupBy(*by, BUCKET).agg(*[fns[kd](c).alias(f"_t_{c}") for c, kd in kinds.items()])
+    wo = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select(*by, BUCKET, *[fns[kd](f"_t_{c}").over(wo).alias(f"_o_{c}") for c, kd in kinds.items()])
+    wl = Window.partitionBy(*by, BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_on(b, offsets, [*by, BUCKET])
     vals = []
     for c, kd in kinds.items():
         if kd == "sum":

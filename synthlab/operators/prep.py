@@ -97,9 +97,8 @@ def minority_to_one(df: DataFrame, label: str, out: str = "target") -> DataFrame
 
     The label histogram has one row per distinct label; the single winning row is broadcast."""
     hist = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.col("_n"), F.col(label))
-    minority = hist.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(F.col(label).alias("_min"))
-    return (df.join(F.broadcast(minority), F.lit(True), "inner")
+    minority = hist.agg(F.min(F.struct("_n", F.col(label))).alias("_m")).select(F.col(f"_m.{label}").alias("_min"))
+    return (df.crossJoin(F.broadcast(minority))
             .withColumn(out, (F.col(label) == F.col("_min")).cast("int")).drop("_min"))
 
 
@@ -130,9 +129,9 @@ def cell_fractions(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fraction of NULL cells and of zero cells over ``cols`` (one pass)."""
     k = len(cols)
     nulls = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
-    zeros = sum(((F.col(c) == 0).cast("long") for c in cols), F.lit(0).cast("long"))
+    zeros = sum((F.coalesce((F.col(c) == 0).cast("long"), F.lit(0)) for c in cols), F.lit(0).cast("long"))
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(nulls).alias("_nulls"), F.sum(F.coalesce(zeros, F.lit(0))).alias("_zeros")) \
+                  F.sum(nulls).alias("_nulls"), F.sum(zeros).alias("_zeros")) \
         .select("n_rows", F.try_divide(F.col("_nulls"), F.col("n_rows") * k).alias("missing_frac"),
                 F.try_divide(F.col("_zeros"), F.col("n_rows") * k).alias("zero_frac"))
 

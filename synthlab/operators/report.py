@@ -11,14 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthlab.functions.exprs import join_on
+
+
+#: columns that name the generator of an arm; a baseline has none of its own
+GENERATOR = ("method", "generator")
+
+
+def _baseline_key(by: Sequence[str]) -> list[str]:
+    return [c for c in by if c not in GENERATOR]
+
 
 def alpha_means(res: DataFrame, by: Sequence[str], metric: str = "auc") -> DataFrame:
-    """Seed means per (cell, alpha) of the augmented arm."""
-    return res.filter(F.col("condition") == "augmented").groupBy(*by, "alpha").agg(F.avg(metric).alias("mean"))
+    """Seed means per (cell, generator, alpha) of the augmented arm."""
+    own = [c for c in GENERATOR if c in res.columns and c not in by]
+    return res.filter(F.col("condition") == "augmented").groupBy(*by, *own, "alpha").agg(F.avg(metric).alias("mean"))
 
 
 def best_alpha(res: DataFrame, by: Sequence[str], metric: str = "auc") -> DataFrame:
-    """Best seed-mean over alpha and its alpha; ties -> the lowest alpha."""
+    """Best seed-mean over generators and alpha, and its alpha; ties -> the lowest alpha."""
     m = alpha_means(res, by, metric)
     best = m.groupBy(*by).agg(F.max(F.struct(F.col("mean"), (-F.col("alpha")).alias("na"))).alias("_b"))
     return best.select(*by, F.col("_b.mean").alias("best_mean"), (-F.col("_b.na")).alias("best_alpha"))
@@ -29,11 +40,19 @@ def baseline_means(res: DataFrame, by: Sequence[str], metric: str = "auc") -> Da
 
 
 def best_gain(res: DataFrame, by: Sequence[str], metric: str = "auc") -> DataFrame:
-    """Best over alpha of (alpha seed-mean - baseline seed-mean)."""
-    b = best_alpha(res, by, metric).join(baseline_means(res, by, metric), list(by), "inner")
+    """Best over generators and alpha of (seed-mean - baseline seed-mean); with the generator in
+    ``by``, one row of each against the baseline of its cell."""
+    base = baseline_means(res, _baseline_key(by), metric)
+    b = join_on(best_alpha(res, by, metric), base, _baseline_key(by))
     return b.withColumn("best_gain", F.col("best_mean") - F.col("baseline_mean"))
 
 
+def max_gain(gains: DataFrame, by: Sequence[str], method: str = "method") -> DataFrame:
+    """The largest best gain of each group and the generator that has it (ties: the larger name)."""
+    best = gains.groupBy(*by).agg(F.max(F.struct("best_gain", method)).alias("_b"))
+    return best.select(*by, F.col("_b.best_gain").alias("max_gain"), F.col(f"_b.{method}").alias(method))
+
+
 def tstr_gap(real: DataFrame, tstr: DataFrame, by: Sequence[str], metric: str = "auc") -> DataFrame:
     """Gap % = (baseline - tstr) / baseline * 100 per group, from unrounded means."""
     b = real.groupBy(*by).agg(F.avg(metric).alias("baseline"))
@@ -43,14 +62,14 @@ def tstr_gap(real: DataFrame, tstr: DataFrame, by: Sequence[str], metric: str =
 
 
 def summary_table(res: DataFrame, by: Sequence[str], metric: str = "auc") -> DataFrame:
-    """Baseline, TSTR, best augmented, best alpha, delta (conditional aggregation)."""
-    base = res.groupBy(*by).agg(
-        F.avg(F.when(F.col("condition") == "real_only", F.col(metric))).alias("baseline"),
-        F.avg(F.when(F.col("condition") == "synthetic_only", F.col(metric))).alias("tstr"))
-    best = best_alpha(res, by, metric)
-    return (base.join(best, list(by), "left")
-            .select(*by, "baseline", "tstr", F.col("best_mean").alias("best_augmented"), "best_alpha",
-                    (F.col("best_mean") - F.col("baseline")).alias("delta")))
+    """Baseline, TSTR, best augmented, best alpha, delta.  With the generator in ``by``, one row
+    per generator against the baseline of its cell."""
+    base = baseline_means(res, _baseline_key(by), metric)
+    arms = res.filter(F.col("condition") != "real_only") if _baseline_key(by) != list(by) else res
+    tstr = arms.groupBy(*by).agg(F.avg(F.when(F.col("condition") == "synthetic_only", F.col(metric))).alias("tstr"))
+    t = join_on(join_on(tstr, base, _baseline_key(by), "left"), best_alpha(res, by, metric), by, "left")
+    return t.select(*by, F.col("baseline_mean").alias("baseline"), "tstr", F.col("best_mean").alias("best_augmented"),
+                    "best_alpha", (F.col("best_mean") - F.col("baseline_mean")).alias("delta"))
 
 
 def recovery(dense: Column, sparse: Column, best: Column) -> Column:
@@ -65,12 +84,12 @@ def decision_text(reject: Column, delta: Column) -> Column:
             .otherwise(F.lit("no FDR-significant difference")))
 
 
-# fixed values: recommendation by positive-rate band (bands <0.5 %, 0.5-1 %, 1-10 %, >10 %)
+# fixed values: positive-rate bands and alpha ranges; the codes are ours
 RECOMMEND_BANDS = [
-    (0.005, "strongly consider a conditional generator or SMOTE", "0.1-0.3"),
-    (0.01, "run a conditional generator or SMOTE at alpha in {0.1, 0.3}; validate before scaling", "0.1-0.3"),
-    (0.10, "not tested: validate on your own data before committing", None),
-    (None, "skip augmentation: not worth the effort", None),
+    (0.005, "augment", "0.1-0.3"),
+    (0.01, "augment_small_then_validate", "0.1-0.3"),
+    (0.10, "validate_first", None),
+    (None, "skip", None),
 ]
 
 

@@ -8,14 +8,14 @@ Scale design.  "Take the q smallest-hash rows of each class" is the core of caps
 splits, holdouts and small-n draws.  A window ``row_number() OVER (PARTITION BY class ORDER BY h)``
 would put a whole class (half the table for a binary target) into one task.  Instead:
 
-1. count rows per (class, hash bucket), bucket = first 4 hex digits of h (65,536 buckets, a
-   prefix of the hash order, balanced by construction) -- a partial aggregation, tiny output;
-2. a running sum over that small table finds, per class, the boundary bucket that contains the
-   q-th row and how many rows precede it;
-3. rows below the boundary are in, rows above are out, and only the boundary bucket's rows
-   (about n/65,536 of a class) are ranked exactly with a window.
-
-``hash_rank`` uses the same bucket counts as offsets to give every row its exact rank with windows
+1. count rows per (class, hash bucket), bucket = first 5 hex digits of h (a prefix of the hash
+   order, balanced by construction) -- a partial aggregation over the key columns only;
+2. a running sum over that table finds, per class, the boundary bucket that contains the q-th row;
+   only that bucket's rows (n/2**20 of a class) are ranked, which gives the class's cutoff, the
+   (hash, key) of its q-th row;
+3. one pass over the table compares each row with the cutoff of its class, broadcast.
+
+``hash_rank`` uses bucket counts as offsets to give every row its exact rank with windows
 partitioned by (class, bucket), i.e. a range partitioning of the hash order with no hot task.
 """
 from __future__ import annotations
@@ -25,7 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthlab.functions.exprs import join_on
 from synthlab.functions.keys import hash_bucket, hash_hex, uniform_from_hex
+from synthlab.session import materialise
 
 H = "_h"
 B = "_b"
@@ -40,31 +42,47 @@ def _order(keys: Sequence[str]) -> list[Column]:
     return [F.col(H)] + [F.col(k) for k in keys]
 
 
-REFINE_ABOVE = 2_000_000   # boundary buckets larger than this get a second 16-bit level
+CUT_DIGITS = 5          # 2**20 buckets of each group: a boundary bucket holds n / 2**20 of its rows
+BROADCAST_GROUPS = 100_000
 
 
-def _boundary(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
-    """Per group: first bucket whose running count reaches the quota ``_q`` and how many rows of it
-    are needed.  A quota <= 0 lands on the first bucket with need <= 0 (nothing chosen); a group
-    smaller than its quota has no boundary (everything chosen)."""
-    w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = counts.withColumn("_cum", F.sum("_n").over(w))
-    return (c.filter(F.col("_cum") >= F.col("_q")).groupBy(*by)
-            .agg(F.min(F.struct(F.col(bucket).alias("b"), (F.col("_q") - F.col("_cum") + F.col("_n")).alias("need"),
-                                F.col("_n").alias("size"))).alias("_s"))
-            .select(*by, F.col("_s.b").alias("_bstar"), F.col("_s.need").alias("_need"), F.col("_s.size").alias("_bsize")))
+def cutoffs(hashed: DataFrame, keys: Sequence[str], by: list[str], quota, digits: int = CUT_DIGITS) -> DataFrame:
+    """(by, _q, _n, _cut): quota and size of each group, and the (hash, keys) of its q-th row where
+    0 < q < n.  Reads only the keys and group columns: counts per bucket, then the rows of each
+    group's boundary bucket.  One row per group, written to the shared folder."""
+    narrow = hashed.select(*dict.fromkeys([*by, *keys, H])).withColumn(B, hash_bucket(F.col(H), digits))
+    counts = narrow.groupBy(*by, B).agg(F.count(F.lit(1)).alias("_n"))
+    if isinstance(quota, DataFrame):
+        counts = (join_on(counts, quota.select(*by, "_quota"), by, "left")
+                  .withColumn("_q", F.coalesce(F.col("_quota").cast("long"), F.lit(0).cast("long"))).drop("_quota"))
+    else:
+        counts = counts.withColumn("_q", F.lit(int(quota)).cast("long"))
+    w = Window.partitionBy(*by).orderBy(B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = (F.col("_cum") >= F.col("_q")) & (F.col("_cum") - F.col("_n") < F.col("_q"))
+    groups = materialise(
+        counts.withColumn("_cum", F.sum("_n").over(w)).groupBy(*by)
+        .agg(F.max("_q").alias("_q"), F.sum("_n").alias("_total"),
+             F.max(F.when(edge, F.struct(F.col(B).alias("b"), (F.col("_q") - F.col("_cum") + F.col("_n")).alias("need"))))
+             .alias("_edge"))
+        .select(*by, "_q", F.col("_total").alias("_n"), F.col("_edge.b").alias("_eb"), F.col("_edge.need").alias("_need")),
+        "groups")
+    inner = groups.filter("_q > 0 and _q < _n").select(*by, "_eb", "_need")
+    near = join_on(narrow, inner, by).filter(F.col(B) == F.col("_eb"))
+    wr = Window.partitionBy(*by).orderBy(*_order(keys))
+    last = (near.withColumn("_r", F.row_number().over(wr)).filter("_r = _need")
+            .select(*by, F.struct(H, *keys).alias("_cut")))
+    return materialise(join_on(groups.drop("_eb", "_need"), last, by, "left"), "cutoffs")
 
 
 def select_smallest(df: DataFrame, keys: Sequence[str], seed, quota, by: Sequence[str] = (),
-                    flag: str | None = None, digits: int = BUCKET_DIGITS,
-                    refine_above: int | None = REFINE_ABOVE) -> DataFrame:
+                    flag: str | None = None, digits: int = CUT_DIGITS) -> DataFrame:
     """Exact "q rows with the smallest hash per group".
 
-    ``quota`` is an int or a DataFrame ``(*by, _quota)`` (groups missing from it get 0).  With
-    ``flag`` every row is kept and ``flag`` is true for the chosen rows; otherwise only the chosen
-    rows are returned.  When a boundary bucket holds more than ``refine_above`` rows (about 1.3e11
-    rows in one group at the default), its rows are counted again on the next 16 hash bits and only
-    the second-level boundary bucket is ranked with a window.
+    ``quota`` is an int or a DataFrame ``(*by, _quota)``; groups missing from it get 0 rows, and NULL
+    is a group like any other.  With ``flag`` every row is kept and ``flag`` is true for the chosen
+    rows; otherwise only the chosen rows are returned.  Two narrow passes find the cutoff of each
+    group; the returned plan reads the input once and compares each row with its group's cutoff.
+    Rows equal in hash and keys are chosen together.
     """
     by = list(by)
     grouped = bool(by)
@@ -73,40 +91,12 @@ def select_smallest(df: DataFrame, keys: Sequence[str], seed, quota, by: Sequenc
         by = ["_g"]
         if isinstance(quota, DataFrame):
             quota = quota.withColumn("_g", F.lit(1))
-    hashed = with_hash(df, keys, seed).withColumn(B, hash_bucket(F.col(H), digits))
-
-    counts = hashed.groupBy(*by, B).agg(F.count(F.lit(1)).alias("_n"))
-    if isinstance(quota, DataFrame):
-        counts = (counts.join(quota.select(*by, "_quota"), by, "left")
-                  .withColumn("_q", F.coalesce(F.col("_quota").cast("long"), F.lit(0).cast("long"))).drop("_quota"))
-    else:
-        counts = counts.withColumn("_q", F.lit(int(quota)).cast("long"))
-    boundary = _boundary(counts, by, B)
-    refine = False
-    if refine_above is not None:
-        from synthlab.session import cut_lineage
-        boundary = cut_lineage(boundary)            # one row per group
-        biggest = boundary.agg(F.max("_bsize")).first()[0]
-        refine = biggest is not None and biggest > refine_above
-    joined = hashed.join(boundary.drop("_bsize"), by, "left")
-    bstar = F.coalesce(F.col("_bstar"), F.lit(1 << (4 * digits)))
-    wr = Window.partitionBy(*by).orderBy(*_order(keys))
-    rest = joined.filter(F.col(B) != bstar).withColumn("_chosen", F.col(B) < bstar)
-    edge = joined.filter(F.col(B) == bstar)
-    if refine:
-        b2 = F.conv(F.substring(F.col(H), digits + 1, 4), 16, 10).cast("int")
-        edge = edge.withColumn("_b2", b2)
-        c2 = edge.groupBy(*by, "_b2").agg(F.count(F.lit(1)).alias("_n")).join(
-            boundary.select(*by, F.col("_need").alias("_q")), by, "inner")
-        bd2 = _boundary(c2, by, "_b2").select(*by, F.col("_bstar").alias("_bstar2"), F.col("_need").alias("_need2"))
-        e2 = edge.join(bd2, by, "left")
-        bstar2 = F.coalesce(F.col("_bstar2"), F.lit(1 << 16))
-        rest2 = e2.filter(F.col("_b2") != bstar2).withColumn("_chosen", F.col("_b2") < bstar2)
-        edge2 = e2.filter(F.col("_b2") == bstar2).withColumn("_chosen", F.row_number().over(wr) <= F.col("_need2"))
-        edge = rest2.unionByName(edge2).drop("_b2", "_bstar2", "_need2")
-    else:
-        edge = edge.withColumn("_chosen", F.row_number().over(wr) <= F.col("_need"))
-    out = rest.unionByName(edge).drop(H, B, "_bstar", "_need")
+    hashed = with_hash(df, keys, seed)
+    cuts = cutoffs(hashed, keys, by, quota, digits)
+    joined = join_on(hashed, cuts, by, broadcast=cuts.count() <= BROADCAST_GROUPS)
+    chosen = (F.when(F.col("_q") >= F.col("_n"), True).when(F.col("_q") <= 0, False)
+              .otherwise(F.struct(H, *keys) <= F.col("_cut")))
+    out = joined.withColumn("_chosen", chosen).drop(H, "_q", "_n", "_cut")
     if not grouped:
         out = out.drop("_g")
     if flag:
@@ -125,7 +115,7 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed, by: Sequence[str] = (),
     counts = hashed.groupBy(*by, B).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy(B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(*by, B, (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
-    ranked = hashed.join(offsets, by + [B], "inner")
+    ranked = join_on(hashed, offsets, by + [B])
     wr = Window.partitionBy(*by, B).orderBy(*_order(keys))
     return (ranked.withColumn(name, (F.col("_before") + F.row_number().over(wr)).cast("long"))
             .drop(H, B, "_before"))
@@ -270,8 +260,8 @@ def minority_budget(df: DataFrame, target: str, split_col: str = "split") -> Dat
 
 def single_class_guard(sample: DataFrame, target: str, by: Sequence[str]) -> DataFrame:
     """One row per sample with the error text when only one class is present."""
-    return sample.groupBy(*by).agg(F.countDistinct(target).alias("n_classes")).select(
-        *by, F.when(F.col("n_classes") < 2, F.lit("single class in training sample")).alias("error"))
+    return sample.groupBy(*by).agg(F.countDistinct(target).cast("long").alias("n_classes")).select(
+        *by, "n_classes", F.when(F.col("n_classes") < 2, F.lit("single class in training sample")).alias("error"))
 
 
 def leak_check(train: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFrame:

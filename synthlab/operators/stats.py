@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthlab.functions.exprs import join_on
 from synthlab.functions.tdist import t_cdf, t_crit, t_two_sided_p
 
 
@@ -24,20 +25,23 @@ def ci95(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
                     (F.col("mean") - half).alias("ci_lo"), (F.col("mean") + half).alias("ci_hi"))
 
 
+RUN_KEYS = ("run_id", "holdout_id")
+
+
 def pair(a: DataFrame, b: DataFrame, on: Sequence[str], value: str = "auc",
-         a_name: str = "base", b_name: str = "meth") -> DataFrame:
-    """Inner equi-join of two arms on the pairing key (cell + seed [+ run_id])."""
-    return (a.select(*on, F.col(value).alias(a_name))
-            .join(b.select(*on, F.col(value).alias(b_name)), list(on), "inner"))
+         a_name: str = "base", b_name: str = "meth", keep: Sequence[str] = ()) -> DataFrame:
+    """Inner equi-join of two arms on the pairing key (cell + seed).  Rows of different runs or
+    holdouts never pair (``keep``: further columns of ``a``): ``RUN_KEYS`` that both arms have join the key by themselves."""
+    on = [*on, *[c for c in RUN_KEYS if c in a.columns and c in b.columns and c not in on]]
+    return join_on(a.select(*on, *keep, F.col(value).alias(a_name)), b.select(*on, F.col(value).alias(b_name)), on)
 
 
 def pairing_mismatch(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys present in only one arm, with the side that has them."""
     ka = a.select(*on).distinct().withColumn("_a", F.lit(True))
     kb = b.select(*on).distinct().withColumn("_b", F.lit(True))
-    j = ka.join(kb, list(on), "full_outer")
-    return j.filter(F.col("_a").isNull() | F.col("_b").isNull()).select(
-        *on, F.when(F.col("_a").isNull(), "only_method").otherwise("only_baseline").alias("side"))
+    missing = (join_on(ka, kb, on, "left_anti").select(*on, F.lit("only_baseline").alias("side")))
+    return missing.unionByName(join_on(kb, ka, on, "left_anti").select(*on, F.lit("only_method").alias("side")))
 
 
 def paired_stats(pairs: DataFrame, by: Sequence[str], base: str = "base", meth: str = "meth",
@@ -131,6 +135,10 @@ def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 def loo_ols(df: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
     """The regression refitted without each point, from totals minus the point's moments."""
+    # centred first: raw sums of squares lose the digits of large values
+    mean = df.agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    df = (df.crossJoin(F.broadcast(mean)).withColumn(x, F.col(x) - F.col("_mx"))
+          .withColumn(y, F.col(y) - F.col("_my")).drop("_mx", "_my"))
     tot = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_sx"), F.sum(y).alias("_sy"),
                  F.sum(F.col(x) * F.col(x)).alias("_sxx"), F.sum(F.col(x) * F.col(y)).alias("_sxy"),
                  F.sum(F.col(y) * F.col(y)).alias("_syy"))
@@ -149,7 +157,7 @@ def mid_rank(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None =
     g = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
     g = running_before(g, by, col, ["_c"])
     g = g.select(*by, col, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(name))
-    return df.join(g, [*by, col], "inner")
+    return join_on(df, g, [*by, col])
 
 
 def mid_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "_r_") -> DataFrame:

@@ -100,6 +100,29 @@ SQL_RESULTS_LONG = (
     + " END AS alpha, l_discount FROM lineitem) GROUP BY dataset, n, seed, method, alpha")
 
 
+def results_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two generators (by part parity) and one baseline."""
+    li = load(spark, sf_dir, "lineitem")
+    method = F.when(F.col("l_linestatus") == "O", "baseline").when(F.col("l_partkey") % 2 == 0, "smote").otherwise("copula")
+    base = li.select(
+        F.col("l_returnflag").alias("dataset"), _band(F.col("l_linenumber"), N_BANDS).cast("bigint").alias("n"),
+        F.month("l_shipdate").cast("bigint").alias("seed"), method.alias("method"),
+        F.when(F.col("l_linestatus") != "O", _band(F.col("l_quantity"), ALPHA_BANDS).cast("double")).alias("alpha"),
+        F.col("l_discount"))
+    return (base.groupBy("dataset", "n", "seed", "method", "alpha").agg((F.avg("l_discount") * 10).alias("auc"))
+            .withColumn("condition", F.when(F.col("method") == "baseline", "real_only").otherwise("augmented")))
+
+
+SQL_RESULTS_GENERATORS = (
+    "SELECT dataset, n, seed, method, alpha, avg(l_discount) * 10 AS auc, "
+    "CASE WHEN method = 'baseline' THEN 'real_only' ELSE 'augmented' END AS condition FROM ("
+    "SELECT l_returnflag AS dataset, " + _sql_band("l_linenumber", N_BANDS, "BIGINT") + " AS n, "
+    "CAST(month(l_shipdate) AS BIGINT) AS seed, "
+    "CASE WHEN l_linestatus = 'O' THEN 'baseline' WHEN l_partkey % 2 = 0 THEN 'smote' ELSE 'copula' END AS method, "
+    "CASE WHEN l_linestatus <> 'O' THEN " + _sql_band("l_quantity", ALPHA_BANDS, "DOUBLE")
+    + " END AS alpha, l_discount FROM lineitem) GROUP BY dataset, n, seed, method, alpha")
+
+
 def lineitem_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare target with signal (~1 %): R and discount >= 0.09 and quantity >= 40."""
     li = load(spark, sf_dir, "lineitem")

@@ -107,19 +107,17 @@ def q_hillstrom(spark, sf_dir):
                      r6("history").alias("history"), "channel", F.col("target").cast("int").alias("target"))
 
 
-# ---- L7 criteo: gzip, lower names, leak columns dropped, hash-ranked cap, rows with NULL dropped ----------------
+# ---- L7 criteo: gzip, lower names, leak columns dropped, rows with NULL dropped (a cap is cap_sample's)  ----------------
 
-CRITEO_CAP = 5000
 LKEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 @register("criteo_prepare", f"""
 WITH raw AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS f0,
                     CASE WHEN {sql_hash_uniform(LKEY, 'null')} < 0.02 THEN NULL ELSE l_extendedprice END AS f1,
-                    l_tax AS f2, CAST(l_returnflag = 'R' AND l_discount >= 0.09 AS INTEGER) AS conversion FROM lineitem),
-r AS (SELECT *, row_number() OVER (ORDER BY {sql_hash_hex(LKEY, 42)}, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM raw)
+                    l_tax AS f2, CAST(l_returnflag = 'R' AND l_discount >= 0.09 AS INTEGER) AS conversion FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2,
-       conversion AS target FROM r WHERE rn <= {CRITEO_CAP} AND f1 IS NOT NULL""")
+       conversion AS target FROM raw WHERE f1 IS NOT NULL""")
 def q_criteo(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
     raw = li.select(*LKEY, F.col("l_quantity").alias("F0"),
@@ -133,7 +131,6 @@ def q_criteo(spark, sf_dir):
     df = P.normalize_names(df)                                             # P3
     df = P.drop_columns(df, ["treatment", "exposure", "visit"])            # P1
     df = P.rename_target(df, ["conversion"])                               # P2
-    df = S.cap(df, LKEY, CRITEO_CAP, 42)                                   # S5/D1 (deterministic nrows)
     df = df.dropna()                                                       # P6
     return df.select(*LKEY, r6("f0").alias("f0"), r6("f1").alias("f1"), r6("f2").alias("f2"), "target")
 

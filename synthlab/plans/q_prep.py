@@ -107,13 +107,8 @@ def q_missing_zero(spark, sf_dir):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     t = li.select(*[F.when(hash_uniform(key, "null:" + c) < 0.05, F.lit(None)).otherwise(F.col(c)).alias(c)
                     for c in MZ_COLS])
-    zeros = [F.coalesce((F.col(c) == 0).cast("long"), F.lit(0)) for c in MZ_COLS]
-    out = t.agg(F.count(F.lit(1)).alias("n_rows"),
-                F.sum(sum((F.col(c).isNull().cast("long") for c in MZ_COLS), F.lit(0))).alias("_n"),
-                F.sum(sum(zeros, F.lit(0))).alias("_z"))
-    k = len(MZ_COLS)
-    return out.select(F.col("n_rows").cast("long"), r6(F.col("_n") / (F.col("n_rows") * k)).alias("missing_frac"),
-                      r6(F.col("_z") / (F.col("n_rows") * k)).alias("zero_frac"))
+    out = prep.cell_fractions(t, MZ_COLS)
+    return out.select(F.col("n_rows").cast("long"), r6("missing_frac").alias("missing_frac"), r6("zero_frac").alias("zero_frac"))
 
 
 # ---- numeric_coerce / telco_prepare (L1: P1 P4 P6 P7 P10) ------------------------------------------

@@ -45,6 +45,46 @@ def q_best_gain(spark, sf_dir):
     return _rounded(RP.best_gain(X.results_long(spark, sf_dir), CELL))
 
 
+# ---- two generators against one baseline: A11, A13, A22 per generator ------------------------------------------
+
+SQL_GEN = f"""am AS (SELECT dataset, n, method, alpha, avg(auc) AS mean FROM ({X.SQL_RESULTS_GENERATORS}) WHERE condition = 'augmented' GROUP BY ALL),
+bm AS (SELECT dataset, n, avg(auc) AS baseline_mean FROM ({X.SQL_RESULTS_GENERATORS}) WHERE condition = 'real_only' GROUP BY ALL),
+ba AS (SELECT dataset, n, method, max(mean) AS best_mean, arg_max(alpha, (mean, -alpha)) AS best_alpha FROM am GROUP BY ALL),
+g AS (SELECT ba.*, baseline_mean, best_mean - baseline_mean AS best_gain FROM ba JOIN bm USING (dataset, n))"""
+
+
+@register("best_gain_by_generator", f"""WITH {SQL_GEN}
+SELECT dataset, n, method, round(best_mean, 6) AS best_mean, best_alpha, round(baseline_mean, 6) AS baseline_mean,
+       round(best_gain, 6) AS best_gain FROM g""")
+def q_best_gain_by_generator(spark, sf_dir):
+    return _rounded(RP.best_gain(X.results_generators(spark, sf_dir), [*CELL, "method"]))
+
+
+@register("best_gain_over_generators", f"""WITH {SQL_GEN}
+SELECT dataset, n, round(max(best_gain), 6) AS best_gain FROM g GROUP BY dataset, n""")
+def q_best_gain_over_generators(spark, sf_dir):
+    return _rounded(RP.best_gain(X.results_generators(spark, sf_dir), CELL).select(*CELL, "best_gain"))
+
+
+@register("max_gain", f"""WITH {SQL_GEN},
+p AS (SELECT l_returnflag AS dataset, round(avg(CAST(l_discount >= 0.09 AS INTEGER)), 3) AS pos_rate FROM lineitem GROUP BY 1)
+SELECT dataset, pos_rate, n, round(max(best_gain), 6) AS max_gain, arg_max(method, (best_gain, method)) AS method
+FROM g JOIN p USING (dataset) GROUP BY dataset, pos_rate, n""")
+def q_max_gain(spark, sf_dir):
+    rates = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("dataset")).agg(
+        F.round(F.avg((F.col("l_discount") >= 0.09).cast("int")), 3).alias("pos_rate"))
+    gains = RP.best_gain(X.results_generators(spark, sf_dir), [*CELL, "method"]).join(rates, "dataset")
+    return RP.max_gain(gains, ["dataset", "pos_rate", "n"]).select(
+        "dataset", "pos_rate", "n", r6("max_gain").alias("max_gain"), "method")
+
+
+@register("summary_by_generator", f"""WITH {SQL_GEN}
+SELECT dataset, n, method, round(baseline_mean, 6) AS baseline, CAST(NULL AS DOUBLE) AS tstr,
+       round(best_mean, 6) AS best_augmented, best_alpha, round(best_gain, 6) AS delta FROM g""")
+def q_summary_by_generator(spark, sf_dir):
+    return _rounded(RP.summary_table(X.results_generators(spark, sf_dir), [*CELL, "method"]))
+
+
 @register("tstr_gap", f"""WITH r AS ({RA})
 SELECT dataset, round(avg(auc) FILTER (WHERE condition = 'real_only'), 6) AS baseline,
        round(avg(auc) FILTER (WHERE condition = 'synthetic_only'), 6) AS tstr,
@@ -287,10 +327,7 @@ SELECT p.* FROM plan p WHERE NOT EXISTS (SELECT 1 FROM ok o WHERE o.dataset = p.
 def q_resume(spark, sf_dir):
     plan = X.results_long(spark, sf_dir).select(*LCELL).distinct()
     log = X.retry_log(spark, sf_dir)
-    # NULL-safe anti join: alpha is NULL for baseline cells
-    ok = log.filter(F.col("auc").isNotNull() & F.col("error").isNull()).select(*[F.col(c).alias("_" + c) for c in LCELL])
-    cond = [plan[c].eqNullSafe(ok["_" + c]) for c in LCELL]
-    return plan.join(ok, cond, "left_anti")
+    return AU.resume_pending(plan, log, LCELL)
 
 
 @register("run_drift", f"""WITH a AS ({R}),
@@ -300,10 +337,10 @@ SELECT a.dataset, a.method, CAST(count(*) AS BIGINT) AS n_matched, round(max(abs
 FROM a JOIN b ON a.dataset = b.dataset AND a.n = b.n AND a.seed = b.seed AND a.method = b.method
      AND a.alpha IS NOT DISTINCT FROM b.alpha GROUP BY a.dataset, a.method""")
 def q_drift(spark, sf_dir):
-    a = X.results_long(spark, sf_dir).withColumn("_alpha", F.coalesce(F.col("alpha"), F.lit(-1.0)))
+    a = X.results_long(spark, sf_dir)
     b = a.withColumn("auc", F.when((F.col("dataset") == "R") & (F.col("method") == "baseline"), F.col("auc") + 0.01)
                      .otherwise(F.col("auc")))
-    d = AU.run_drift(a, b, ["dataset", "n", "seed", "method", "_alpha"], ["dataset", "method"])
+    d = AU.run_drift(a, b, ["dataset", "n", "seed", "method", "alpha"], ["dataset", "method"])
     return d.select("dataset", "method", "n_matched", r6("max_abs_diff").alias("max_abs_diff"),
                     (r6("max_abs_diff") == 0).alias("agree"))
 

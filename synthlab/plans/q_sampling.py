@@ -168,8 +168,7 @@ def q_single_class(spark, sf_dir):
     seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed BIGINT")
     grid = t.crossJoin(F.broadcast(seeds))
     draws = S.select_smallest(grid, KEY, F.col("seed"), 50, by=["seed"])
-    return draws.groupBy("seed").agg(F.countDistinct("target").cast("long").alias("n_classes")).select(
-        "seed", "n_classes", F.when(F.col("n_classes") < 2, F.lit("single class in training sample")).alias("error"))
+    return S.single_class_guard(draws, "target", ["seed"])
 
 
 # ---- sparsify (D10) + effective sparsity (A7) ------------------------------------------------------------------

@@ -70,8 +70,7 @@ def _paired(spark, sf_dir):
     r = X.results_long(spark, sf_dir)
     base = r.filter(F.col("method") == "baseline")
     meth = r.filter(F.col("method") == "method")
-    pairs = (meth.select("dataset", "n", "seed", "alpha", F.col("auc").alias("meth"))
-             .join(base.select("dataset", "n", "seed", F.col("auc").alias("base")), ["dataset", "n", "seed"], "inner"))
+    pairs = ST.pair(meth.drop("method"), base.drop("alpha", "method"), ["dataset", "n", "seed"], "auc", "meth", "base", keep=["alpha"])
     return ST.paired_stats(pairs, ["dataset", "n", "alpha"], bound=BOUND)
 
 

@@ -147,10 +147,10 @@ def test_two_level_refinement_matches_window_definition(spark):
     from pyspark.sql import Window
     t = X.events_target(spark, SF_MID).select("event_id", "target")
     for q in (1, 123, 5000):
-        got = {r[0] for r in S.select_smallest(t, ["event_id"], 11, q, by=["target"], refine_above=0)
+        got = {r[0] for r in S.select_smallest(t, ["event_id"], 11, q, by=["target"])
                .select("event_id").collect()}
         w = Window.partitionBy("target").orderBy(S.hash_hex(["event_id"], 11), "event_id")
         want = {r[0] for r in t.withColumn("rn", F.row_number().over(w)).filter(f"rn <= {q}").select("event_id").collect()}
         assert got == want, q
-    flagged = S.select_smallest(t, ["event_id"], 11, 50, flag="_in", refine_above=0)
+    flagged = S.select_smallest(t, ["event_id"], 11, 50, flag="_in")
     assert flagged.count() == t.count() and flagged.filter("_in").count() == 50
