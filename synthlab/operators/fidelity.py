@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from synthlab.functions.keys import hash_uniform
 from synthlab.operators.knn import knn_join
 from synthlab.operators.metrics import running_before
-from synthlab.operators.sampling import select_smallest
+from synthlab.functions.exprs import join_on
+from synthlab.operators.sampling import BROADCAST_GROUPS, H, cutoffs, with_hash
+from synthlab.session import materialise
 
 
 def long_values(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -50,7 +52,7 @@ def ecdf_distances(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> Data
                                    F.count_if(F.col("side") == "syn").alias("cs"))
     tot = g.groupBy("col").agg(F.sum("cr").alias("_tr"), F.sum("cs").alias("_ts"))
     rb = running_before(g.withColumn("xp", F.col("x")), ["col"], "x", ["cr", "cs"], maxes=["xp"])
-    rb = rb.join(tot, "col")
+    rb = rb.join(F.broadcast(tot), "col")          # one row per column
     # CDFs just below x (valid on [prev x, x)) and at x (inclusive)
     f_lo = F.try_divide(F.col("cr_before"), F.col("_tr"))
     g_lo = F.try_divide(F.col("cs_before"), F.col("_ts"))
@@ -154,21 +156,26 @@ def adasyn_quotas(minority: DataFrame, everyone: DataFrame, key: str, vec: str,
 
 def top_fraction(scored: DataFrame, score: str, keys: Sequence[str], frac: float, seed, by: Sequence[str] = ()) -> DataFrame:
     """F10 helper: flag ``_top`` for the ceil(frac * n) highest scores per cell; ties at the boundary
-    score are broken in hash order (exact, bucketed selection, no window over a whole cell)."""
+    score are broken in hash order.  One row per cell (boundary score, rows wanted from it, cutoff
+    in hash order) meets the raw rows; none of them is joined on its score."""
     by = list(by)
+    if not by:
+        return top_fraction(scored.withColumn("_all", F.lit(1)), score, keys, frac, seed, ["_all"]).drop("_all")
     cnt = scored.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c")).withColumn("_neg", -F.col(score))
     rb = running_before(cnt, by, "_neg", ["_c"])  # rows with a higher score
     n = scored.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * F.lit(float(frac))).cast("long").alias("_k"))
-    rb = rb.join(n, by) if by else rb.crossJoin(F.broadcast(n))
-    status = rb.select(*by, score, F.when(F.col("_c_before") + F.col("_c") <= F.col("_k"), F.lit("in"))
-                       .when(F.col("_c_before") >= F.col("_k"), F.lit("out")).otherwise(F.lit("edge")).alias("_st"),
-                       (F.col("_k") - F.col("_c_before")).alias("_quota"))
-    j = scored.join(status, [*by, score])
-    edge = j.filter(F.col("_st") == "edge")
-    chosen = select_smallest(edge, keys, seed, edge.select(*by, "_quota").distinct(), by=by, flag="_top") if by else \
-        select_smallest(edge, keys, seed, edge.select("_quota").distinct(), flag="_top")
-    rest = j.filter(F.col("_st") != "edge").withColumn("_top", F.col("_st") == "in")
-    return rest.unionByName(chosen.select(*rest.columns)).drop("_st", "_quota")
+    holds = (F.col("_c_before") < F.col("_k")) & (F.col("_k") <= F.col("_c_before") + F.col("_c"))
+    edges = materialise(join_on(rb, n, by).filter(holds).select(
+        *by, F.col(score).alias("_edge"), (F.col("_k") - F.col("_c_before")).alias("_quota")), "edges")
+    small = edges.count() <= BROADCAST_GROUPS
+    hashed = with_hash(scored, keys, seed)
+    at_edge = join_on(hashed, edges, by, broadcast=small).filter(F.col(score) == F.col("_edge"))
+    cuts = cutoffs(at_edge, keys, by, edges.select(*by, "_quota"))
+    cells = materialise(join_on(edges, cuts, by, "left"), "cells")
+    j = join_on(hashed, cells, by, "left", broadcast=small)
+    top = (F.col(score) > F.col("_edge")) | ((F.col(score) == F.col("_edge")) & (
+        (F.col("_q") >= F.col("_n")) | F.coalesce(F.struct(H, *keys) <= F.col("_cut"), F.lit(False))))
+    return j.withColumn("_top", F.coalesce(top, F.lit(False))).select(*scored.columns, "_top")
 
 
 def precision_at(scored: DataFrame, score: str, label: str, keys: Sequence[str], frac: float, seed,

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from synthlab.operators.metrics import running_before
 from synthlab.operators.prep import global_rank
-from synthlab.session import cut_lineage
+from synthlab.session import materialise
 
 
 def _unit_vector(d: int, seed: int = 17) -> list[float]:
@@ -71,7 +71,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     ref = reference.select(F.col(key).alias("_k"), F.col(vec).alias("_v")).withColumn("_p", _dot(F.col("_v"), w))
     ranked = global_rank(ref.withColumn("_o", F.struct("_p", "_k")), "_o", name="_r").drop("_o")
     # reused by both as-of lookups and both candidate joins: materialise once
-    slabbed = cut_lineage(ranked.withColumn("_s", (F.col("_r") / slab_size).cast("long")).drop("_r"))
+    slabbed = materialise(ranked.withColumn("_s", (F.col("_r") / slab_size).cast("long")).drop("_r"))
     starts = slabbed.groupBy("_s").agg(F.min("_p").alias("_v0"))
 
     def slab_of(vals: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
         q = slabbed
     else:
         own = slab_of(q.select("_k", F.lit("own").alias("_side"), F.col("_p").alias("_x")))
-        q = cut_lineage(q.join(own.select("_k", F.col("_slab").alias("_s")), "_k"))
+        q = materialise(q.join(own.select("_k", F.col("_slab").alias("_s")), "_k"))
 
     def candidates(qq: DataFrame) -> DataFrame:
         j = qq.join(members, qq["_cs"] == members["_ms"], "inner")
@@ -112,7 +112,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     t1 = best.select("_k", F.posexplode("_top").alias("_pos", "_t")).select(
         "_k", F.col("_t.nn_key").alias("nn_key"), F.col("_t._d2").alias("_d2"), (F.col("_pos") + 1).alias("nn_rank"))
     # phase-1 neighbours feed both the radius and the final answer: materialise once
-    t1 = cut_lineage(t1)
+    t1 = materialise(t1)
     rad = t1.groupBy("_k").agg(F.max("_d2").alias("_r2"), F.count(F.lit(1)).alias("_c"))
     # points with fewer than k candidates need every slab (radius unbounded)
     qr = q.join(rad, "_k", "left").withColumn(
@@ -120,7 +120,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, key: str, vec: str, k: in
     lo = qr.select("_k", (F.col("_p") - F.col("_rad")).alias("_x"), F.lit("lo").alias("_side"))
     hi = qr.select("_k", (F.col("_p") + F.col("_rad")).alias("_x"), F.lit("hi").alias("_side"))
     a = slab_of(lo.unionByName(hi))
-    rng = cut_lineage(a).groupBy("_k").agg(F.min(F.when(F.col("_side") == "lo", F.col("_slab"))).alias("_lo"),
+    rng = materialise(a).groupBy("_k").agg(F.min(F.when(F.col("_side") == "lo", F.col("_slab"))).alias("_lo"),
                               F.max(F.when(F.col("_side") == "hi", F.col("_slab"))).alias("_hi"))
     q2 = (qr.join(rng, "_k").select("_k", "_v", "_s", F.explode(F.sequence("_lo", "_hi")).alias("_cs"))
           .filter((F.col("_cs") < F.col("_s") - 1) | (F.col("_cs") > F.col("_s") + 1)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from synthlab.functions.exprs import exact_sum
 from synthlab.operators.ordered import global_rank
-from synthlab.session import cut_lineage
+from synthlab.session import materialise
 
 
 # ---- P1-P3: columns --------------------------------------------------------------------------
@@ -157,7 +157,7 @@ def clv_rollup(lines: DataFrame, invoices: DataFrame, *, invoice: str, customer:
         F.max(date).alias("_last"), F.sum("_lines").alias("_lines"), F.sum("_qty").alias("num_items"))
     # the snapshot is a second consumer of the per-customer table; without materialising it the
     # optimizer prunes that branch differently and re-scans and re-aggregates all lines
-    per_customer = cut_lineage(per_customer)
+    per_customer = materialise(per_customer)
     snapshot = per_customer.agg(F.max("_last").alias("_snap"))
     return (per_customer.filter(F.col("_spend") > 0)
             .crossJoin(F.broadcast(snapshot))

@@ -203,6 +203,8 @@ def small_n_stratified(pool: DataFrame, keys: Sequence[str], target: str, n: int
 
 # ---- D9 / D10 / D11 / D12 / D13 / D14 / D15 ---------------------------------------------------
 
+# fixed values: mixing ratios, run seeds and sizes of the published experiments
+ALPHAS = (0.1, 0.2, 0.3, 0.5, 1.0)
 LOW_DATA_SIZES = (250, 500, 1000, 2000)
 
 

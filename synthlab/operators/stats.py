@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from synthlab.functions.exprs import join_on
 from synthlab.functions.tdist import t_cdf, t_crit, t_two_sided_p
+from synthlab.session import materialise
 
 
 def ci95(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -161,18 +162,21 @@ def mid_rank(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None =
 
 
 def mid_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "_r_") -> DataFrame:
-    """Mid-ranks of several columns in one pass: long (column, value) counts, one distributed
-    running count grouped by column, then one join back per column (NULL values get NULL ranks)."""
+    """Mid-ranks of several columns (NULL values get NULL ranks).
+
+    In long form: one distributed running count over (column, value) for all columns, one join of
+    (row, column, value) with it, and one aggregation back to a row of ranks.  The cost does not
+    grow with the square of the number of columns, as one join of the wide table per column would."""
     from synthlab.operators.metrics import running_before
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_col", "_x")
-    g = long.filter(F.col("_x").isNotNull()).groupBy("_col", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    base = materialise(df.withColumn("_rid", F.monotonically_increasing_id()), "ranked")   # ids fixed by the write
+    long = base.select("_rid", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(["_rid"], list(cols), "_col", "_x")
+    long = long.filter(F.col("_x").isNotNull())
+    g = long.groupBy("_col", "_x").agg(F.count(F.lit(1)).alias("_c"))
     rb = running_before(g, ["_col"], "_x", ["_c"])
     ranks = rb.select("_col", "_x", (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias("_mr"))
-    out = df
-    for c in cols:
-        r = ranks.filter(F.col("_col") == c).select(F.col("_x").alias("_jx"), F.col("_mr").alias(prefix + c))
-        out = out.join(r, F.col(c).cast("double") == F.col("_jx"), "left").drop("_jx")
-    return out
+    wide = long.join(ranks, ["_col", "_x"]).groupBy("_rid").agg(
+        *[F.max(F.when(F.col("_col") == c, F.col("_mr"))).alias(prefix + c) for c in cols])
+    return base.join(wide, "_rid", "left").drop("_rid")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

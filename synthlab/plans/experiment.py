@@ -20,12 +20,12 @@ from synthlab.operators import sampling as S
 from synthlab.operators.metrics import balanced_weights, regression_metrics
 from synthlab.operators.prep import align_columns
 from synthlab.plans.models import classification_metrics, fit_score, fit_score_regression
-from synthlab.session import cut_lineage
+from synthlab.session import materialise
 
 RESULT_SCHEMA = ("dataset STRING, n BIGINT, seed INT, method STRING, condition STRING, alpha DOUBLE, "
                  "classifier STRING, auc_roc DOUBLE, f1_minority DOUBLE, avg_precision DOUBLE, mape DOUBLE, "
                  "r2 DOUBLE, error STRING")
-ALPHAS = (0.1, 0.2, 0.3, 0.5, 1.0)
+ALPHAS = S.ALPHAS
 
 
 @dataclass
@@ -92,7 +92,7 @@ def split(ds: Dataset, seed: int, test_size: float = 0.2) -> tuple[DataFrame, Da
     base = ds.df.select(*cols)
     s = (S.stratified_split(base, [ds.key], ds.target, seed, test_size) if ds.task == "classification"
          else S.random_split(base, [ds.key], seed, test_size))
-    s = cut_lineage(s)
+    s = materialise(s)
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
@@ -112,7 +112,7 @@ def run_experiment(ds: Dataset, generators: Sequence[str] = ("smote", "bootstrap
             continue
         n_max = max(int(S_round(max(alphas) * n_train, rounding)), n_train if tstr and g != "smote" else 0)
         try:
-            syn = cut_lineage(GENERATORS[g](train, ds, n_max, seed))
+            syn = materialise(GENERATORS[g](train, ds, n_max, seed))
         except Exception as e:  # noqa: BLE001
             for clf in classifiers:
                 for a in alphas:
@@ -189,23 +189,27 @@ def run_small_n(ds: Dataset, ns: Sequence[int], seeds: Sequence[int], holdout_n:
     """Fixed stratified holdout, small-n draws from the pool (no leakage, T1), augmentation."""
     cols = [ds.key, *ds.features, ds.target]
     base = ds.df.select(*cols)
-    hold = cut_lineage(S.fixed_holdout(base, [ds.key], ds.target, holdout_n, 42))
+    classes = ds.task == "classification"      # a continuous target has no classes to stratify by
+    hold = materialise(S.fixed_holdout(base, [ds.key], ds.target, holdout_n, 42) if classes
+                       else S.cap(base, [ds.key], holdout_n, 42))
     pool = S.pool_without(base, hold, [ds.key])
     rows = []
     for n in ns:
         for s in seeds:
-            tr = (S.small_n_stratified(pool, [ds.key], ds.target, n, s) if stratified else S.small_n(pool, [ds.key], n, s))
-            tr = cut_lineage(tr)
-            n_cls = tr.select(ds.target).distinct().count()
-            if n_cls < 2:  # D14
+            tr = (S.small_n_stratified(pool, [ds.key], ds.target, n, s) if stratified and classes
+                  else S.small_n(pool, [ds.key], n, s))
+            tr = materialise(tr)
+            if classes and tr.select(ds.target).distinct().count() < 2:  # D14
                 rows.append(_row(ds, n, s, "baseline", "real_only", None, classifier, error="single class in training sample"))
                 continue
             rows.append(_cell(lambda: _evaluate(tr, hold, ds, classifier, s), ds, n, s, "baseline", "real_only", None, classifier))
             alist = alpha if isinstance(alpha, (list, tuple)) else [alpha]
             for g in generators:
+                if g == "smote" and not classes:
+                    continue
                 n_max = S_round(max(alist) * n, "half_even")
                 try:
-                    syn = cut_lineage(GENERATORS[g](tr, ds, max(n_max, 1), s))
+                    syn = materialise(GENERATORS[g](tr, ds, max(n_max, 1), s))
                 except Exception as e:  # noqa: BLE001
                     for a in alist:
                         rows.append(_row(ds, n, s, g, "augmented", a, classifier, error=f"{type(e).__name__}: {e}"))
@@ -231,10 +235,11 @@ def run_balanced(ds: Dataset, seed: int = 42, classifier: str = "gbc") -> list[t
 
 
 def run_low_data(ds: Dataset, sizes: Sequence[int], seed: int = 42, generators=("smote", "bootstrap"),
-                 holdout_frac: float = 0.2) -> list[tuple]:
+                 holdout_frac: float = 0.2, classifier: str = "gbc") -> list[tuple]:
     """For each n (< 0.7 rows), real-only vs augmented to 2n with each generator, on a fixed holdout."""
     total = ds.df.count()
-    return run_small_n(ds, [n for n in sizes if n < 0.7 * total], [seed], int(holdout_frac * total), generators, alpha=1.0)
+    return run_small_n(ds, [n for n in sizes if n < 0.7 * total], [seed], int(holdout_frac * total), generators, alpha=1.0,
+                       classifier=classifier)
 
 
 def run_sparse(ds: Dataset, rate: float, seed: int = 42, generators=("bootstrap",), alphas=(0.5,)) -> list[tuple]:

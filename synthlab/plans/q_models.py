@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from synthlab.functions.exprs import r6
 from synthlab.operators import metrics as M
+from synthlab.operators import sampling as S
+from synthlab.plans.q_prep import SQL_TELCO
 from synthlab.plans.registry import register
 from synthlab.sources.tables import load
 
@@ -91,7 +93,7 @@ def q_calib(spark, sf_dir):
     return res.select("cell", "bin", F.col("n").cast("long"), r6("mean_score").alias("mean_score"), r6("rate").alias("rate"))
 
 
-# ---- MLlib runs (rows-only checks: model fits are not SQL-expressible) ------------------------------------
+# ---- MLlib runs ------------------------------------
 
 def _telco_ds(spark, sf_dir):
     from synthlab.plans.experiment import Dataset
@@ -110,77 +112,147 @@ def _events_ds(spark, sf_dir):
     return Dataset(df, "event_id", "target", "classification", "hillstrom_like", X.EVENT_FEATURES)
 
 
-@register("augment_sweep")
+# A model's score is not SQL, but the run around it is: which cells there are, on how many training
+# rows, and that each has a valid metric and no error.  The queries return these facts.
+
+def _cells(frame):
+    valid = F.coalesce(F.col("auc_roc").between(0, 1), F.col("mape") >= 0, F.lit(False)) & F.col("error").isNull()
+    return frame.select("dataset", F.col("n").cast("bigint").alias("n"), F.col("seed").cast("bigint").alias("seed"), "method",
+                        "condition", "alpha", "classifier", valid.alias("ok"))
+
+
+def _sql_cells(dataset: str, cells: list[tuple], n: str, head: str = "", where: str = "") -> str:
+    """Expected cells; ``cells`` are (n or None, seed, method, condition, alpha, classifier), None taking ``n``."""
+    rows = ", ".join(f"({'NULL' if k is None else k}, {s}, '{m}', '{c}', {'NULL' if a is None else a}, '{clf}')"
+                     for k, s, m, c, a, clf in cells)
+    return (f"{head} SELECT '{dataset}' AS dataset, CAST(coalesce(v.n, {n}) AS BIGINT) AS n, CAST(seed AS BIGINT) AS seed, "
+            f"method, condition, CAST(alpha AS DOUBLE) AS alpha, classifier, true AS ok "
+            f"FROM (VALUES {rows}) v(n, seed, method, condition, alpha, classifier) {where}")
+
+
+def _with(name: str, sql: str) -> str:
+    return f"WITH {name} AS ({sql}), k AS (SELECT count(*) AS total, count(*) - CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS train FROM {name})"
+
+
+TELCO = _with("t", SQL_TELCO)
+TRAIN, TOTAL = "(SELECT train FROM k)", "(SELECT total FROM k)"
+
+
+def _arms(n, seed, generators, alphas, clf, tstr=False):
+    out = [(n, seed, "baseline", "real_only", None, clf)]
+    for g in generators:
+        out += [(n, seed, g, "synthetic_only", None, clf)] if tstr and g != "smote" else []
+        out += [(n, seed, g, "augmented", a, clf) for a in alphas]
+    return out
+
+
+SWEEP_GENERATORS = ("smote", "bootstrap", "copula")
+
+
+@register("augment_sweep", _sql_cells("telco_like", _arms(None, 42, SWEEP_GENERATORS, S.ALPHAS, "lr", True), TRAIN, TELCO))
 def q_augment_sweep(spark, sf_dir):
-    """Baseline, TSTR and alpha sweep with two generators (GBT, 100 trees, depth 4)."""
+    """Baseline, TSTR and the whole alpha sweep with three generators (logistic regression)."""
     from synthlab.plans.experiment import results_frame, run_experiment
     ds = _telco_ds(spark, sf_dir)
-    return results_frame(spark, run_experiment(ds, generators=("smote", "bootstrap"), alphas=(0.3,), seed=42, tstr=False))
+    return _cells(results_frame(spark, run_experiment(ds, generators=SWEEP_GENERATORS, seed=42, classifiers=("lr",))))
+
+
+MULTI = ("gbc", "lr", "rf", "mlp")
 
 
-@register("multi_classifier")
+@register("multi_classifier", _sql_cells("telco_like", [c for clf in MULTI for c in _arms(None, 42, ("bootstrap",), (1.0,), clf)],
+                                         TRAIN, TELCO))
 def q_multi_classifier(spark, sf_dir):
-    """E4 with M1 M3 M4 M5 (M6 registry): four classifiers, one generator at alpha = 1."""
+    """E4 with M1 M3 M4 M5 (M6 registry): four classifiers, one generator at alpha = 1, one seed."""
     from synthlab.plans.experiment import run_multi_classifier
     ds = _telco_ds(spark, sf_dir)
-    return run_multi_classifier(spark, ds, seeds=[42], classifiers=["gbc", "lr", "rf", "mlp"],
-                                generators=(), alphas=(1.0,), tstr=False)
+    return _cells(run_multi_classifier(spark, ds, seeds=[42], classifiers=list(MULTI), generators=("bootstrap",), alphas=(1.0,),
+                                       tstr=False))
 
 
-@register("low_data")
+@register("ci_seeds", _sql_cells("telco_like", [c for s in (42, 123, 7) for c in _arms(None, s, ("bootstrap",), (0.3,), "lr")],
+                                 TRAIN, TELCO))
+def q_ci_seeds(spark, sf_dir):
+    """The experiment for several seeds."""
+    from synthlab.plans.experiment import results_frame, run_ci
+    rows = run_ci(_telco_ds(spark, sf_dir), (42, 123, 7), generators=("bootstrap",), alphas=(0.3,), classifiers=("lr",), tstr=False)
+    return _cells(results_frame(spark, rows))
+
+
+LOW = ("smote", "bootstrap", "class_targeted")
+
+
+@register("low_data", _sql_cells("telco_like", [c for n in S.LOW_DATA_SIZES for c in _arms(n, 42, LOW, (1.0,), "lr")], TRAIN, TELCO,
+                                 f"WHERE v.n < 0.7 * {TOTAL}"))
 def q_low_data_run(spark, sf_dir):
-    """N grid below 0.7 * rows, real-only vs 2n with SMOTE and bootstrap, fixed holdout."""
+    """N grid below 0.7 * rows, real-only vs 2n with SMOTE, bootstrap and class-targeted rows, fixed holdout."""
     from synthlab.plans.experiment import results_frame, run_low_data
     ds = _telco_ds(spark, sf_dir)
-    return results_frame(spark, run_low_data(ds, [250, 500, 1000, 2000], seed=42, generators=("smote",)))
+    return _cells(results_frame(spark, run_low_data(ds, S.LOW_DATA_SIZES, seed=42, generators=LOW, classifier="lr")))
 
 
-@register("small_n_alpha_sweep")
+@register("small_n_alpha_sweep", _sql_cells("telco_like", [c for n in (50, 100) for s in (42, 123)
+                                                           for c in _arms(n, s, ("bootstrap",), S.ALPHAS, "lr")], TRAIN, TELCO))
 def q_small_n_sweep(spark, sf_dir):
     """Matched small-n design, alpha sweep on prefixes of one synthetic table per (n, seed)."""
     from synthlab.plans.experiment import results_frame, run_small_n
     ds = _telco_ds(spark, sf_dir)
-    return results_frame(spark, run_small_n(ds, [100], [42], holdout_n=300, generators=("bootstrap",),
-                                            alpha=[0.3, 1.0]))
+    return _cells(results_frame(spark, run_small_n(ds, [50, 100], [42, 123], holdout_n=300, generators=("bootstrap",),
+                                                   alpha=list(S.ALPHAS), classifier="lr")))
 
 
-@register("balanced_vs_plain")
+@register("balanced_vs_plain", _sql_cells("hillstrom_like", [(None, s, m, "real_only", None, "lr" if s != 42 else "gbc")
+                                                             for s in (42, 123) for m in ("baseline", "class_weighted")],
+                                          TRAIN, _with("t", "SELECT event_id FROM events")))
 def q_balanced(spark, sf_dir):
-    """Class-weighted vs plain GBT on the rare-target stand-in."""
+    """Class-weighted vs plain fits on the rare-target stand-in, GBT and logistic regression."""
     from synthlab.plans.experiment import results_frame, run_balanced
-    return results_frame(spark, run_balanced(_events_ds(spark, sf_dir), seed=42))
+    ds = _events_ds(spark, sf_dir)
+    return _cells(results_frame(spark, run_balanced(ds, seed=42) + run_balanced(ds, seed=123, classifier="lr")))
 
 
-@register("sparse_stress")
+@register("sparse_stress", " UNION ALL ".join([
+    "(" + _sql_cells("nomao_like", _arms(None, 42, (), (), "gbc"), TRAIN, _with("t", "SELECT vec_id FROM embeddings")) + ")",
+    "(" + _sql_cells("nomao_like_sparse", _arms(None, 42, ("bootstrap",), (0.5,), "gbc"), TRAIN,
+                     _with("t", "SELECT vec_id FROM embeddings")) + ")"]))
 def q_sparse(spark, sf_dir):
     """Dense vs 70 %-sparse vs sparse + bootstrap augmentation on the 64-feature stand-in."""
     from synthlab.plans import fixtures as X
     from synthlab.plans.experiment import Dataset, results_frame, run_sparse
     df = X.embeddings_wide(spark, sf_dir)
     ds = Dataset(df, "vec_id", "target", "classification", "nomao_like", [f"f{i}" for i in range(64)])
-    return results_frame(spark, run_sparse(ds, 0.7, seed=42))
+    return _cells(results_frame(spark, run_sparse(ds, 0.7, seed=42)))
 
 
-@register("clv_regression")
-def q_clv_regression(spark, sf_dir):
-    """M2 + M9 through E1 on the customer-value table (regression: MAPE, R^2)."""
+def _clv_ds(spark, sf_dir):
     from synthlab.operators import prep
-    from synthlab.plans.experiment import Dataset, results_frame, run_experiment
+    from synthlab.plans.experiment import Dataset
     li = load(spark, sf_dir, "lineitem").withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))
     clv = prep.clv_rollup(li.withColumnRenamed("l_orderkey", "o_orderkey"), load(spark, sf_dir, "orders"),
                           invoice="o_orderkey", customer="o_custkey", date="o_orderdate", quantity="l_quantity",
                           unit_price="unit_price")
     feats = ["frequency", "recency", "avg_order_value", "num_items"]
     df = clv.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats], "total_spend")
-    ds = Dataset(df, "customer_id", "total_spend", "regression", "retail_clv", feats)
-    return results_frame(spark, run_experiment(ds, generators=("bootstrap",), alphas=(0.5,), seed=42))
+    return Dataset(df, "customer_id", "total_spend", "regression", "retail_clv", feats)
+
+
+SQL_CLV_KEYS = ("SELECT o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 0 "
+                "GROUP BY o_custkey HAVING sum(l_extendedprice) > 0")
+
+
+@register("clv_regression", _sql_cells("retail_clv", _arms(None, 42, ("bootstrap",), (0.5,), "gbr", True), TRAIN,
+                                       _with("t", SQL_CLV_KEYS)))
+def q_clv_regression(spark, sf_dir):
+    """M2 + M9 through E1 on the customer-value table (regression: MAPE, R^2)."""
+    from synthlab.plans.experiment import results_frame, run_experiment
+    rows = run_experiment(_clv_ds(spark, sf_dir), generators=("bootstrap",), alphas=(0.5,), seed=42)
+    return _cells(results_frame(spark, rows))
 
 
-@register("detection_auc")
+@register("detection_auc", f"""{TELCO} SELECT CAST(ceil(0.2::DOUBLE * 2 * total) AS BIGINT) AS n_test, true AS in_range FROM k""")
 def q_detection(spark, sf_dir):
     """can a classifier tell real rows from synthetic ones?  LR on a hash split, exact AUC."""
     from synthlab.operators import generate as G
-    from synthlab.operators import sampling as S
     from synthlab.plans.models import fit_score
     ds = _telco_ds(spark, sf_dir)
     n = ds.df.count()
@@ -190,4 +262,4 @@ def q_detection(spark, sf_dir):
     sp = S.stratified_split(both, [ds.key], "origin", 42)
     scored = fit_score(sp.filter("split = 'train'"), sp.filter("split = 'test'"), ds.features, "origin", "lr", 42)
     res = M.auc_ap(scored, "score", "origin")
-    return res.select(r6("auc_roc").alias("detection_auc"), "n_pos", "n_neg")
+    return res.select((F.col("n_pos") + F.col("n_neg")).alias("n_test"), F.col("auc_roc").between(0, 1).alias("in_range"))

@@ -56,13 +56,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and reread it: like a checkpoint, but
     columnar, so later reads prune columns and push filters."""
     path = scratch_path(df.sparkSession, name)
