@@ -90,6 +90,21 @@ def cast_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+def parse_timestamp(c: Column, formats: Sequence[str]) -> Column:
+    """The first of the formats that parses the trimmed text; NULL if none does."""
+    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats])
+
+
+def slug(c: Column) -> Column:
+    """Lower case, runs of anything but letters and digits to one "_", none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def split_part(c: Column, separator: str, part: int) -> Column:
+    """The part-th piece (from 1) of the text cut at ``separator``; empty if there is none."""
+    return F.split_part(c, F.lit(separator), F.lit(part))
+
+
 # ---- P9, P10: encodings ----------------------------------------------------------------------
 
 def minority_to_one(df: DataFrame, label: str, out: str = "target") -> DataFrame:

@@ -179,6 +179,15 @@ def q_ci_seeds(spark, sf_dir):
     return _cells(results_frame(spark, rows))
 
 
+@register("failed_cells", _sql_cells("telco_like", _arms(None, 42, ("no_such_generator",), (0.3,), "lr"), TRAIN, TELCO)
+          .replace("true AS ok", "method = 'baseline' AS ok"))
+def q_failed_cells(spark, sf_dir):
+    """A generator that fails leaves a row with the error; the run goes on."""
+    from synthlab.plans.experiment import results_frame, run_experiment
+    rows = run_experiment(_telco_ds(spark, sf_dir), generators=("no_such_generator",), alphas=(0.3,), seed=42, classifiers=("lr",))
+    return _cells(results_frame(spark, rows))
+
+
 LOW = ("smote", "bootstrap", "class_targeted")
 
 

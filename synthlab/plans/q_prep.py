@@ -175,3 +175,42 @@ def q_coerce(spark, sf_dir):
     return raw.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                    F.count(F.col("total_charges").try_cast("double")).cast("long").alias("n_numeric"),
                    F.sum(prep.coerce_target_int(F.col("total_charges"))).cast("long").alias("sum_int"))
+
+
+# ---- align_columns (P12): synthetic rows without key and one feature, columns in another order ----------------------
+
+@register("align_columns", """
+SELECT CAST(0 AS BIGINT) AS event_id, CAST(0 AS VARCHAR) AS event_type, value, CAST(event_id + 1 AS BIGINT) AS syn_rank FROM events""")
+def q_align(spark, sf_dir):
+    ev = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    syn = ev.select((F.col("event_id") + 1).alias("syn_rank"), "value", F.lit("x").alias("other"))
+    return prep.align_columns(syn, ev, extra=["syn_rank"])
+
+
+# ---- timestamp_parse (P18): two formats and text that is neither ----------------------------------------------------
+
+@register("timestamp_parse", """
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+                  WHEN 1 THEN ' ' || strftime(o_orderdate, '%d/%m/%Y %H:%M') ELSE 'unknown' END AS text FROM orders),
+p AS (SELECT o_orderkey, coalesce(try_strptime(trim(text), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(text), '%d/%m/%Y %H:%M')) AS ts FROM t)
+SELECT o_orderkey, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS m, CAST(day(ts) AS BIGINT) AS d FROM p""")
+def q_timestamps(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    text = (F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+            .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" "), F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")))
+            .otherwise("unknown"))
+    ts = prep.parse_timestamp(text, ["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm"])
+    return o.select("o_orderkey", ts.alias("ts")).select(
+        "o_orderkey", *[f("ts").cast("long").alias(n) for f, n in ((F.year, "y"), (F.month, "m"), (F.dayofmonth, "d"))])
+
+
+# ---- text_slug (P21) -------------------------------------------------------------------------------------------------
+
+@register("text_slug", """
+SELECT c_custkey, trim(regexp_replace(lower(c_mktsegment || ' / ' || CAST(c_nationkey AS VARCHAR) || '!'), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+       split_part(c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR), '-', 2) AS second FROM customer""")
+def q_slug(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    key = F.col("c_nationkey").cast("string")
+    return c.select("c_custkey", prep.slug(F.concat("c_mktsegment", F.lit(" / "), key, F.lit("!"))).alias("slug"),
+                    prep.split_part(F.concat("c_mktsegment", F.lit("-"), key), "-", 2).alias("second"))

@@ -191,7 +191,7 @@ def q_sparsify(spark, sf_dir):
 
 # ---- nested_prefix (D11) --------------------------------------------------------------------------------------
 
-ALPHAS = [0.1, 0.2, 0.3, 0.5, 1.0]
+ALPHAS = S.ALPHAS
 
 
 @register("nested_prefix", f"""
@@ -235,3 +235,27 @@ def q_low_data(spark, sf_dir):
         d = d.unionByName(p)
     return (d.select("dataset", F.col("n_rows").cast("long"),
                      F.explode(S.low_data_sizes(F.col("n_rows"))).alias("n"))).withColumn("n", F.col("n").cast("long"))
+
+
+# ---- head_rows (D12): the first rows of an explicit rank --------------------------------------------------------------
+
+@register("head_rows", f"""
+SELECT event_id, CAST(syn_rank AS BIGINT) AS syn_rank FROM (
+  SELECT event_id, row_number() OVER (ORDER BY {H_EV}, event_id) AS syn_rank FROM events) WHERE syn_rank <= 100""")
+def q_head(spark, sf_dir):
+    ranked = S.shuffle(load(spark, sf_dir, "events").select("event_id"), KEY, 42, name="syn_rank")
+    return S.head(ranked, 100)
+
+
+# ---- experiment_grid (J8): datasets of the results table x seeds x classifiers x alphas ---------------------------------
+
+@register("experiment_grid", f"""
+WITH d AS (SELECT DISTINCT l_returnflag AS dataset FROM lineitem)
+SELECT dataset, CAST(seed AS BIGINT) AS seed, classifier, 'smote' AS method, alpha FROM d,
+  (VALUES {', '.join(f'({s})' for s in SEEDS)}) s(seed), (VALUES ('gbc'), ('lr')) c(classifier),
+  (VALUES {', '.join(f'({a!r}::DOUBLE)' for a in S.ALPHAS)}) a(alpha)""")
+def q_grid(spark, sf_dir):
+    from synthlab.plans.experiment import experiment_grid
+    names = [r[0] for r in load(spark, sf_dir, "lineitem").select("l_returnflag").distinct().collect()]
+    grid = experiment_grid(spark, names, SEEDS, ["gbc", "lr"], ["smote"], S.ALPHAS)
+    return grid.withColumn("seed", F.col("seed").cast("long"))

@@ -77,6 +77,31 @@ def q_resume_append(spark, sf_dir):
     return out.select("dataset", "n", "seed", "method", "condition", "alpha", r6("auc_roc").alias("auc_roc"))
 
 
+# ---- sink_roundtrip (S8 S9 S11): partitioned sink, prepared table, guarded overwrite ------------------------------------
+
+@register("sink_roundtrip", f"""WITH r AS ({SQL_CANON})
+SELECT dataset, CAST(count(*) AS BIGINT) AS n_rows, round(avg(auc_roc), 6) AS mean_auc, CAST(0 AS BIGINT) AS n_built_again,
+       true AS kept_larger FROM r GROUP BY dataset""")
+def q_sink_roundtrip(spark, sf_dir):
+    r = X.results_long(spark, sf_dir).withColumnRenamed("auc", "auc_roc")
+    base = FS.scratch_path(spark, "sink")
+    FS.write_results(r, f"{base}/by_dataset")                                           # S9
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(f"{base}/by_dataset")
+    FS.prepared(spark, f"{base}/prepared", build)                                       # S8: builds
+    back = FS.prepared(spark, f"{base}/prepared", build)                                # S8: reads
+    FS.guarded_write(spark, back, f"{base}/merged", f"{base}/smaller")                  # S11
+    where = FS.guarded_write(spark, back.limit(1), f"{base}/merged", f"{base}/smaller")
+    merged = spark.read.parquet(f"{base}/merged")
+    return merged.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n_rows"), r6(F.avg("auc_roc")).alias("mean_auc")).select(
+        "dataset", "n_rows", "mean_auc", F.lit(len(built) - 1).cast("long").alias("n_built_again"),
+        F.lit(where == f"{base}/smaller").alias("kept_larger"))
+
+
 # ---- ingest_synthetic (S12, P5, P12) --------------------------------------------------------------------------------
 
 @register("ingest_synthetic", f"""WITH t AS ({X.sql_events_target()}),

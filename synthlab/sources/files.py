@@ -1,25 +1,26 @@
 """Delimited scans, result files and sinks."""
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthlab.session import scratch_path  # noqa: F401  (used by the source queries)
+from synthlab.session import materialise, scratch_path  # noqa: F401  (the source queries use both)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, sep: str = ",",
                    names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """CSV with header / ';' / headerless whitespace with generated names / gzip.
 
-    With ``schema`` nothing is inferred.  ``.gz`` files are not splittable, so the scan is
+    With ``schema`` nothing is inferred.  ``.gz`` files, also in a folder, are not splittable, so the scan is
     repartitioned right after reading to spread the rest of the plan."""
     r = spark.read.option("header", header).option("sep", sep)
     df = r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
     if names is not None:
         df = df.toDF(*names)
-    if path.endswith(".gz"):
+    if any(f.endswith(".gz") for f in df.inputFiles()):
         df = df.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df
 
@@ -46,58 +47,40 @@ def canonical_results(df: DataFrame, dataset: F.Column | None = None) -> DataFra
         if name == "dataset" and dataset is not None and "dataset" not in have:
             expr = dataset
         elif cands:
-            expr = F.coalesce(*[F.col(c).cast(typ) for c in cands]) if len(cands) > 1 else F.col(cands[0])
+            expr = F.coalesce(*[F.col(c) for c in cands]) if len(cands) > 1 else F.col(cands[0])
         else:
             expr = F.lit(None)
+        if name != "dataset" and typ != "string" and cands and dict(df.dtypes)[cands[0]] == "string":
+            expr = expr.try_cast("double")                       # text of "100", "100.0" or nothing
         cols.append(expr.cast(typ).alias(name))
     return df.select(*cols)
 
 
-def _expand_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Files matching a glob; a matching directory (Spark output) contributes its data files."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = p.getFileSystem(conf)
-    out = []
-    for st in fs.globStatus(p) or []:
-        if st.isDirectory():
-            for ch in fs.listStatus(st.getPath()):
-                name = ch.getPath().getName()
-                if ch.isFile() and not name.startswith(("_", ".")):
-                    out.append(ch.getPath().toString())
-        else:
-            out.append(st.getPath().toString())
-    return sorted(out)
-
-
-def _first_line(spark: SparkSession, path: str) -> str:
-    """Header of one file, read through the Hadoop file system (one line, not the file)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        return reader.readLine() or ""
-    finally:
-        reader.close()
+def _any_match(spark: SparkSession, pattern: str) -> bool:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath)
+    return found is not None and len(found) > 0
 
 
 def read_result_files(spark: SparkSession, pattern: str, name_regex: str = r"([^/]+)\.csv(?:/[^/]*)?$") -> DataFrame:
     """Many result CSVs at once, missing files skipped; the dataset label comes from the file
-    (or output folder) name.  Files with the same header are read as one relation; each header
-    variant is mapped to the canonical schema (S6) and the relations are unioned."""
-    files = _expand_files(spark, pattern)
-    if not files:
+    (or output folder) name.  Tasks read the files as lines and find each file's header (its first
+    line); only the distinct headers reach the driver, each is parsed with its own columns, mapped
+    to the canonical schema (S6) and the relations are unioned."""
+    if not _any_match(spark, pattern):
         return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in CANONICAL))
-    by_header: dict[str, list[str]] = {}
-    for f in files:
-        by_header.setdefault(_first_line(spark, f), []).append(f)
+    lines = spark.read.text(pattern).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_id"))          # ascending within a file's first block
+    heads = lines.where("_at = 0").groupBy("_file").agg(F.min_by("value", "_id").alias("_head"))
+    heads = materialise(heads, "headers")
+    rows = lines.join(heads, "_file").where("value <> _head").withColumn("dataset_", F.regexp_extract("_file", name_regex, 1))
     out = None
-    for _h, group in sorted(by_header.items()):
-        df = spark.read.option("header", True).option("inferSchema", True).csv(group)
-        label = F.regexp_extract(F.col("_metadata.file_path"), name_regex, 1)
-        df = canonical_results(df, dataset=label)
+    for (header,) in sorted(heads.select("_head").distinct().collect()):        # one per header variant
+        names = next(csv.reader([header]))
+        schema = ", ".join(f"`{n}` STRING" for n in names)
+        parsed = rows.where(F.col("_head") == header).select("dataset_", F.from_csv("value", schema).alias("_r")).select("dataset_", "_r.*")
+        df = canonical_results(parsed, dataset=F.col("dataset_"))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -133,9 +116,8 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, cell: Sequence[s
 def guarded_write(spark: SparkSession, df: DataFrame, path: str, side_path: str) -> str:
     """Never shrink a merged artifact: fewer rows than the existing table go to ``side_path``."""
     if path_exists(spark, path):
-        old = spark.read.parquet(path).count()
-        new = df.count()
-        if new < old:
+        df = materialise(df, "guarded")             # computed once, counted and written from there
+        if df.count() < spark.read.parquet(path).count():
             df.write.mode("overwrite").parquet(side_path)
             return side_path
     df.write.mode("overwrite").parquet(path)

