@@ -8,6 +8,7 @@ column; readers that want some documents skip row groups and pages by the key's
 """
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -31,7 +32,7 @@ END_ID = 2
 #: sizes of the file format: row groups of 32 MB, pages of 256 KB or 4,000 rows
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS, DICTIONARY_BYTES = 32 << 20, 256 << 10, 4000, 4 << 20
 #: distinct words and chunks that a worker process remembers, about 200 bytes each
-WORDS, CHUNKS = 800_000, 100_000
+WORDS, CHUNKS = 400_000, 50_000
 #: texts encoded at a time
 ROWS = 500
 #: characters of text that one output file should hold
@@ -81,7 +82,11 @@ class Encoder:
         self.special = {a["content"]: np.int32(a["id"]).tobytes() for a in added}
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.cut_special = re.compile("(" + "|".join(names) + ")") if names else None
-        self.model = self.library.model
+        # no chunk comes twice, so the library's own cache of words would only cost time
+        model = spec["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]] if self.by_chunk else []
+        self.model = (tokenizers.models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+                      if self.by_chunk else self.library.model)
         self.pattern = chunk_pattern()
         shown = {b: c for c, b in byte_alphabet().items()}
         self.stand_ins = {b: shown[b] for b in range(256)}
@@ -132,7 +137,14 @@ class Encoder:
                         for i, p in enumerate(self.cut_special.split(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return list(map(self.encode_text, texts))
+        # nothing here makes reference cycles, and the memos are large to scan for them
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return list(map(self.encode_text, texts))
+        finally:
+            if collects:
+                gc.enable()
 
 
 _ENCODERS: dict[str, Encoder] = {}
