@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synthlab.llm.licence_catalogue import FOLDER, catalogue  # noqa: F401
 from synthlab.session import materialise
 
 #: equivalent spellings as they stand after punctuation became spaces, applied in order (fixed values)
@@ -52,6 +53,13 @@ AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
 PERFORMANCE OF THIS SOFTWARE."""
 _NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies"
 
+_OLD_ISC = _ISC.replace("and/or distribute", "and distribute")
+_MIT_0 = _MIT.replace(", subject to the following conditions:", ".").replace("""The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software.
+
+""", "")
+_NEXT = _MIT.replace("this permission notice shall", "this permission notice (including the next paragraph) shall")
+
 #: known licences and notices (fixed values: their public texts)
 KNOWN = (
     ("MIT", _MIT),
@@ -63,6 +71,8 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    *catalogue([("MIT", _MIT), ("MIT", _NEXT), ("MIT-0", _MIT_0), ("ISC", _ISC.format(_NOTICE)), ("ISC", _OLD_ISC.format(_NOTICE)),
+                ("0BSD", _ISC.format(""))]),
 )
 
 
@@ -105,8 +115,8 @@ def forms(rows: DataFrame, text: str) -> DataFrame:
 def known_licences(spark: SparkSession, texts=KNOWN) -> DataFrame:
     """(digest, licence): one row per digest; if two licences share one, the smaller name.  Texts of
     an empty form are left out."""
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in texts]))
-    table = forms(spark.range(1).select(rows.alias("x")).select("x.licence", "x.text"), "text")
+    rows = spark.createDataFrame(list(texts), "licence string, text string")
+    table = forms(rows, "text")
     return (table.withColumn("form", one_line(F.col("form"))).where("form <> ''")
             .groupBy(_sha(F.col("form")).alias("digest")).agg(F.min("licence").alias("licence")))
 

@@ -36,3 +36,18 @@ def test_shuffle_join_gives_the_same_and_plan_is_native(spark, awkward, monkeypa
     out = L.scan(awkward, known)
     assert sorted(map(tuple, out.collect()), key=str) == a
     assert not re.search("Python|Pandas|ArrowEval", out._jdf.queryExecution().toString())
+
+
+def test_catalogue_covers_common_licences_headings_and_notices(spark):
+    whole = {name: (L.FOLDER / f"{name}.txt").read_text() for name in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    bsd = [t for n, t in L.KNOWN if n == "BSD-3-Clause" and "copyright holder nor" in t][0]
+    want = [("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + L._MIT), ("Apache-2.0", whole["Apache-2.0"]),
+            ("Apache-2.0", whole["Apache-2.0"].split("APPENDIX")[0]), ("GPL-2.0", whole["GPL-2"]), ("GPL-3.0", whole["GPL-3"]),
+            ("LGPL-2.1", whole["LGPL-2.1"]), ("MPL-2.0", whole["MPL-2.0"]), ("CC0-1.0", whole["CC0-1.0"]), ("BSD-3-Clause", bsd),
+            ("GPL-2.0", whole["GPL-2"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+                                                "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")),
+            ("MIT", "Licensed under the MIT License"), ("BSD", "Released under the BSD License."), ("CC-BY-SA-4.0", "CC text\nThis work is "
+             "licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.")]
+    docs = spark.createDataFrame(list(enumerate(t for _, t in want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] or r["notices"] for r in L.scan(docs, L.known_licences(spark)).collect()}
+    assert [got[i] for i in range(len(want))] == [n for n, _ in want]
