@@ -14,18 +14,48 @@ from pyspark.sql import functions as F
 from synthlab.llm.licence_catalogue import FOLDER, catalogue  # noqa: F401
 from synthlab.session import materialise
 
-#: equivalent spellings as they stand after punctuation became spaces, applied in order (fixed values)
+#: equivalent spellings as they stand after punctuation became spaces, applied in order (fixed values);
+#: two words may stand on two lines
 SPELLINGS = (
-    (r"\bcopyright owner", "copyright holder"), (r"\bsub licen[cs]e", "sublicense"), (r"\blicence", "license"),
-    (r"\bnon commercial", "noncommercial"), (r"\bnon infringement", "noninfringement"), (r"\bper cent\b", "percent"),
+    (r"\bcopyright[ \n]+owner", "copyright holder"), (r"\bsub[ \n]+licen[cs]e", "sublicense"), (r"\blicence", "license"),
+    (r"\bnon[ \n]+commercial", "noncommercial"), (r"\bnon[ \n]+infringement", "noninfringement"),
+    (r"\bper[ \n]+cent\b", "percent"),
     (r"\backnowledgement", "acknowledgment"), (r"\bfavour", "favor"), (r"\bjudgement", "judgment"),
     (r"\bwhilst\b", "while"), (r"\borganisation", "organization"), (r"\bhttps\b", "http"),
 )
-#: what a text must hold for any of them to apply (the patterns without their edges)
+#: what the one-line form must hold for any of them to apply (the patterns without their edges)
 SPELLING_SIGNS = ("copyright owner", "sub licen", "licence", "non commercial", "non infringement", "per cent",
                   "acknowledgement", "favour", "judgement", "whilst", "organisation", "https")
-#: a line that states a copyright, or that all rights are reserved, in lower case (fixed value)
-COPYRIGHT_LINE = r"(?m)^[^\n\w]*(?:copyright\s*(?:\(c\)|©|[0-9])|\(c\)\s*[0-9]|©|all rights reserved)[^\n]*$"
+#: what follows "copyright" in licence prose, where a header has a holder or a year (fixed values: the
+#: words of the catalogue's texts, and their plurals)
+PROSE = ("also", "and", "are", "claim", "claims", "disclaimer", "doctrines", "holder", "holders", "if", "in", "interest", "interests",
+         "is", "law", "laws", "licence", "licences", "license", "licenses", "like", "line", "lines", "notice", "notices", "of", "on",
+         "or", "owner", "owners", "ownership", "patent", "patents", "permission", "protection", "resulting", "statement", "statements", "the library", "the software",
+         "those", "to", "trademark", "trademarks", "treaty")
+
+
+def _other_than(phrases: tuple[str, ...], start: str = "") -> str:
+    """Pattern for the beginning of a line's rest that is none of ``phrases``, nor cut off within one
+    between words.  Neither engine needs lookahead, which RE2 has not."""
+    after = {p[len(start)] for p in phrases if p.startswith(start) and p != start}
+    letters = "".join(sorted(after - {" "}))
+    if start in phrases:
+        away = [rf"[^{letters}\W]"]                    # a longer word
+    elif not start:
+        away = [rf"[^{letters}\W]"]
+    elif start.endswith(" "):
+        away = [rf"[^{letters}\s]"]
+    else:
+        away = [rf"[^{letters}\s]"] if " " in after else [rf"[^{letters}\n]", "$"]
+    more = [(r"[^\S\n]+" if c == " " else c) + _other_than(phrases, start + c) for c in sorted(after)]
+    return "(?:" + "|".join(away + more) + ")"
+
+
+#: a line that states a copyright, or that all rights are reserved, in lower case (fixed value): a
+#: sign or a year, or a word that licence prose does not have there; "(c)" alone may number a clause,
+#: so a holder's name after it needs a year
+COPYRIGHT_LINE = (r"(?m)^[^\n\w]*(?:(?:portions[^\S\n]+)?(?:copyright[^\S\n]*(?:\(c\)|©|[0-9])|copyright[^\w\n]+" + _other_than(PROSE)
+                  + r"|\(c\)[^\S\n]*[0-9]|\(c\)[^\n]*\b(?:19|20)[0-9][0-9]\b|©)|all rights reserved)[^\n]*$")
 COPYRIGHT_SIGNS = ("copyright", "(c)", "©", "all rights")
 #: largest table of known digests that is sent to every task, in rows of about 100 bytes
 BROADCAST_ROWS = 200_000
@@ -92,11 +122,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def spelled(form: Column) -> Column:
-    """Equivalent spellings made one; ``form`` is a column by name, so it is computed once."""
+    """Equivalent spellings made one; two words of one spelling on two lines join the lines."""
     out = form
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling)
-    return F.when(_any_of(form, SPELLING_SIGNS), out).otherwise(form)
+    return out
 
 
 def one_line(form: Column) -> Column:
@@ -108,8 +138,12 @@ def _sha(text: Column) -> Column:
 
 
 def forms(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``form``, the canonical form of ``text`` with its lines."""
-    return rows.withColumn("form", canonical_lines(F.col(text))).withColumn("form", spelled(F.col("form")))
+    """``rows`` with ``form``, the canonical form of ``text`` with its lines, and ``flat``, the same on
+    one line."""
+    found = _any_of(F.col("flat"), SPELLING_SIGNS)
+    return (rows.withColumn("form", canonical_lines(F.col(text))).withColumn("flat", one_line(F.col("form")))
+            .withColumn("form", F.when(found, spelled(F.col("form"))).otherwise(F.col("form")))
+            .withColumn("flat", F.when(found, one_line(F.col("form"))).otherwise(F.col("flat"))))
 
 
 def known_licences(spark: SparkSession, texts=KNOWN) -> DataFrame:
@@ -117,8 +151,7 @@ def known_licences(spark: SparkSession, texts=KNOWN) -> DataFrame:
     an empty form are left out."""
     rows = spark.createDataFrame(list(texts), "licence string, text string")
     table = forms(rows, "text")
-    return (table.withColumn("form", one_line(F.col("form"))).where("form <> ''")
-            .groupBy(_sha(F.col("form")).alias("digest")).agg(F.min("licence").alias("licence")))
+    return (table.where("flat <> ''").groupBy(_sha(F.col("flat")).alias("digest")).agg(F.min("licence").alias("licence")))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +167,7 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     known = materialise(known, "known")
     side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     shaped = forms(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t")
-    whole = shaped.select("k", "form", _sha(one_line(F.col("form"))).alias("text_digest"))
+    whole = shaped.select("k", "form", _sha(F.col("flat")).alias("text_digest"))
     # place 0 is the whole text, the lines follow; the outer form keeps Spark from pushing a filter
     # on the pieces down to the text, which would compute them twice
     pieces = F.concat(F.array("text_digest"), F.transform(F.split("form", "\n"), lambda line: _sha(F.trim(line))))

@@ -51,3 +51,35 @@ def test_catalogue_covers_common_licences_headings_and_notices(spark):
     docs = spark.createDataFrame(list(enumerate(t for _, t in want)), "doc_id long, text string")
     got = {r["doc_id"]: r["licence"] or r["notices"] for r in L.scan(docs, L.known_licences(spark)).collect()}
     assert [got[i] for i in range(len(want))] == [n for n, _ in want]
+
+
+def test_headers_are_dropped_prose_is_kept_and_wrapping_does_not_matter(spark):
+    import duckdb
+    import textwrap
+    from synthlab.llm import oracle
+    heads = ["Copyright Jane Doe 2020", "Copyright The Foo Authors", "Copyright: 2020 X", "Portions Copyright (c) 2020", "(c) Jane Doe 2020",
+             "Copyright Holdern Ltd", "Copyright Theo Lib", "Copyright by Software People", "# Copyright (C) 2001 X", "© Jane"]
+    prose = ["copyright", "copyright holders be liable", "copyright notice, this", "(c) You must retain", "copyrighted works", "copyright the",
+             "copyright the software, and", "COPYRIGHT OWNER'S", "copyright treaty adopted on 20 December 1996", "copyright on 1 January 2001"]
+    mit = L._MIT.replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("COPYRIGHT HOLDERS", "COPYRIGHT OWNERS").replace("sublicense", "sub-license")
+    apache = (L.FOLDER / "Apache-2.0.txt").read_text()
+    flat = [" ".join(t.split()) for t in (mit, apache)]
+    docs = [(f"{h}\n\n{L._MIT}", "MIT") for h in heads]
+    docs += [(f"{p}\n{L._MIT}", None) for p in prose]
+    docs += [(textwrap.fill(flat[0], w, break_on_hyphens=True), "MIT") for w in range(20, 90, 3)]
+    docs += [("\n * ".join(textwrap.wrap(flat[0], w)), "MIT") for w in (30, 31, 32)]
+    paragraphs = apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Foo").split("\n\n")
+    docs += [("\n\n".join(textwrap.fill(" ".join(p.split()), w) for p in paragraphs), "Apache-2.0") for w in (40, 55, 72, 73, 74)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    scanned = L.scan(rows, L.known_licences(spark, [r for r in L.KNOWN if r[0] in ("MIT", "Apache-2.0") and len(r[1]) > 300])).collect()
+    got = {r["doc_id"]: r["licence"] for r in scanned}
+    wrong = [(docs[i][0][:60], got[i]) for i in got if got[i] != docs[i][1]]
+    assert not wrong
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(docs)])
+    twin = con.execute(f"SELECT i, sha256({oracle._ONE_LINE.format(form=oracle._form('text'))}) FROM t").fetchall()
+    assert dict(twin) == {r["doc_id"]: r["text_digest"] for r in scanned}
+    headers = {"c", "yyyy"}
+    said = {w for _, t in L.KNOWN if len(t) > 300 for w in re.findall(r"copyright[^\w\n]+(\w+(?: \w+)?)", " ".join(t.lower().split()))}
+    assert {w.split()[0] for w in said if re.match(L._other_than(L.PROSE), w)} <= headers
