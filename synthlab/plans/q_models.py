@@ -113,7 +113,8 @@ def _events_ds(spark, sf_dir):
 
 
 # A model's score is not SQL, but the run around it is: which cells there are, on how many training
-# rows, and that each has a valid metric and no error.  The queries return these facts.
+# rows, and that each has a valid metric and no error.  A query returns these facts, and its twin
+# ``..._metrics``, without SQL, the results: every cell with its metrics and its error.
 
 def _cells(frame):
     valid = F.coalesce(F.col("auc_roc").between(0, 1), F.col("mape") >= 0, F.lit(False)) & F.col("error").isNull()
@@ -121,6 +122,13 @@ def _cells(frame):
                         "condition", "alpha", "classifier", valid.alias("ok"))
 
 
+def register_run(name: str, sql: str):
+    def deco(fn):
+        register(name, sql)(lambda spark, sf_dir: _cells(fn(spark, sf_dir)))
+        return register(f"{name}_metrics")(fn)
+    return deco
+
+
 def _sql_cells(dataset: str, cells: list[tuple], n: str, head: str = "", where: str = "") -> str:
     """Expected cells; ``cells`` are (n or None, seed, method, condition, alpha, classifier), None taking ``n``."""
     rows = ", ".join(f"({'NULL' if k is None else k}, {s}, '{m}', '{c}', {'NULL' if a is None else a}, '{clf}')"
@@ -149,34 +157,34 @@ def _arms(n, seed, generators, alphas, clf, tstr=False):
 SWEEP_GENERATORS = ("smote", "bootstrap", "copula")
 
 
-@register("augment_sweep", _sql_cells("telco_like", _arms(None, 42, SWEEP_GENERATORS, S.ALPHAS, "lr", True), TRAIN, TELCO))
+@register_run("augment_sweep", _sql_cells("telco_like", _arms(None, 42, SWEEP_GENERATORS, S.ALPHAS, "lr", True), TRAIN, TELCO))
 def q_augment_sweep(spark, sf_dir):
     """Baseline, TSTR and the whole alpha sweep with three generators (logistic regression)."""
     from synthlab.plans.experiment import results_frame, run_experiment
     ds = _telco_ds(spark, sf_dir)
-    return _cells(results_frame(spark, run_experiment(ds, generators=SWEEP_GENERATORS, seed=42, classifiers=("lr",))))
+    return results_frame(spark, run_experiment(ds, generators=SWEEP_GENERATORS, seed=42, classifiers=("lr",)))
 
 
 MULTI = ("gbc", "lr", "rf", "mlp")
 
 
-@register("multi_classifier", _sql_cells("telco_like", [c for clf in MULTI for c in _arms(None, 42, ("bootstrap",), (1.0,), clf)],
+@register_run("multi_classifier", _sql_cells("telco_like", [c for clf in MULTI for c in _arms(None, 42, ("bootstrap",), (1.0,), clf)],
                                          TRAIN, TELCO))
 def q_multi_classifier(spark, sf_dir):
     """E4 with M1 M3 M4 M5 (M6 registry): four classifiers, one generator at alpha = 1, one seed."""
     from synthlab.plans.experiment import run_multi_classifier
     ds = _telco_ds(spark, sf_dir)
-    return _cells(run_multi_classifier(spark, ds, seeds=[42], classifiers=list(MULTI), generators=("bootstrap",), alphas=(1.0,),
-                                       tstr=False))
+    return run_multi_classifier(spark, ds, seeds=[42], classifiers=list(MULTI), generators=("bootstrap",), alphas=(1.0,),
+                                tstr=False)
 
 
-@register("ci_seeds", _sql_cells("telco_like", [c for s in (42, 123, 7) for c in _arms(None, s, ("bootstrap",), (0.3,), "lr")],
+@register_run("ci_seeds", _sql_cells("telco_like", [c for s in (42, 123, 7) for c in _arms(None, s, ("bootstrap",), (0.3,), "lr")],
                                  TRAIN, TELCO))
 def q_ci_seeds(spark, sf_dir):
     """The experiment for several seeds."""
     from synthlab.plans.experiment import results_frame, run_ci
     rows = run_ci(_telco_ds(spark, sf_dir), (42, 123, 7), generators=("bootstrap",), alphas=(0.3,), classifiers=("lr",), tstr=False)
-    return _cells(results_frame(spark, rows))
+    return results_frame(spark, rows)
 
 
 @register("failed_cells", _sql_cells("telco_like", _arms(None, 42, ("no_such_generator",), (0.3,), "lr"), TRAIN, TELCO)
@@ -191,36 +199,36 @@ def q_failed_cells(spark, sf_dir):
 LOW = ("smote", "bootstrap", "class_targeted")
 
 
-@register("low_data", _sql_cells("telco_like", [c for n in S.LOW_DATA_SIZES for c in _arms(n, 42, LOW, (1.0,), "lr")], TRAIN, TELCO,
+@register_run("low_data", _sql_cells("telco_like", [c for n in S.LOW_DATA_SIZES for c in _arms(n, 42, LOW, (1.0,), "lr")], TRAIN, TELCO,
                                  f"WHERE v.n < 0.7 * {TOTAL}"))
 def q_low_data_run(spark, sf_dir):
     """N grid below 0.7 * rows, real-only vs 2n with SMOTE, bootstrap and class-targeted rows, fixed holdout."""
     from synthlab.plans.experiment import results_frame, run_low_data
     ds = _telco_ds(spark, sf_dir)
-    return _cells(results_frame(spark, run_low_data(ds, S.LOW_DATA_SIZES, seed=42, generators=LOW, classifier="lr")))
+    return results_frame(spark, run_low_data(ds, S.LOW_DATA_SIZES, seed=42, generators=LOW, classifier="lr"))
 
 
-@register("small_n_alpha_sweep", _sql_cells("telco_like", [c for n in (50, 100) for s in (42, 123)
+@register_run("small_n_alpha_sweep", _sql_cells("telco_like", [c for n in (50, 100) for s in (42, 123)
                                                            for c in _arms(n, s, ("bootstrap",), S.ALPHAS, "lr")], TRAIN, TELCO))
 def q_small_n_sweep(spark, sf_dir):
     """Matched small-n design, alpha sweep on prefixes of one synthetic table per (n, seed)."""
     from synthlab.plans.experiment import results_frame, run_small_n
     ds = _telco_ds(spark, sf_dir)
-    return _cells(results_frame(spark, run_small_n(ds, [50, 100], [42, 123], holdout_n=300, generators=("bootstrap",),
-                                                   alpha=list(S.ALPHAS), classifier="lr")))
+    return results_frame(spark, run_small_n(ds, [50, 100], [42, 123], holdout_n=300, generators=("bootstrap",),
+                                            alpha=list(S.ALPHAS), classifier="lr"))
 
 
-@register("balanced_vs_plain", _sql_cells("hillstrom_like", [(None, s, m, "real_only", None, "lr" if s != 42 else "gbc")
+@register_run("balanced_vs_plain", _sql_cells("hillstrom_like", [(None, s, m, "real_only", None, "lr" if s != 42 else "gbc")
                                                              for s in (42, 123) for m in ("baseline", "class_weighted")],
                                           TRAIN, _with("t", "SELECT event_id FROM events")))
 def q_balanced(spark, sf_dir):
     """Class-weighted vs plain fits on the rare-target stand-in, GBT and logistic regression."""
     from synthlab.plans.experiment import results_frame, run_balanced
     ds = _events_ds(spark, sf_dir)
-    return _cells(results_frame(spark, run_balanced(ds, seed=42) + run_balanced(ds, seed=123, classifier="lr")))
+    return results_frame(spark, run_balanced(ds, seed=42) + run_balanced(ds, seed=123, classifier="lr"))
 
 
-@register("sparse_stress", " UNION ALL ".join([
+@register_run("sparse_stress", " UNION ALL ".join([
     "(" + _sql_cells("nomao_like", _arms(None, 42, (), (), "gbc"), TRAIN, _with("t", "SELECT vec_id FROM embeddings")) + ")",
     "(" + _sql_cells("nomao_like_sparse", _arms(None, 42, ("bootstrap",), (0.5,), "gbc"), TRAIN,
                      _with("t", "SELECT vec_id FROM embeddings")) + ")"]))
@@ -230,7 +238,7 @@ def q_sparse(spark, sf_dir):
     from synthlab.plans.experiment import Dataset, results_frame, run_sparse
     df = X.embeddings_wide(spark, sf_dir)
     ds = Dataset(df, "vec_id", "target", "classification", "nomao_like", [f"f{i}" for i in range(64)])
-    return _cells(results_frame(spark, run_sparse(ds, 0.7, seed=42)))
+    return results_frame(spark, run_sparse(ds, 0.7, seed=42))
 
 
 def _clv_ds(spark, sf_dir):
@@ -249,17 +257,16 @@ SQL_CLV_KEYS = ("SELECT o_custkey FROM lineitem JOIN orders ON o_orderkey = l_or
                 "GROUP BY o_custkey HAVING sum(l_extendedprice) > 0")
 
 
-@register("clv_regression", _sql_cells("retail_clv", _arms(None, 42, ("bootstrap",), (0.5,), "gbr", True), TRAIN,
+@register_run("clv_regression", _sql_cells("retail_clv", _arms(None, 42, ("bootstrap",), (0.5,), "gbr", True), TRAIN,
                                        _with("t", SQL_CLV_KEYS)))
 def q_clv_regression(spark, sf_dir):
     """M2 + M9 through E1 on the customer-value table (regression: MAPE, R^2)."""
     from synthlab.plans.experiment import results_frame, run_experiment
     rows = run_experiment(_clv_ds(spark, sf_dir), generators=("bootstrap",), alphas=(0.5,), seed=42)
-    return _cells(results_frame(spark, rows))
+    return results_frame(spark, rows)
 
 
-@register("detection_auc", f"""{TELCO} SELECT CAST(ceil(0.2::DOUBLE * 2 * total) AS BIGINT) AS n_test, true AS in_range FROM k""")
-def q_detection(spark, sf_dir):
+def _detection(spark, sf_dir):
     """can a classifier tell real rows from synthetic ones?  LR on a hash split, exact AUC."""
     from synthlab.operators import generate as G
     from synthlab.plans.models import fit_score
@@ -271,4 +278,17 @@ def q_detection(spark, sf_dir):
     sp = S.stratified_split(both, [ds.key], "origin", 42)
     scored = fit_score(sp.filter("split = 'train'"), sp.filter("split = 'test'"), ds.features, "origin", "lr", 42)
     res = M.auc_ap(scored, "score", "origin")
+    return M.auc_ap(scored, "score", "origin")
+
+
+@register("detection_auc", f"""{TELCO} SELECT CAST(ceil(0.2::DOUBLE * 2 * total) AS BIGINT) AS n_test, true AS in_range FROM k""")
+def q_detection(spark, sf_dir):
+    """the checkable facts."""
+    res = _detection(spark, sf_dir)
     return res.select((F.col("n_pos") + F.col("n_neg")).alias("n_test"), F.col("auc_roc").between(0, 1).alias("in_range"))
+
+
+@register("detection_auc_metrics")
+def q_detection_metrics(spark, sf_dir):
+    """the detection AUC."""
+    return _detection(spark, sf_dir).select("auc_roc", "n_pos", "n_neg")

@@ -29,3 +29,30 @@ def test_multi_classifier_resume_skips_finished(spark):
     done = results_frame(spark, [("tiny", 100, 1, "bootstrap", "augmented", 1.0, "lr", 0.7, 0.1, 0.2, None, None, None)])
     out = run_multi_classifier(spark, ds, [1], ["lr"], done=done, generators=("bootstrap",), alphas=(1.0,), tstr=False)
     assert out.count() == 0
+
+
+def _planted(spark):
+    """Telco rows of sf0.01 whose target follows one feature: a flipped label gets an AUC near 0, a constant score 0.5."""
+    ds = _ds(spark)
+    mid = ds.df.approxQuantile("tenure", [0.6], 0.0)[0]
+    return Dataset(ds.df.withColumn("target", (F.col("tenure") > mid).cast("int")), ds.key, "target", ds.task, "planted", ds.features)
+
+
+def test_runs_find_a_planted_target(spark):
+    from synthlab.plans.experiment import run_balanced, run_low_data, run_small_n
+    ds = _planted(spark)
+    rows = run_small_n(ds, [100], [42], 300, alpha=[0.5], classifier="lr") + run_low_data(ds, [250], generators=("bootstrap",),
+                                                                                     classifier="lr") + run_balanced(ds, classifier="lr")
+    got = results_frame(spark, rows).collect()
+    assert len(got) == 6
+    for r in got:
+        assert r["error"] is None and r["auc_roc"] > 0.9 and r["f1_minority"] > 0.7 and r["avg_precision"] > 0.85
+
+
+def test_model_queries_return_their_metrics(spark):
+    import __spark_entry__ as E
+    qs, sql = E.queries(), E.oracle_sql()
+    names = ("detection_auc", "augment_sweep", "multi_classifier", "ci_seeds", "low_data", "small_n_alpha_sweep", "balanced_vs_plain",
+             "sparse_stress", "clv_regression")
+    assert all(f"{n}_metrics" in qs and f"{n}_metrics" not in sql and n in sql for n in names)
+    assert all(r["r2"] > 0.7 and r["mape"] < 0.05 for r in qs["clv_regression_metrics"](spark, SF_MID).collect())
