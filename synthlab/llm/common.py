@@ -43,6 +43,13 @@ def text_udf(schema: str, fn: Callable[[list[str]], pa.Array]) -> Callable[[Colu
     return F.arrow_udf(run, schema).asNondeterministic()
 
 
+def one_text(docs: DataFrame, drawn: DataFrame, key: str, text: str) -> DataFrame:
+    """(_k, _y, _t): each key of ``drawn`` (_k, _y) that ``docs`` has, once, with its text of the
+    smallest MD5 (null counts as empty).  Copies of a key are reduced in each task first."""
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    return rows.join(F.broadcast(drawn), "_k").groupBy("_k", "_y").agg(F.min_by("_t", F.md5("_t")).alias("_t"))
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthlab.llm.common import WORD, fresh_name, text_udf
+from synthlab.llm.common import WORD, fresh_name, one_text, text_udf
 
 #: most labelled rows that reach the learner
 SAMPLE_ROWS = 12_000
@@ -180,7 +180,7 @@ def rules_column(rules: list[Rule]) -> Column:
 
 def fit_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
               label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learn from at most ``sample_rows`` labelled rows (label 0 is bad).
+    """Learn from at most ``sample_rows`` labelled keys (label 0 is bad), one text of each.
 
     Keys are drawn by a hash; a key with a null or two different labels is left out, as are rows
     that the base limits reject anyway.  No usable label gives no rules.
@@ -190,13 +190,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
            .where("_y = _z").select("_k", "_y"))
     # ordering by the hash with a limit is a top-k per task: bounded, and the same rows each time
     drawn = one.orderBy(F.xxhash64("_k"), "_k").limit(sample_rows)
-    found = text_statistics(docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
-                            .join(F.broadcast(drawn), "_k"), "text")
-    rows = (found.where(~base_failed()).orderBy(F.xxhash64("_k"), "_k").limit(sample_rows)
+    # one text of each key, so that no repeated key crowds out others
+    found = text_statistics(one_text(docs, drawn, key, text), "_t")
+    rows = (found.where(~base_failed())
             .select("_k", "_y", *[F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()])
-            .toPandas())
-    # equal keys may repeat: ties by the features, so that the split is the same each time
-    rows = rows.assign(_h=rows.groupby("_k", sort=False).ngroup()).sort_values(["_h", *FEATURES], kind="stable")
+            .orderBy(F.xxhash64("_k"), "_k").toPandas())
     return learn_rules({name: rows[name].to_numpy(float) for name in FEATURES}, (rows["_y"] == 0).to_numpy())
 
 

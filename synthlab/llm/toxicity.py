@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthlab.llm.common import fresh_name, text_udf
+from synthlab.llm.common import fresh_name, one_text, text_udf
 
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 20
@@ -105,7 +105,7 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fit on at most ``sample_rows`` labelled rows that are not held out.
+    """Fit on at most ``sample_rows`` labelled keys that are not held out, one text of each.
 
     Null keys and labels, and keys with two different labels, are left out.
     """
@@ -113,8 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
            .groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_y"), F.max(label).alias("_z"))
            .where("_y = _z").select("_k", "_y"))
     drawn = one.orderBy(F.xxhash64("_k"), "_k").limit(sample_rows)
-    texts = (docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(drawn), "_k")
-             .orderBy(F.xxhash64("_k"), "_k", F.md5(F.coalesce("_t", F.lit("")))).limit(sample_rows))
+    texts = one_text(docs, drawn, key, text)
     bagged = texts.select("_k", "_y", text_udf("array<int>", _text_buckets)(F.col("_t")).alias("_b")).cache()
     try:
         total = bagged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_y").cast("long")).alias("p")).first()

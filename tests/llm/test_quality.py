@@ -84,3 +84,18 @@ def test_learned_on_labels_of_the_table(spark):
     right = sum(r["kept"] == (r["quality"] == 1) for r in judged)
     assert right >= 0.97 * len(judged)
     assert sum(r["kept"] for r in judged if r["quality"] == 1) >= 0.99 * sum(r["quality"] == 1 for r in judged)
+
+
+def test_a_hot_key_takes_no_room_from_other_keys(spark):
+    n = 400
+    good = "plain words that stand here {} and go on for a while without any sign at all in it"
+    bad = "# $ # word{} * # | & # < word # $ word % # & | # < # and word # $ # |"
+    rows = [(i, (bad if i % 2 else good).format(i)) for i in range(n)]
+    docs = spark.createDataFrame(rows + [(k, good.format(k)) for k in (0, 2, 4, 6, 8, 10) for _ in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = Q.fit_rules(docs, labels, sample_rows=n)
+    assert rules and rules == Q.fit_rules(once, labels, sample_rows=n)
+    from synthlab.llm import toxicity as T
+    a, b = T.fit(docs, labels, sample_rows=n), T.fit(once, labels, sample_rows=n)
+    assert list(a.buckets) == list(b.buckets) and np.array_equal(a.weights, b.weights)
