@@ -1,4 +1,5 @@
-"""Operators of a training-data pipeline over text: ten DataFrame operators and their queries.
+"""Operators of a training-data pipeline over text and embeddings: thirteen DataFrame operators and
+their queries.
 
 Nothing else in the library imports this subpackage.
 """

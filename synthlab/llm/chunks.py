@@ -2,8 +2,9 @@
 
 A tokenizer whose pieces never cross certain places can be applied chunk by chunk.  A task cuts its
 texts there, encodes the chunks it has not met yet in one call, and puts the ids of a text together
-by looking its chunks up in order.  The table is a memo of bounded size in the worker process;
-dropping it costs time only.
+by looking its chunks up in order.  The table is a memo in the worker process, bounded in bytes: it
+keeps so many chunks of at most ``LONG`` characters, and longer ones, which hardly come again, only
+while their texts are worked on.  Dropping it costs time only.
 """
 from __future__ import annotations
 
@@ -13,8 +14,10 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 
-#: chunks in one generation
+#: chunks in one generation; two are kept
 GENERATION = 150_000
+#: characters of the longest chunk that is remembered
+LONG = 64
 
 
 class Memo(dict):
@@ -26,7 +29,9 @@ class Memo(dict):
         self.compute, self.size = compute, size
 
     def __missing__(self, chunk: str):
-        value = self[chunk] = self.compute(chunk)
+        value = self.compute(chunk)
+        if len(chunk) <= LONG:
+            self[chunk] = value
         return value
 
     def trim(self) -> None:
@@ -35,15 +40,20 @@ class Memo(dict):
 
 
 class ChunkTable:
-    """Table from chunk to value; ``encode`` maps a list of new chunks to a list of values."""
+    """Table from chunk to value; ``encode`` maps a list of new chunks to a list of values.  Chunks that
+    were not asked for in the last one or two generations are dropped."""
 
     def __init__(self, encode: Callable[[list[str]], list], generation: int = GENERATION):
         self.encode, self.generation = encode, generation
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.passing: list[str] = []                 # long chunks of the last call
 
     def get_all(self, texts: list[list[str]]) -> dict[str, object]:
         """Values of at least all chunks of ``texts``."""
+        for c in self.passing:
+            del self.young[c]
+        self.passing = []
         wanted = set().union(*texts)
         if len(self.young) + len(wanted) > self.generation:
             self.old, self.young = self.young, {}
@@ -57,6 +67,7 @@ class ChunkTable:
                 young[c] = value
         if missing:
             young.update(zip(missing, self.encode(missing)))
+            self.passing = [c for c in missing if len(c) > LONG]
         return young
 
 

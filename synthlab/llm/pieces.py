@@ -2,7 +2,7 @@
 
 Where no piece has white space after another character, merges never cross from the end of a word
 into the next run of white-space markers.  A text is then a sequence of marked words (a run of
-markers and what follows it), and each distinct marked word is segmented and decoded once; ids join
+markers and what follows it), and each distinct marked word is segmented once; ids join
 back by position.  The model is asked once whether this holds, and whether its normaliser leaves
 texts alone; if not, every whole text is its own chunk, which is right for any model.
 
@@ -41,7 +41,6 @@ class Model:
         self.by_word = plain and MARK in pieces and not any(map(crossing.search, pieces))
         self.mark_id = sp.piece_to_id(MARK)
         self.words = ChunkTable(self._segment)
-        self.surfaces = ChunkTable(self._surface)
 
     def _ids(self, chunks: list[str]) -> list[list[int]]:
         if not self.by_word:
@@ -53,11 +52,6 @@ class Model:
     def _segment(self, chunks: list[str]) -> list[bytes]:
         return [id_bytes(ids) for ids in self._ids(chunks)]
 
-    def _surface(self, chunks: list[str]) -> list[str]:
-        decoded = self.library.decode(self._ids(chunks))
-        # decode() takes the first marker off, which inside a text is a space
-        return [" " + d for d in decoded] if self.by_word else decoded
-
     def cut(self, text: str) -> list[str]:
         if not text:
             return []
