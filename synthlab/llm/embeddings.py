@@ -31,8 +31,9 @@ from synthlab.session import materialise
 
 COSINE = 0.98
 BLOCK_DIMS = 8
-#: vectors that an own cell should hold, and members of a tile
-CELL, TILE = 512, 4096
+#: vectors that an own cell should hold (a border costs more than comparing some thousand vectors in
+#: few dimensions), and members of a tile
+CELL, TILE = 4096, 8192
 #: vectors that the axes are taken from, those of the smallest digests
 SAMPLE_ROWS = 4096
 #: covers the rounding of block coordinates (float32) and of unit vectors
@@ -131,6 +132,15 @@ class Blocks:
                         yield b, everyone[go], np.zeros(int(go.sum()), bool), there, own[go]
 
 
+def cell_names(cells: np.ndarray) -> np.ndarray:
+    """A number for each row of cell indices; cells that share one are compared, which costs time only."""
+    name = np.zeros(len(cells), np.int64)
+    for column in cells.T:
+        name = (name ^ column) * 0x5851F42D4C957F2D + 0x14057B7EF767814F
+        name ^= name >> 29
+    return name
+
+
 def close_pairs(x: np.ndarray, y: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of the rows of x and y within ``budget`` of squared distance, a step of x at a time."""
     size = (y * y).sum(axis=1)
@@ -168,15 +178,16 @@ def candidates(points: DataFrame, cosine: float = COSINE) -> DataFrame:
                     some = piece.filter(pa.array(widths == width))
                     uid, label = some.column("uid").to_numpy(), some.column("label")
                     for b, rows, home, cells, own in plans[int(width)].rows(unit_rows(some.column("vec"))):
-                        names = pa.array([",".join(map(str, c)) for c in cells.tolist()], pa.string())
+                        coordinates = pa.FixedSizeBinaryArray.from_buffers(
+                            pa.binary(4 * own.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(own))])
                         yield pa.RecordBatch.from_arrays(
                             [label.take(pa.array(rows)), pa.array(np.full(len(rows), width, np.int32)),
-                             pa.array(np.full(len(rows), b, np.int32)), names, pa.array(home),
-                             pa.array(uid[rows]), pa.array([r.tobytes() for r in own], pa.binary())],
+                             pa.array(np.full(len(rows), b, np.int32)), pa.array(cell_names(cells)), pa.array(home),
+                             pa.array(uid[rows]), coordinates.cast(pa.binary())],
                             ["label", "width", "block", "cell", "home", "uid", "own"])
     cell = ["label", "width", "block", "cell"]
     sent = materialise(points.select("uid", "label", "width", "vec").mapInArrow(
-        spread, f"label {kind}, width int, block int, cell string, home boolean, uid bigint, own binary"), "cells")
+        spread, f"label {kind}, width int, block int, cell bigint, home boolean, uid bigint, own binary"), "cells")
     # cells without a home vector, or with one vector, hold no pair; crowded ones are cut into tiles
     counts = sent.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("home").cast("int")).alias("h"))
     counts = counts.where("n > 1 and h = 1").select(*cell, F.ceil(F.col("n") / TILE).cast("int").alias("k"))
@@ -190,7 +201,9 @@ def candidates(points: DataFrame, cosine: float = COSINE) -> DataFrame:
         width, block, i, j = (key[k].as_py() for k in (1, 2, 4, 5))
         uid, home = table.column("uid").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
         side = table.column("t").to_numpy()
-        own = np.frombuffer(b"".join(table.column("own").to_pylist()), np.float32).reshape(len(uid), -1)
+        chunks = [np.frombuffer(c.buffers()[2], np.uint8)[slice(*np.frombuffer(c.buffers()[1], np.int32)[[c.offset, c.offset + len(c)]])]
+                  for c in table.column("own").chunks if len(c)]
+        own = np.concatenate(chunks).view(np.float32).reshape(len(uid), -1)
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         found = []
         for a, b in close_pairs(own[left], own[right], budgets[width][block]):
@@ -205,12 +218,13 @@ def candidates(points: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def _cosines(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Cosine of two vectors in double precision."""
-    out = []
-    for x, y in zip(_doubles(a), _doubles(b)):
-        x, y = x / np.abs(x).max(), y / np.abs(y).max()
-        out.append(float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y))))
-    return pa.array(out, pa.float64())
+    """Cosines of vectors of equal lengths, in double precision."""
+    widths, out = a.value_lengths().to_numpy(zero_copy_only=False), np.zeros(len(a))
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        x, y = (unit_rows(side.take(pa.array(at))) for side in (a, b))
+        out[at] = np.einsum("ij,ij->i", x, y)
+    return pa.array(out)
 
 
 _cosines.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
@@ -221,14 +235,14 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding"
     """(key, n_links long, component_id, kept boolean), one row per row of ``vectors``.
 
     Rows link where their labels are equal and not null, their vectors have the same length and
-    their cosine is at least ``cosine`` (between 0 and 1).  Vectors that are null, empty, zero or
+    their cosine is at least ``cosine`` (above 0, below 1).  Vectors that are null, empty, zero or
     hold a null or non-finite component link with nothing.  ``n_links`` counts the other rows linked
     directly, equal vectors and repeated rows included.  ``component_id`` is the smallest key that
     links reach, the row's own included (null keys are passed over); rows of that key are kept.
     Other columns are dropped; an empty table gives an empty table.
     """
-    if not 0 < cosine <= 1:
-        raise ValueError("cosine is above 0 and at most 1")
+    if not 0 < cosine < 1:
+        raise ValueError("cosine is above 0 and below 1")
     digest = F.when(F.col(label).isNotNull(), digest_column(F.col(vec)))
     rows = materialise(vectors.select(F.col(key).alias("k"), F.col(label).alias("label"), F.col(vec).alias("vec"),
                                       F.size(vec).alias("width"), digest.alias("digest")), "vectors")
