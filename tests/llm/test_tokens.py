@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 import tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from fixtures_llm import awkward, nothing  # noqa: F401
 from texts_llm import odd_texts
 
@@ -140,3 +141,14 @@ def test_file_format(spark, kind, encoding, tmp_path):
             assert all(c.has_column_index and c.has_offset_index for c in cols.values())
     plan = token_files.read_tokens(spark, path).select("key", "n_tokens")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<key:bigint,n_tokens:bigint" in plan.replace("file_start:bigint,", "")
+
+
+def test_equal_rows_spread_over_files(spark):
+    """A third of the rows are one row; no file holds much more than its share."""
+    rows = [(7, "same words here")] * 3000 + [(i, f"text {i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    path = token_files.write_tokens(docs, BYTES)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.col("_metadata.file_name")).count().collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 2 * 9000 / 8
+    same = token_files.read_tokens(spark, path).where("key = 7").agg(F.countDistinct("start"), F.count(F.lit(1))).first()
+    assert tuple(same) == (3001, 3001)
