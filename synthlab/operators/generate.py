@@ -6,13 +6,13 @@ Randomness is the portable hash keyed by the synthetic row id and the run seed (
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthlab.functions.keys import hash_normal, hash_uniform, hash_uniform52
+from synthlab.operators.copula import class_targeted, fit_copula, gaussian_copula  # noqa: F401
 from synthlab.operators.knn import knn
 from synthlab.operators.sampling import hash_rank
 
@@ -75,216 +75,62 @@ def bootstrap_jitter(train: DataFrame, key: str, features: Sequence[str], target
     return j.select((F.col("_i") + 1).alias("syn_rank"), *cols, F.col(target))
 
 
-# ---- Gaussian copula (G2) and class-targeted sampling (G3) -----------------------------------------
-
-def _norm_ppf_col(u):
-    """Inverse standard normal CDF (Acklam's rational approximation, |rel err| < 1.2e-9)."""
-    # fixed values: coefficients of the published approximation
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
-    p_low = 0.02425
-
-    def poly(coefs, x):
-        acc = F.lit(coefs[0])
-        for co in coefs[1:]:
-            acc = acc * x + F.lit(co)
-        return acc
-
-    q_low = F.sqrt(-2 * F.log(u))
-    low = poly(c, q_low) / (poly(d, q_low) * q_low + 1)
-    q = u - 0.5
-    r = q * q
-    mid = poly(a, r) * q / (poly(b, r) * r + 1)
-    q_hi = F.sqrt(-2 * F.log(1 - u))
-    high = -poly(c, q_hi) / (poly(d, q_hi) * q_hi + 1)
-    return F.when(u < p_low, low).when(u > 1 - p_low, high).otherwise(mid)
-
-
-def _norm_cdf_col(z):
-    """Standard normal CDF via erf-free complementary form (Zelen & Severo 26.2.17, |err| < 7.5e-8)."""
-    # fixed values: coefficients of the published approximation
-    p, b1, b2, b3, b4, b5 = 0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429
-    t = 1 / (1 + p * F.abs(z))
-    poly = t * (b1 + t * (b2 + t * (b3 + t * (b4 + t * b5))))
-    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
-
-
-DISCRETE_VALUES = 64     # columns of at most so many values keep exactly these values
-
-
-def copula_fit(train: DataFrame, key: str, features: Sequence[str], grid: int = 1000) -> tuple[DataFrame, list[list[float]]]:
-    """Fit marginals and the correlation of normal scores (d x d, small, to the driver).
-
-    Rows (col, g, q, p): a column of many values has a ``grid``-point quantile table (p NULL); a
-    column of at most ``DISCRETE_VALUES`` values has its values in order with exact cumulative
-    shares p, so no value is invented and a rare one keeps its share.  Normal scores use mid-ranks.
-    """
-    import numpy as np
-    from pyspark.ml.stat import Correlation
-    from pyspark.ml.feature import VectorAssembler
-    from synthlab.operators.stats import mid_ranks
-
-    n = train.count()
-    scored = mid_ranks(train.select(key, *features), features)
-    z = scored.select(*[_norm_ppf_col(F.col(f"_r_{c}") / F.lit(float(n + 1))).alias(c) for c in features])
-    vec = VectorAssembler(inputCols=list(features), outputCol="_z").transform(z).select("_z")
-    corr = Correlation.corr(vec, "_z").first()[0].toArray()
-    corr = np.nan_to_num(corr)
-    np.fill_diagonal(corr, 1.0)
-    # quantile tables: approximate percentiles (bounded-memory sketch per column), grid points 0..1
-    probs = [i / (grid - 1) for i in range(grid)]
-    one = train.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * grid).alias(c) for c in features],
-                    *[F.approx_count_distinct(c).alias(f"_n_{c}") for c in features]).first()
-    few = [c for c in features if one[f"_n_{c}"] <= DISCRETE_VALUES]
-    rows = [(c, i, float(v), None) for c in features if c not in few for i, v in enumerate(one[c] or [])]
-    if few:
-        counts = (train.select(*[F.col(c).cast("double").alias(c) for c in few]).unpivot([], few, "col", "q")
-                  .where("q is not null").groupBy("col", "q").agg(F.count(F.lit(1)).alias("c")).orderBy("col", "q").collect())
-        for c in few:                                  # about 64 values of each
-            own = [(r["q"], r["c"]) for r in counts if r["col"] == c]
-            total, cum = sum(k for _, k in own), 0
-            for i, (v, k) in enumerate(own):
-                cum += k
-                rows.append((c, i, float(v), cum / total))
-    return train.sparkSession.createDataFrame(rows, "col STRING, g INT, q DOUBLE, p DOUBLE"), corr.tolist()
-
-
-def _cholesky(corr: list[list[float]]):
-    """Lower factor; a small ridge keeps it defined for a singular correlation."""
-    import numpy as np
-    c = np.array(corr)
-    return np.linalg.cholesky(c + 1e-9 * np.eye(len(c)))
-
-
-def copula_sample(spark: SparkSession, qtab: DataFrame, corr: list[list[float]], features: Sequence[str],
-                  n: int, seed, grid: int = 1000) -> DataFrame:
-    """z = L e (Cholesky of the normal-score correlation), u = Phi(z), x = empirical quantile
-    at u (linear between grid points; for columns of few values the value whose cumulative share
-    reaches u).  The quantile table (d x grid rows) is a constant-size broadcast; draws are
-    generated per id, fully parallel.  ``_z_<col>`` holds the normal score of each column."""
-    L = _cholesky(corr)
-    ids = spark.range(0, int(n))
-    e = [hash_normal(["id"], f"{seed}:e{j}") for j in range(len(features))]
-    zs = []
-    for i, c in enumerate(features):
-        acc = F.lit(0.0)
-        for j in range(i + 1):
-            if L[i, j] != 0.0:
-                acc = acc + F.lit(float(L[i, j])) * e[j]
-        zs.append(acc.alias(f"_z_{c}"))
-    draws = ids.select(F.col("id"), *zs)
-    qmap = qtab.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("g", "q", "p"))).alias("_qs"))
-    qwide = qmap.groupBy().pivot("col", list(features)).agg(F.first("_qs"))
-    j = draws.crossJoin(F.broadcast(qwide))
-    out = []
-    for col in features:
-        u = _norm_cdf_col(F.col(f"_z_{col}"))
-        pos = u * (grid - 1)
-        lo = F.least(F.floor(pos).cast("int"), F.lit(grid - 2))
-        frac = pos - lo
-        qlo = F.get(F.col(col), lo)["q"]
-        qhi = F.get(F.col(col), lo + 1)["q"]
-        reached = F.get(F.filter(F.col(col), lambda s: s["p"] >= F.least(u, F.lit(1.0))), F.lit(0))["q"]
-        out.append(F.when(F.get(F.col(col), F.lit(0))["p"].isNull(), qlo + frac * (qhi - qlo)).otherwise(reached).alias(col))
-    return j.select((F.col("id") + 1).alias("syn_rank"), *out, *[f"_z_{c}" for c in features])
-
-
-Fit = tuple[DataFrame, list[list[float]]]
-
-
-def copula_fit_with_class(train: DataFrame, key: str, features: Sequence[str], target: str, grid: int = 1000) -> Fit:
-    """The fit of ``gaussian_copula``, to be shared by several seeds."""
-    return copula_fit(train.withColumn(target, F.col(target).cast("double")), key, [*features, target], grid)
-
-
-def gaussian_copula(train: DataFrame, key: str, features: Sequence[str], target: str, n: int, seed,
-                    grid: int = 1000, fit: Fit | None = None) -> DataFrame:
-    """G2 with a categorical target: the class is a copula column; rows are ranked by its normal
-    score and cut at the exact class shares, so each class has its share of ``n`` to within one row."""
-    from synthlab.operators.ordered import global_rank
-    cols = list(features) + [target]
-    qtab, corr = fit or copula_fit_with_class(train, key, features, target, grid)
-    s = copula_sample(train.sparkSession, qtab, corr, cols, n, seed, grid)
-    s = global_rank(s.withColumn("_o", F.struct(f"_z_{target}", "syn_rank")), "_o", name="_at")
-    shares = train.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("c")).orderBy(target).collect()
-    total, cum, label = sum(r["c"] for r in shares), 0, None
-    for r in shares[:-1]:                              # one row per class
-        cum += r["c"]
-        below = F.col("_at") < (2 * cum * int(n) + total) // (2 * total)
-        label = F.when(below, F.lit(r[target])) if label is None else label.when(below, F.lit(r[target]))
-    last = F.lit(shares[-1][target]) if shares else F.lit(None)
-    label = last if label is None else label.otherwise(last)
-    return s.select("syn_rank", *features, label.cast(train.schema[target].dataType).alias(target))
-
-
-def log_frequency_shares(train: DataFrame, target: str) -> DataFrame:
-    """G3 quotas: class share proportional to log(1 + count) (conditional-generator sampling)."""
-    c = train.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy()
-    return c.select(target, (F.log1p("_n") / F.sum(F.log1p("_n")).over(w)).alias("share"), "_n")
-
+# ---- G7: row textualisation and parse-back ---------------------------------------------------------
 
-def class_targeted(train: DataFrame, key: str, features: Sequence[str], target: str, n: int, seed,
-                   pos_share: float | None = None, generator: str = "copula",
-                   fits: dict | None = None) -> DataFrame:
-    """Class mix shifted toward the minority (log-frequency shares unless ``pos_share``), then
-    rows sampled within each class by the named generator, ``copula`` or ``bootstrap``, the same one
-    for classes of every size.  ``fits`` (class -> fit) is filled and reused across calls."""
-    fits = {} if fits is None else fits
-    if generator not in ("copula", "bootstrap"):
-        raise ValueError("generator is copula or bootstrap")
-    shares = {r[target]: r["share"] for r in log_frequency_shares(train, target).collect()}
-    if pos_share is not None:
-        shares = {cls: (pos_share if cls == 1 else 1 - pos_share) for cls in shares}
-    parts = []
-    offset = 0
-    for cls in sorted(shares):
-        quota = int(round(shares[cls] * n))
-        sub = train.filter(F.col(target) == cls)
-        if generator == "bootstrap":
-            g = bootstrap_jitter(sub, key, features, target, quota, f"{seed}:{cls}")
-        else:
-            if cls not in fits:
-                fits[cls] = copula_fit(sub, key, features)
-            qtab, corr = fits[cls]
-            g = copula_sample(train.sparkSession, qtab, corr, features, quota, f"{seed}:{cls}").select(
-                "syn_rank", *features).withColumn(target, F.lit(cls))
-        parts.append(g.withColumn("syn_rank", F.col("syn_rank") + offset))
-        offset += quota
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: characters that a value may hold without quotes
+_BARE = r"^[^\s,\"\\][^,\"\\]*$"
 
 
-# ---- G7: row textualisation and parse-back ---------------------------------------------------------
-
 def row_text(df: DataFrame, key: str, cols: Sequence[str], seed=None) -> DataFrame:
-    """G7: "a is 1, b is 2.5, target is 0"; with ``seed`` the column order is a hash permutation per row."""
-    parts = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("val")) for c in cols]
+    """G7: "a is 1, b is 2.5, target is 0"; with ``seed`` the column order is a hash permutation per row.
+
+    A value that could be misread (a comma, a quote, a backslash, white space at its ends, an empty
+    text, or the word None) is written in double quotes, with backslashes before quotes and
+    backslashes; NULL is the bare word None.  Names are written as they are and must not hold
+    commas, quotes or `` is ``."""
+    def shown(c: str):
+        v = F.col(c).cast("string")
+        bare = v.rlike(_BARE) & (F.trim(v) == v) & (v != "None") & ~v.rlike(r"\s$")
+        quoted = F.concat(F.lit('"'), F.regexp_replace(v, r'(["\\])', r"\\$1"), F.lit('"'))
+        return F.when(v.isNull(), F.lit("None")).when(bare, v).otherwise(quoted)
+    parts = [F.struct(F.lit(c).alias("name"), shown(c).alias("val")) for c in cols]
     arr = F.array(*parts)
     if seed is not None:
         arr = F.transform(arr, lambda s: F.struct(
             F.md5(F.concat_ws(":", F.col(key).cast("string"), s["name"], F.lit(str(seed)))).alias("h"), s["name"].alias("name"),
             s["val"].alias("val")))
         arr = F.transform(F.array_sort(arr), lambda s: F.struct(s["name"].alias("name"), s["val"].alias("val")))
-    text = F.array_join(F.transform(arr, lambda s: F.concat(s["name"], F.lit(" is "), F.coalesce(s["val"], F.lit("None")))), ", ")
+    text = F.array_join(F.transform(arr, lambda s: F.concat(s["name"], F.lit(" is "), s["val"])), ", ")
     return df.select(key, text.alias("text"))
 
 
+#: one field: a name, `` is ``, then a quoted or a bare value, up to a comma or the end
+_FIELD = r'([^,"]+?) is ("(?:[^"\\]|\\.)*"|[^,"]*)(?:, |$)'
+
+
 def row_parse(texts: DataFrame, key: str, schema: dict[str, str]) -> DataFrame:
-    """G7 inverse: parse "name is value" pairs; unparsable or missing values -> NULL and an error."""
-    m = F.str_to_map(F.col("text"), F.lit(", "), F.lit(" is "))
-    cols = [F.element_at(m, F.lit(c)).try_cast(t).alias(c) for c, t in schema.items()]
-    parsed = texts.select(key, *cols)
-    bad = [F.col(c).isNull() for c in schema]
-    any_bad = bad[0]
-    for b in bad[1:]:
-        any_bad = any_bad | b
-    return parsed.withColumn("error", F.when(any_bad, F.lit("unparsable row")))
+    """G7 inverse: (key, the columns of ``schema``, error).
+
+    Every text gives one row and none ends the job.  ``error`` is the first of: the text is not a
+    list of "name is value" fields, a field of the schema is missing, one stands twice, or a value
+    does not have its column's type.  A bare None is NULL and no error.  Fields outside the schema
+    are passed over.  Values of bad rows are NULL where they cannot be read."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = F.transform(F.regexp_extract_all(text, F.lit("(?s)" + _FIELD), F.lit(1)), lambda n: F.trim(n))
+    values = F.regexp_extract_all(text, F.lit("(?s)" + _FIELD), F.lit(2))
+    read = texts.select(F.col(key), names.alias("_n"), values.alias("_v"),
+                        (F.regexp_replace(text, "(?s)" + _FIELD, "") == "").alias("_whole"))
+    cols, missing, twice, wrong = [], F.lit(False), F.lit(False), F.lit(False)
+    for c, kind in schema.items():
+        at = F.array_position("_n", F.lit(c)).cast("int")               # 0: not there
+        there = F.get("_v", at - 1)
+        inside = F.regexp_replace(there.substr(F.lit(2), F.length(there) - 2), r"(?s)\\(.)", "$1")
+        raw = F.when(there.startswith('"'), inside).otherwise(F.when(there != "None", there))
+        # an unquoted empty value is no value
+        cols.append(raw.try_cast(kind).alias(c))
+        missing = missing | (at == 0) | F.coalesce(there == "", F.lit(False))
+        twice = twice | (F.array_position(F.slice("_n", at + 1, F.size("_n")), F.lit(c)) > 0)
+        wrong = wrong | (raw.isNotNull() & raw.try_cast(kind).isNull())
+    error = (F.when(~F.col("_whole"), "not a list of fields").when(missing, "missing field")
+             .when(twice, "repeated field").when(wrong, "value of another type"))
+    return read.select(key, *cols, error.alias("error"))
