@@ -7,12 +7,13 @@ one job handles every column; ordered statistics use the distributed running sum
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthlab.functions.keys import hash_uniform
 from synthlab.operators.knn import knn_join
 from synthlab.operators.metrics import running_before
 from synthlab.functions.exprs import join_on
@@ -98,46 +99,125 @@ def poisson_thresholds() -> list[float]:
     return out
 
 
-def poisson1(u):
-    """Poisson(1) draw from a uniform by inverse CDF: the number of cumulative thresholds <= u.
-    A sum of comparisons (``u`` referenced unconditionally, so it is computed once)."""
-    acc = F.lit(0)
-    for t in poisson_thresholds():
-        acc = acc + F.when(u >= F.lit(t), 1).otherwise(0)
-    return acc
+#: modulus of the replicate hash, and rows weighted at a time
+PRIME, STEP = (1 << 31) - 1, 1024
 
 
-UNIFORMS_PER_DIGEST = 4
-
-
-def bootstrap_weights(keys: Sequence[str], replicates: int, seed):
-    """Array of ``replicates`` Poisson(1) weights per row.  Each md5 digest of (key, seed:j) gives
-    four independent 32-bit uniforms, so B replicates cost ceil(B / 4) digests per row."""
-    from synthlab.functions.keys import hash_hex
-    digests = [hash_hex(list(keys), f"{seed}:{j}") for j in range(-(-replicates // UNIFORMS_PER_DIGEST))]
-    return digests, [(b // UNIFORMS_PER_DIGEST, (b % UNIFORMS_PER_DIGEST) * 8 + 1) for b in range(replicates)]
+def replicate_factors(replicates: int, seed) -> list[tuple[int, int, int]]:
+    """Three factors below ``PRIME`` for each replicate, from md5(seed:replicate)."""
+    from hashlib import md5
+    hexes = [md5(f"{seed}:{b}".encode()).hexdigest() for b in range(replicates)]
+    return [tuple(int(h[i:i + 8], 16) % (PRIME - 1) + 1 for i in (0, 8, 16)) for h in hexes]
 
 
 def bootstrap_auc(scored: DataFrame, score: str, label: str, keys: Sequence[str], replicates: int, seed,
                   by: Sequence[str] = ()) -> DataFrame:
-    """Poisson-weighted bootstrap replicates of the exact AUC (one job for all replicates).
-
-    Digests are projected first, weights second (no md5 is repeated per comparison); rows are
-    exploded to (replicate, weight) and pre-aggregated to one row per (cell, replicate, score)."""
-    from synthlab.functions.keys import uniform_from_hex
-    digests, slots = bootstrap_weights(keys, replicates, seed)
-    # project digests once per row; the generator reads them as columns, and the Poisson count runs
-    # after the generator, so no digest is recomputed per replicate or per comparison
-    hx = scored.select(*by, score, label, *[d.alias(f"_h{j}") for j, d in enumerate(digests)])
-    us = F.array(*[uniform_from_hex(F.col(f"_h{j}"), start) for j, start in slots])
-    ex = (hx.select(*by, score, label, F.posexplode(us).alias("_b0", "_u"))
-          .withColumn("_w", poisson1(F.col("_u"))).filter(F.col("_w") > 0))
-    g = ex.groupBy(*by, (F.col("_b0") + 1).alias("b"), score).agg(
-        F.sum(F.col("_w") * F.col(label)).alias("pos"), F.sum(F.col("_w") * (1 - F.col(label))).alias("neg"))
-    t = running_before(g, [*by, "b"], score, ["pos", "neg"])
-    per = t.groupBy(*by, "b").agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
-                                  F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("_u"))
-    return per.select(*by, "b", F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auc"))
+    """Poisson-weighted bootstrap replicates (b = 1..replicates) of the exact AUC, in one pass.
+
+    A row's weight in replicate b is a Poisson(1) draw from ``(x f1 + y f2 + f3) mod PRIME``, where x
+    and y are two 31-bit slices of its key's digest and f the replicate's factors.  Rows are
+    range-partitioned by (cell, score, digest), so equal scores spread over tasks, and are sorted in
+    each; a task turns its rows into weight arrays some at a time, and adds up, for each cell, the
+    weights of either class and the pairs won, as arrays with one element per replicate.  What
+    leaves a task is three rows a cell: its first score, its last score (either may go on in another
+    task) and what lies between.  No row is repeated per replicate.  NULL scores come first.
+    """
+    by = list(by)
+    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    cell = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    half = [(F.conv(F.substring(digest, i, 8), 16, 10).cast("long") % PRIME).alias(n) for i, n in ((1, "_x"), (9, "_y"))]
+    rows = scored.select(cell.alias("_c"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("_s"),
+                         F.col(label).cast("int").alias("_l"), *half)
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "_c", "_s", "_x", "_y").sortWithinPartitions("_c", "_s").select(
+        "*", F.spark_partition_id().alias("_p"))
+    factors = np.array(replicate_factors(replicates, seed), dtype=np.int64).reshape(-1, 3).T
+    limits = np.array(poisson_thresholds())
+
+    def weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        u = (x[:, None] * factors[0] + y[:, None] * factors[1] + factors[2]) % PRIME / PRIME
+        return np.searchsorted(limits, u.ravel(), "right").reshape(u.shape)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(replicates, np.int64)
+        cell_name = open_score = None
+        first = middle = None                 # of the open cell: (score, pos, neg); (pos, neg, won twice)
+        pos, neg = zero, zero                 # of the open score
+
+        def row(at: int, seq: int, s, p, n, won) -> pa.RecordBatch:
+            arrays = [pa.array([a.tolist()], pa.list_(pa.int64())) for a in (p, n, won)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([cell_name]), pa.array([at], pa.int32()), pa.array([seq], pa.int32()), pa.array([s], pa.float64()), *arrays],
+                ["_c", "_p", "_q", "_s", "pos", "neg", "won"])
+
+        def close_score() -> None:
+            nonlocal first, middle
+            if first is None:
+                first = (open_score, pos, neg)
+            else:
+                mp, mn, won = middle or (zero, zero, zero)
+                middle = (mp + pos, mn + neg, won + pos * (2 * mn + neg))
+
+        def close_cell(at: int) -> Iterator[pa.RecordBatch]:
+            if cell_name is None:
+                return
+            if first is None:
+                yield row(at, 0, open_score, pos, neg, pos * neg)
+                return
+            yield row(at, 0, first[0], first[1], first[2], first[1] * first[2])
+            if middle is not None:
+                yield row(at, 1, None, *middle)
+            yield row(at, 2, open_score, pos, neg, pos * neg)
+        at = 0
+        for batch in batches:
+            for begin in range(0, batch.num_rows, STEP):
+                part = batch.slice(begin, STEP)
+                names, s = part.column(0).to_pylist(), part.column(1).to_numpy()
+                at = part.column(5)[0].as_py()
+                w, y = weights(part.column(3).to_numpy(), part.column(4).to_numpy()), part.column(2).to_numpy()[:, None]
+                opens = [i for i in range(len(s)) if i == 0 or names[i] != names[i - 1] or s[i] != s[i - 1]]
+                up, down = np.add.reduceat(w * y, opens, axis=0), np.add.reduceat(w * (1 - y), opens, axis=0)
+                for i, p, n in zip(opens, up, down):
+                    if names[i] != cell_name:
+                        yield from close_cell(at)
+                        cell_name, open_score, first, middle, pos, neg = names[i], s[i], None, None, p, n
+                    elif s[i] != open_score:
+                        close_score()
+                        open_score, pos, neg = s[i], p, n
+                    else:
+                        pos, neg = pos + p, neg + n
+        yield from close_cell(at)
+    partial = ordered.mapInArrow(sums, "_c string, _p int, _q int, _s double, pos array<bigint>, neg array<bigint>, won array<bigint>")
+
+    def finish(key: tuple, table: pa.Table) -> pa.Table:
+        won, before, ups = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        tie = None                            # the open score: (score, pos, neg)
+
+        def end_tie() -> None:
+            nonlocal won, before
+            if tie is not None:
+                won, before = won + tie[1] * (before + tie[2] / 2), before + tie[2]
+        for r in table.sort_by([("_p", "ascending"), ("_q", "ascending")]).to_batches(max_chunksize=64):
+            for s, p, n, w in zip(*(r.column(c).to_pylist() for c in ("_s", "pos", "neg", "won"))):
+                p, n, w = (np.array(a, dtype=float) for a in (p, n, w))
+                ups = ups + p
+                if s is not None and tie is not None and s == tie[0]:
+                    tie = (s, tie[1] + p, tie[2] + n)
+                    continue
+                end_tie()
+                tie = (s, p, n) if s is not None else None
+                if s is None:
+                    won, before = won + p * before + w / 2, before + n
+        end_tie()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            auc = won / (ups * before)
+        return pa.table({"_c": pa.array([key[0].as_py()] * replicates), "b": pa.array(np.arange(1, replicates + 1)),
+                         "auc": pa.array(auc, mask=~((ups > 0) & (before > 0)))})
+    out = partial.groupBy("_c").applyInArrow(finish, "_c string, b bigint, auc double")
+    if not by:
+        return out.select("b", "auc")
+    cells = scored.select(*by, cell.alias("_c")).distinct()
+    return out.join(cells, "_c").select(*by, "b", "auc")
 
 
 def adasyn_quotas(minority: DataFrame, everyone: DataFrame, key: str, vec: str, target: str, k: int = 5,

@@ -11,10 +11,14 @@ would put a whole class (half the table for a binary target) into one task.  Ins
 1. count rows per (class, hash bucket), bucket = first 5 hex digits of h (a prefix of the hash
    order, balanced by construction) -- a partial aggregation over the key columns only;
 2. a running sum over that table finds, per class, the boundary bucket that contains the q-th row;
-   only that bucket's rows (n/2**20 of a class) are ranked, which gives the class's cutoff, the
-   (hash, key) of its q-th row;
+   only that bucket's distinct keys (n/2**20 of a class) are ranked, with their numbers of rows,
+   which gives the class's cutoff, the (hash, key) of its q-th row;
 3. one pass over the table compares each row with the cutoff of its class, broadcast.
 
+Keys may repeat, also on a third of all rows.  Where only some rows of the boundary key are wanted,
+its rows are counted by their whole content and chosen by a hash of that, in the same three steps;
+rows equal in every column are made again from their count.
+
 ``hash_rank`` uses bucket counts as offsets to give every row its exact rank with windows
 partitioned by (class, bucket), i.e. a range partitioning of the hash order with no hot task.
 """
@@ -46,12 +50,15 @@ CUT_DIGITS = 5          # 2**20 buckets of each group: a boundary bucket holds n
 BROADCAST_GROUPS = 100_000
 
 
-def cutoffs(hashed: DataFrame, keys: Sequence[str], by: list[str], quota, digits: int = CUT_DIGITS) -> DataFrame:
-    """(by, _q, _n, _cut): quota and size of each group, and the (hash, keys) of its q-th row where
-    0 < q < n.  Reads only the keys and group columns: counts per bucket, then the rows of each
-    group's boundary bucket.  One row per group, written to the shared folder."""
-    narrow = hashed.select(*dict.fromkeys([*by, *keys, H])).withColumn(B, hash_bucket(F.col(H), digits))
-    counts = narrow.groupBy(*by, B).agg(F.count(F.lit(1)).alias("_n"))
+def cutoffs(hashed: DataFrame, keys: Sequence[str], by: list[str], quota, digits: int = CUT_DIGITS,
+            weight: str | None = None) -> DataFrame:
+    """(by, _q, _n, _cut, _part, _same): quota and size of each group, and where 0 < q < n the (hash,
+    keys) of its q-th row, how many rows of that key are wanted and how many there are.  A row counts
+    ``weight`` times.  Reads only the keys and group columns: counts per bucket, then the distinct
+    keys of each group's boundary bucket.  One row per group, written to the shared folder."""
+    w1 = F.col(weight) if weight else F.lit(1)
+    narrow = hashed.select(*dict.fromkeys([*by, *keys, H]), w1.cast("long").alias("_w")).withColumn(B, hash_bucket(F.col(H), digits))
+    counts = narrow.groupBy(*by, B).agg(F.sum("_w").alias("_n"))
     if isinstance(quota, DataFrame):
         counts = (join_on(counts, quota.select(*by, "_quota"), by, "left")
                   .withColumn("_q", F.coalesce(F.col("_quota").cast("long"), F.lit(0).cast("long"))).drop("_quota"))
@@ -68,9 +75,12 @@ def cutoffs(hashed: DataFrame, keys: Sequence[str], by: list[str], quota, digits
         "groups")
     inner = groups.filter("_q > 0 and _q < _n").select(*by, "_eb", "_need")
     near = join_on(narrow, inner, by).filter(F.col(B) == F.col("_eb"))
-    wr = Window.partitionBy(*by).orderBy(*_order(keys))
-    last = (near.withColumn("_r", F.row_number().over(wr)).filter("_r = _need")
-            .select(*by, F.struct(H, *keys).alias("_cut")))
+    named = list(dict.fromkeys([*by, *keys]))
+    near = near.groupBy(*named, H, "_need").agg(F.sum("_w").alias("_same"))
+    wr = Window.partitionBy(*by).orderBy(*_order(keys)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = (near.withColumn("_cum", F.sum("_same").over(wr))
+            .filter((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_same") < F.col("_need")))
+            .select(*by, F.struct(H, *keys).alias("_cut"), (F.col("_need") - F.col("_cum") + F.col("_same")).alias("_part"), "_same"))
     return materialise(join_on(groups.drop("_eb", "_need"), last, by, "left"), "cutoffs")
 
 
@@ -82,9 +92,10 @@ def select_smallest(df: DataFrame, keys: Sequence[str], seed, quota, by: Sequenc
     is a group like any other.  With ``flag`` every row is kept and ``flag`` is true for the chosen
     rows; otherwise only the chosen rows are returned.  Two narrow passes find the cutoff of each
     group; the returned plan reads the input once and compares each row with its group's cutoff.
-    Rows equal in hash and keys are chosen together.
+    Of a key whose rows are wanted in part, rows are chosen by a hash of all their columns.
     """
     by = list(by)
+    columns = df.columns
     grouped = bool(by)
     if not grouped:
         df = df.withColumn("_g", F.lit(1))
@@ -94,16 +105,42 @@ def select_smallest(df: DataFrame, keys: Sequence[str], seed, quota, by: Sequenc
     hashed = with_hash(df, keys, seed)
     cuts = cutoffs(hashed, keys, by, quota, digits)
     joined = join_on(hashed, cuts, by, broadcast=cuts.count() <= BROADCAST_GROUPS)
-    chosen = (F.when(F.col("_q") >= F.col("_n"), True).when(F.col("_q") <= 0, False)
-              .otherwise(F.struct(H, *keys) <= F.col("_cut")))
-    out = joined.withColumn("_chosen", chosen).drop(H, "_q", "_n", "_cut")
-    if not grouped:
-        out = out.drop("_g")
+    own = F.struct(H, *keys)
+    chosen = (F.when(F.col("_q") >= F.col("_n"), True).when(F.col("_q") <= 0, False).otherwise(own <= F.col("_cut")))
+    split = cuts.where("_part < _same")
+    if split.isEmpty():
+        out = joined.withColumn("_chosen", chosen)
+    else:
+        tied = F.coalesce((F.col("_part") < F.col("_same")) & (own == F.col("_cut")), F.lit(False))
+        clear = joined.where(~tied).withColumn("_chosen", chosen)
+        out = clear.select(*columns, "_chosen").unionByName(
+            _some_of_equal(joined.where(tied), columns, by, split, seed, digits))
+    out = out.select(*columns, "_chosen")
     if flag:
         return out.withColumnRenamed("_chosen", flag)
     return out.filter("_chosen").drop("_chosen")
 
 
+def _some_of_equal(tied: DataFrame, columns: list[str], by: list[str], split: DataFrame, seed, digits: int) -> DataFrame:
+    """The rows of ``tied`` (one key in each group) with ``_chosen``, true for ``_part`` of each group."""
+    extra = [c for c in by if c not in columns]
+    row = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    counted = tied.groupBy(*columns, *extra).agg(F.count(F.lit(1)).alias("_w")).withColumn("_row", row)
+    counted = materialise(with_hash(counted, ["_row"], f"{seed}:equal"), "tied")
+    cuts = cutoffs(counted, ["_row"], by, split.select(*by, F.col("_part").alias("_quota")), digits, weight="_w")
+    own = F.struct(H, "_row")
+    # the cutoff names one row content; of its copies the first _part are chosen
+    wanted = (F.when(F.col("_q") >= F.col("_n"), F.col("_w")).when(own < F.col("_cut"), F.col("_w"))
+              .when(own == F.col("_cut"), F.col("_part")).otherwise(F.lit(0)))
+    copies = join_on(counted, cuts, by).withColumn("_take", wanted.cast("long"))
+    # copies are made in blocks, so that one content on a third of all rows spreads over tasks
+    block = 1 << 14
+    starts = copies.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_w") - 1, F.lit(block).cast("long"))))
+    spread = starts.repartition(*columns, "_from") if columns else starts
+    each = spread.withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("_from") + block, F.col("_w")) - 1)))
+    return each.select(*columns, (F.col("_i") < F.col("_take")).alias("_chosen"))
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], seed, by: Sequence[str] = (), name: str = "rank",
               digits: int = BUCKET_DIGITS) -> DataFrame:
     """Exact 1-based rank in hash order within ``by`` for every row.
@@ -177,8 +214,8 @@ def fixed_holdout(df: DataFrame, keys: Sequence[str], target: str, n_rows: int,
 
 
 def pool_without(df: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """pool = df minus holdout (anti-join on key)."""
-    return df.join(holdout.select(*keys), list(keys), "left_anti")
+    """pool = df minus holdout (anti-join on key); a NULL key equals a NULL key."""
+    return join_on(df, holdout.select(*keys), list(keys), "left_anti")
 
 
 def small_n(pool: DataFrame, keys: Sequence[str], n: int, seed) -> DataFrame:
@@ -267,5 +304,5 @@ def single_class_guard(sample: DataFrame, target: str, by: Sequence[str]) -> Dat
 
 
 def leak_check(train: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys present in both train and holdout (must be empty)."""
-    return train.select(*keys).join(holdout.select(*keys), list(keys), "left_semi")
+    """Keys present in both train and holdout (must be empty); a NULL key equals a NULL key."""
+    return join_on(train.select(*keys), holdout.select(*keys), list(keys), "left_semi")

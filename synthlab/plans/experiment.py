@@ -115,6 +115,8 @@ def run_experiment(ds: Dataset, generators: Sequence[str] = ("smote", "bootstrap
             syn = materialise(GENERATORS[g](train, ds, n_max, seed))
         except Exception as e:  # noqa: BLE001
             for clf in classifiers:
+                if tstr and g != "smote":
+                    rows.append(_row(ds, n_train, seed, g, "synthetic_only", None, clf, error=f"{type(e).__name__}: {e}"))
                 for a in alphas:
                     rows.append(_row(ds, n_train, seed, g, "augmented", a, clf, error=f"{type(e).__name__}: {e}"))
             continue
@@ -185,8 +187,10 @@ def run_multi_classifier(spark: SparkSession, ds: Dataset, seeds: Sequence[int],
 
 
 def run_small_n(ds: Dataset, ns: Sequence[int], seeds: Sequence[int], holdout_n: int, generators=("bootstrap",),
-                alpha: float = 1.0, classifier: str = "gbc", stratified: bool = True) -> list[tuple]:
-    """Fixed stratified holdout, small-n draws from the pool (no leakage, T1), augmentation."""
+                alpha: float | Sequence[float] | dict[str, float] = 1.0, classifier: str = "gbc",
+                stratified: bool = True) -> list[tuple]:
+    """Fixed stratified holdout, small-n draws from the pool (no leakage, T1), augmentation with
+    one alpha, several, or one for each generator named (1 for the others)."""
     cols = [ds.key, *ds.features, ds.target]
     base = ds.df.select(*cols)
     classes = ds.task == "classification"      # a continuous target has no classes to stratify by
@@ -203,10 +207,11 @@ def run_small_n(ds: Dataset, ns: Sequence[int], seeds: Sequence[int], holdout_n:
                 rows.append(_row(ds, n, s, "baseline", "real_only", None, classifier, error="single class in training sample"))
                 continue
             rows.append(_cell(lambda: _evaluate(tr, hold, ds, classifier, s), ds, n, s, "baseline", "real_only", None, classifier))
-            alist = alpha if isinstance(alpha, (list, tuple)) else [alpha]
             for g in generators:
                 if g == "smote" and not classes:
                     continue
+                own = alpha.get(g, 1.0) if isinstance(alpha, dict) else alpha
+                alist = own if isinstance(own, (list, tuple)) else [own]
                 n_max = S_round(max(alist) * n, "half_even")
                 try:
                     syn = materialise(GENERATORS[g](tr, ds, max(n_max, 1), s))
@@ -236,10 +241,11 @@ def run_balanced(ds: Dataset, seed: int = 42, classifier: str = "gbc") -> list[t
 
 def run_low_data(ds: Dataset, sizes: Sequence[int], seed: int = 42, generators=("smote", "bootstrap"),
                  holdout_frac: float = 0.2, classifier: str = "gbc") -> list[tuple]:
-    """For each n (< 0.7 rows), real-only vs augmented to 2n with each generator, on a fixed holdout."""
+    """For each n (< 0.7 rows), real-only vs n more rows by each generator, 2n more by the
+    class-targeted one, on a fixed holdout."""
     total = ds.df.count()
-    return run_small_n(ds, [n for n in sizes if n < 0.7 * total], [seed], int(holdout_frac * total), generators, alpha=1.0,
-                       classifier=classifier)
+    return run_small_n(ds, [n for n in sizes if n < 0.7 * total], [seed], int(holdout_frac * total), generators,
+                       alpha={"class_targeted": 2.0}, classifier=classifier)
 
 
 def run_sparse(ds: Dataset, rate: float, seed: int = 42, generators=("bootstrap",), alphas=(0.5,)) -> list[tuple]:

@@ -106,15 +106,15 @@ def q_dcr(spark, sf_dir):
 
 # ---- bootstrap_auc_ci (F7) ----------------------------------------------------------------------------------
 
-B = 20
+B = 1000
 LKEY = X.LINEITEM_KEY
+#: the replicates' factors as rows
+SQL_FACTORS = ", ".join(f"({b}, {x}, {y}, {z})" for b, (x, y, z) in enumerate(FD.replicate_factors(B, 42), 1))
 
 
 def _sql_u_slot() -> str:
-    """Replicate b uses 32-bit slice (b-1) % 4 of md5(key ':' '42:' || (b-1) // 4)."""
-    keys = ", ".join(f"CAST({k} AS VARCHAR)" for k in LKEY)
-    h = f"md5(concat_ws(':', {keys}, '42:' || CAST((b.b - 1) // 4 AS VARCHAR)))"
-    return f"(CAST(('0x' || substr({h}, CAST(((b.b - 1) % 4) * 8 + 1 AS INTEGER), 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    """A replicate's uniform: the row's two 31-bit slices times the replicate's factors."""
+    return f"(((s.x * b.f1 + s.y * b.f2 + b.f3) % {FD.PRIME}) / {FD.PRIME}.0::DOUBLE)"
 
 
 def _sql_poisson(u: str) -> str:
@@ -123,9 +123,12 @@ def _sql_poisson(u: str) -> str:
 
 
 @register("bootstrap_auc_ci", f"""WITH s AS (SELECT {', '.join(LKEY)}, l_linestatus AS cell, l_discount AS score,
-                                        CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
-e AS (SELECT s.*, b.b, {_sql_poisson(_sql_u_slot())} AS w FROM s CROSS JOIN (SELECT range AS b FROM range(1, {B + 1})) b),
-g AS (SELECT cell, b, score, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM e WHERE w > 0 GROUP BY ALL),
+                                        CAST(l_returnflag = 'R' AS INTEGER) AS label,
+                                        {sql_hash_hex(LKEY, 42)} AS h FROM lineitem),
+d AS (SELECT cell, score, label, ('0x' || substr(h, 1, 8))::BIGINT % {FD.PRIME} AS x, ('0x' || substr(h, 9, 8))::BIGINT % {FD.PRIME} AS y FROM s),
+b AS (SELECT * FROM (VALUES {SQL_FACTORS}) v(b, f1, f2, f3)),
+e AS (SELECT s.cell, s.score, s.label, b.b, {_sql_poisson(_sql_u_slot())} AS w FROM d AS s CROSS JOIN b),
+g AS (SELECT cell, b, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM e WHERE w > 0 GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cell, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g),
 a AS (SELECT cell, b, sum(pos * (nb + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY cell, b)
 SELECT cell, round(avg(auc), 6) AS auc_mean, round(quantile_cont(auc, 0.025), 6) AS auc_lo, round(quantile_cont(auc, 0.975), 6) AS auc_hi,

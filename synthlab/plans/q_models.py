@@ -187,7 +187,7 @@ def q_ci_seeds(spark, sf_dir):
     return results_frame(spark, rows)
 
 
-@register("failed_cells", _sql_cells("telco_like", _arms(None, 42, ("no_such_generator",), (0.3,), "lr"), TRAIN, TELCO)
+@register("failed_cells", _sql_cells("telco_like", _arms(None, 42, ("no_such_generator",), (0.3,), "lr", True), TRAIN, TELCO)
           .replace("true AS ok", "method = 'baseline' AS ok"))
 def q_failed_cells(spark, sf_dir):
     """A generator that fails leaves a row with the error; the run goes on."""
@@ -199,10 +199,11 @@ def q_failed_cells(spark, sf_dir):
 LOW = ("smote", "bootstrap", "class_targeted")
 
 
-@register_run("low_data", _sql_cells("telco_like", [c for n in S.LOW_DATA_SIZES for c in _arms(n, 42, LOW, (1.0,), "lr")], TRAIN, TELCO,
+@register_run("low_data", _sql_cells("telco_like", [c for n in S.LOW_DATA_SIZES for c in [
+    *_arms(n, 42, LOW[:2], (1.0,), "lr"), (n, 42, "class_targeted", "augmented", 2.0, "lr")]], TRAIN, TELCO,
                                  f"WHERE v.n < 0.7 * {TOTAL}"))
 def q_low_data_run(spark, sf_dir):
-    """N grid below 0.7 * rows, real-only vs 2n with SMOTE, bootstrap and class-targeted rows, fixed holdout."""
+    """N grid below 0.7 * rows, real-only vs n more rows by SMOTE or bootstrap and 2n by the class-targeted generator."""
     from synthlab.plans.experiment import results_frame, run_low_data
     ds = _telco_ds(spark, sf_dir)
     return results_frame(spark, run_low_data(ds, S.LOW_DATA_SIZES, seed=42, generators=LOW, classifier="lr"))
