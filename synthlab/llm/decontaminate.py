@@ -26,6 +26,8 @@ POSITION_BITS = 30
 #: largest item fingerprint table that is sent to every task, in rows of about 250 bytes; a larger
 #: one is joined by shuffle
 BROADCAST_ROWS = 200_000
+#: and octets of their words
+BROADCAST_OCTETS = 64 << 20
 #: runs of ASCII characters other than letters and digits (upper case is folded before)
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -145,21 +147,21 @@ def item_fingerprints(items: DataFrame, key: str = "item_id", text: str = "text"
 def _hits(docs: DataFrame, prints: DataFrame, span: int, broadcast: bool) -> DataFrame:
     """(doc, text_md5, item, start, end) of every extended hit that makes a full window."""
     k, _ = scheme(span)
-    worded = docs.select("doc", "text", words_of(F.col("text")).alias("w"))
-    with_prints = worded.select("doc", "text", "w", fingerprints(F.col("w"), span).alias("v"))
+    # the digest is taken once a text; a hit then needs its place and the words around it only
+    worded = docs.select("doc", F.md5("text").alias("text_md5"), words_of(F.col("text")).alias("w"))
+    with_prints = worded.select("doc", "text_md5", "w", fingerprints(F.col("w"), span).alias("v"))
     own = prints.where(F.col("span") == span).drop("span")
     position = F.col("v").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    digest = F.md5("text").alias("text_md5")
     if broadcast:
-        each = with_prints.select("doc", "text", "w", _each("v"))
+        each = with_prints.select("doc", "text_md5", "w", _each("v"))
         met = (each.withColumn("hash", F.shiftright("v", POSITION_BITS)).join(F.broadcast(own), "hash")
-               .withColumn("at", position).withColumn("text_md5", F.md5("text")))
+               .withColumn("at", position))
     else:
         # narrow rows first; texts join again for the documents that met an item
-        each = with_prints.select("doc", digest, _each("v"))
+        each = with_prints.select("doc", "text_md5", _each("v"))
         near = (each.withColumn("hash", F.shiftright("v", POSITION_BITS))
                 .join(own.select("hash").distinct(), "hash", "left_semi").withColumn("at", position))
-        texts = worded.select(F.col("doc").alias("d"), F.md5("text").alias("m"), "w").dropDuplicates(["d", "m"])
+        texts = worded.select(F.col("doc").alias("d"), F.col("text_md5").alias("m"), "w").dropDuplicates(["d", "m"])
         met = (near.distinct().join(own, "hash")
                .join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_md5") == F.col("m"))))
     around, before = _around(F.col("w"), F.col("at"), span)
@@ -180,10 +182,11 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     end, in which every word lies in a window shared with the item.  Ranges may overlap."""
     prints = item_fingerprints(items, item_key, "text")
     docs = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sizes = {r["span"]: r["count"] for r in prints.groupBy("span").count().collect()}      # 13 rows at most
-    small = sum(sizes.values()) <= broadcast_rows
+    octets = F.sum(F.octet_length(F.array_join("item_words", " ")).cast("long"))
+    sizes = prints.groupBy("span").agg(F.count(F.lit(1)).alias("n"), octets.alias("octets")).collect()      # 13 rows at most
+    small = sum(r["n"] for r in sizes) <= broadcast_rows and sum(r["octets"] for r in sizes) <= BROADCAST_OCTETS
     out = None
-    for span in sorted(sizes):
+    for span in sorted(r["span"] for r in sizes):
         part = _hits(docs, prints, span, small)
         out = part if out is None else out.union(part)
     if out is None:

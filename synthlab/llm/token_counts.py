@@ -8,9 +8,13 @@ start, so a lane's map from entry state to (exit state, count) is constant behin
 The maps compose by a prefix scan: a running maximum finds the last lane with a border for each
 lane, its exit state is the entry state of the next, and only the bytes before a lane's first border
 are read again, from there.
+
+A chunk without a border over many lanes would have to be read lane after lane, mostly through states
+met for the first time; chunks of ``UNBROKEN`` bytes or more are merged by rank instead, as a whole.
 """
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -22,11 +26,14 @@ from pyspark.sql import functions as F
 from synthlab.llm.chartypes import BLANK, END, SPACE, classes
 from synthlab.llm.common import text_udf
 from synthlab.llm.pieces import located
+from synthlab.llm.token_files import by_rank
 from synthlab.llm.transducer import Transducer, Vocabulary
 
 LIMIT = 512
-#: characters in one buffer; bytes of a lane; lanes below which single steps are quicker
-BUFFER_CHARS, LANE, FEW = 2_000_000, 512, 24
+#: characters in one buffer; bytes of a lane
+BUFFER_CHARS, LANE = 2_000_000, 512
+#: bytes of a chunk that is merged by rank
+UNBROKEN = 4 * LANE
 #: a border in any text: a single space between two other characters
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -74,6 +81,8 @@ class Counter:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.machine = Transducer(self.vocabulary)
+        with open(path, encoding="utf-8") as f:
+            self.by_rank = by_rank(json.load(f))
         names = sorted(self.vocabulary.added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
@@ -125,9 +134,24 @@ class Counter:
         at = np.concatenate([[0], np.cumsum(widths)])            # first byte of each character
         begin = np.zeros(len(data), bool)
         begin[at[:-1][borders(codes, first)]] = True
-        changes = self.read(data, begin)
+        changes = self._changes(data, begin)
         return np.add.reduceat(changes, at[chars[:-1]], dtype=np.int64).tolist()
 
+    def _changes(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """As ``read``, with the count of an unbroken chunk at its first byte."""
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(data))
+        unbroken = np.flatnonzero(ends - starts >= UNBROKEN) if self.by_rank is not None else ()
+        if not len(unbroken):
+            return self.read(data, begin)
+        changes, rest = np.zeros(len(data), np.int64), np.ones(len(data), bool)
+        for a, b in zip(starts[unbroken].tolist(), ends[unbroken].tolist()):
+            rest[a:b] = False
+            changes[a] = len(self.by_rank(data[a:b].tobytes().decode("utf-8")))
+        if rest.any():
+            changes[rest] = self.read(data[rest], begin[rest])
+        return changes
+
     def read(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Change of the token count at every byte; chunks begin where ``begin`` is True."""
         m, n = self.machine, len(data)

@@ -93,3 +93,19 @@ def test_every_shared_span_keeps_a_fingerprint(spark, span):
     assert set.intersection(*kept) & grams or all(s & grams for s in kept)
     # the same k-gram of the common span is kept in every text
     assert any(all(g in s for s in kept) for g in grams)
+
+
+def test_time_in_proportion_to_hits(spark):
+    """One text of nothing but hits: four times the text must not take much more than four times as long."""
+    import time
+    words = " ".join(f"word{i:02d}x" for i in range(13)) + " "
+    items = spark.createDataFrame([("a", words)], "item_id string, text string")
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, words * n)], "doc_id long, text string")
+        t0 = time.time()
+        row = D.contamination(docs, items).first()
+        assert row["n_hit"] == row["n_words"] == 13 * n
+        return time.time() - t0
+    seconds(1000)
+    assert seconds(16_000) < 4 * seconds(4000) + 10

@@ -152,3 +152,18 @@ def test_equal_rows_spread_over_files(spark):
     assert sum(sizes) == 9000 and max(sizes) < 2 * 9000 / 8
     same = token_files.read_tokens(spark, path).where("key = 7").agg(F.countDistinct("start"), F.count(F.lit(1))).first()
     assert tuple(same) == (3001, 3001)
+
+
+def test_long_unbroken_texts():
+    """Chunks of megabytes without a border, alone and between others."""
+    import time
+    rng = random.Random(8)
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path(BYTES))
+    own = token_counts.counter(BYTES)
+    letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(40_000))
+    texts = [letters, "some words " + letters + " and more", "a" * 9000, "=" * 5000 + letters[:3000] + "1" * 4000 + " x",
+             "日本" * 3000, "\n" * 5000 + "x", letters[:2047], letters[:2048]]
+    assert own.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    t0 = time.process_time()
+    own.counts([letters * 50])
+    assert time.process_time() - t0 < 30
