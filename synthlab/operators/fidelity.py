@@ -11,11 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthlab.operators.gram import pair_sums, pearson
 from synthlab.operators.knn import knn_join
 from synthlab.operators.metrics import running_before
+from synthlab.operators.ordered import tie_ranks
 from synthlab.functions.exprs import join_on
 from synthlab.operators.sampling import BROADCAST_GROUPS, H, cutoffs, with_hash
 from synthlab.session import materialise
@@ -64,12 +66,23 @@ def ecdf_distances(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> Data
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """F4 part: Spearman correlation of every column pair (mid-ranks, Pearson on ranks)."""
-    from synthlab.operators.stats import mid_ranks
-    rid = mid_ranks(df.select(*cols), cols)
-    pairs = [F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = rid.agg(*pairs)
-    return wide.unpivot([], [f"{a}|{b}" for i, a in enumerate(cols) for b in cols[i + 1:]], "pair", "rho")
+    """F4 part: Spearman correlation (pair, rho) of every column pair: mid-ranks of each column's values,
+    Pearson over the rows where both are present, from one blocked Gram pass (``gram.pair_sums``)."""
+    pos = {c: i for i, c in enumerate(cols)}
+    base = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+                       .withColumn("_rid", F.monotonically_increasing_id()), "ranked")        # ids fixed by the write
+    long = base.unpivot(["_rid"], list(cols), "_col", "_x").filter(F.col("_x").isNotNull())
+    at = F.create_map(*[F.lit(v) for c, i in pos.items() for v in (c, i)])[F.col("_col")]
+    ranks = tie_ranks(long.select("_rid", at.alias("_j"), "_x"), ["_j"], "_x")
+    present = base.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], list(cols), "_col", "_m").select(
+        at.alias("_j"), "_m")                                               # d rows
+    # the mean of m mid-ranks is (m + 1) / 2: ranks are centred before any product
+    centred = ranks.join(F.broadcast(present), "_j").select(
+        "_rid", "_j", (F.col("_before") + (F.col("_equal") + 1) / 2.0 - (F.col("_m") + 1) / 2.0).alias("_v"))
+    rows = centred.groupBy("_rid").agg(F.collect_list(F.struct("_j", "_v")).alias("_e"))     # at most d entries
+    s = pair_sums(rows.select(F.col("_e._j").alias("at"), F.col("_e._v").alias("v")), len(cols))
+    names = F.array(*[F.lit(c) for c in cols])
+    return s.select(F.concat(names[F.col("i")], F.lit("|"), names[F.col("j")]).alias("pair"), pearson().alias("rho"))
 
 
 def corr_frobenius(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -274,3 +287,58 @@ def variance_components(res: DataFrame, value: str, a: str, b: str, by: Sequence
     mb = res.groupBy(*by, b).agg(F.avg(value).alias("_mb")).groupBy(*by).agg(F.var_samp("_mb").alias(f"var_{b}"))
     tot = res.groupBy(*by).agg(F.var_samp(value).alias("var_total"), F.count(value).cast("long").alias("n"))
     return tot.join(ma, list(by)).join(mb, list(by))
+
+
+def variance_decomposition(res: DataFrame, value: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """two-way crossed random effects, value = mean + a + b + a:b + residual, cells of any size.
+
+    The variance components equate the uncorrected sums of squares with their expectations for unbalanced
+    cells; every sum is a grouped aggregate and the 3 x 3 system is solved by a column expression.  One
+    row per ``by`` group: n, n_cells, comp_<a>, comp_<b>, comp_interaction, comp_residual (estimates may be
+    negative) and share_* (of the estimates cut at 0).  Without replicates (n = n_cells) interaction and
+    residual are one: comp_interaction is NULL.  A component that the cells do not identify (one level of
+    a factor) makes the system singular: all but comp_residual are NULL.  Rows without a value or a factor are left
+    out.  Values are centred at the group's mean first, which the estimates do not depend on."""
+    by = list(by)
+    ok = res.filter(F.col(value).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+        *by, F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(value).cast("double").alias("_y"))
+    if not by:
+        return variance_decomposition(res.withColumn("_all", F.lit(1)), value, a, b, ["_all"]).drop("_all")
+    mean = ok.groupBy(*by).agg(F.avg("_y").alias("_mu"))
+    y = F.col("_y") - F.col("_mu")
+    cells = materialise(join_on(ok, mean, by).groupBy(*by, "_a", "_b").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_q")), "cells")
+
+    def side(f: str) -> DataFrame:
+        t = cells.groupBy(*by, f).agg(F.sum("_n").alias("_m"), F.sum("_s").alias("_t"), F.sum(F.col("_n") ** 2).alias("_nn"))
+        return t.groupBy(*by).agg(F.sum(F.col("_t") ** 2 / F.col("_m")).alias(f"T{f}"), F.count(F.lit(1)).alias(f"L{f}"),
+                                  F.sum(F.col("_m") ** 2).alias(f"M{f}"), F.sum(F.col("_nn") / F.col("_m")).alias(f"K{f}"))
+    g = cells.groupBy(*by).agg(F.sum("_n").alias("N"), F.count(F.lit(1)).alias("C"), F.sum("_s").alias("S"), F.sum("_q").alias("T0"),
+                               F.sum(F.col("_s") ** 2 / F.col("_n")).alias("Tab"), F.sum(F.col("_n") ** 2).alias("_nn"))
+    g = join_on(join_on(g, side("_a"), by), side("_b"), by)
+    N, C, Tm = F.col("N"), F.col("C"), F.col("S") ** 2 / F.col("N")
+    k1, k2, k12 = F.col("M_a") / N, F.col("M_b") / N, F.col("_nn") / N
+    ka, kb, A, B = F.col("K_a"), F.col("K_b"), F.col("L_a"), F.col("L_b")
+    replicated = N > C
+    e = F.when(replicated, (F.col("T0") - F.col("Tab")) / (N - C)).otherwise(0.0)
+    m = [[N - k1, ka - k2, ka - k12], [kb - k1, N - k2, kb - k12], [k1 - kb, k2 - ka, N - ka - kb + k12]]
+    r = [F.col("T_a") - Tm - e * (A - 1), F.col("T_b") - Tm - e * (B - 1),
+         F.col("Tab") - F.col("T_a") - F.col("T_b") + Tm - e * (C - A - B + 1)]
+    wide = g.select(*by, N.cast("long").alias("n"), C.cast("long").alias("n_cells"), replicated.alias("_rep"), e.alias("_e"),
+                    ((A > 1) & (B > 1)).alias("_two"), *[m[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)],
+                    *[r[i].alias(f"r{i}") for i in range(3)])
+
+    def det(x: list[list[Column]]) -> Column:
+        return (x[0][0] * (x[1][1] * x[2][2] - x[1][2] * x[2][1]) - x[0][1] * (x[1][0] * x[2][2] - x[1][2] * x[2][0])
+                + x[0][2] * (x[1][0] * x[2][1] - x[1][1] * x[2][0]))
+    mm = [[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]
+    d = det(mm)
+    sound = F.col("_two") & (F.abs(d) > F.col("n") ** 3 * 1e-12)
+    sol = [F.when(sound, det([[F.col(f"r{i}") if j == k else mm[i][j] for j in range(3)] for i in range(3)]) / d) for k in range(3)]
+    out = wide.select(*by, "n", "n_cells", sol[0].alias(f"comp_{a}"), sol[1].alias(f"comp_{b}"),
+                      F.when(F.col("_rep"), sol[2]).alias("comp_interaction"),
+                      F.when(F.col("_rep"), F.col("_e")).otherwise(sol[2]).alias("comp_residual"))
+    parts = [a, b, "interaction", "residual"]
+    cut = {p: F.greatest(F.col(f"comp_{p}"), F.lit(0.0)) for p in parts}
+    total = sum((F.coalesce(cut[p], F.lit(0.0)) for p in parts), F.lit(0.0))
+    return out.select("*", *[F.when(F.col(f"comp_{a}").isNotNull(), F.try_divide(cut[p], total)).alias(f"share_{p}") for p in parts])

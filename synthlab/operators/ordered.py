@@ -62,3 +62,30 @@ def running_before(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[
         else:
             vals.append(F.greatest(F.col(f"_o_{c}"), F.max(c).over(wl)).alias(f"{c}_before"))
     return out.select(*df.columns, *vals)
+
+
+def tie_ranks(df: DataFrame, by: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with, for each row, ``_before`` = rows of its ``by`` group with a smaller ``order`` value,
+    ``_equal`` = rows of the group with the same value (itself included) and ``_dense`` = number of
+    smaller distinct values.  NULL is a group and a value like any other; NULL values come first.
+
+    Rows are spread on (by, order, row), so a value on a third of all rows fills many buckets.  The
+    counts of a value are kept at its first bucket and come back to the rows by (bucket, by, order):
+    the join key holds the bucket, so no task gets all rows of a frequent value."""
+    by = list(by)
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = spread.repartitionByRange(n, *by, order, "_tie") if n > 1 else spread.coalesce(1)
+    b = materialise(ranged.drop("_tie").withColumn(BUCKET, F.spark_partition_id()), "tied")
+    part = materialise(b.groupBy(BUCKET, *by, order).agg(F.count(F.lit(1)).alias("_c")), "tiecounts")
+    g = part.groupBy(*by, order).agg(F.sum("_c").alias("_equal"), F.min(BUCKET).alias("_first"))
+    tot = g.groupBy(*by, "_first").agg(F.sum("_equal").alias("_tn"), F.count(F.lit(1)).alias("_td"))
+    wo = Window.partitionBy(*by).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)   # <= P rows a group
+    tot = tot.select(*by, "_first", F.coalesce(F.sum("_tn").over(wo), F.lit(0)).alias("_on"),
+                     F.coalesce(F.sum("_td").over(wo), F.lit(0)).alias("_od"))
+    wl = Window.partitionBy(*by, "_first").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    g = join_on(g, tot, [*by, "_first"]).select(
+        *by, order, "_equal", (F.col("_on") + F.coalesce(F.sum("_equal").over(wl), F.lit(0))).alias("_before"),
+        (F.col("_od") + F.count(F.lit(1)).over(wl)).alias("_dense"))
+    ranks = join_on(part.select(BUCKET, *by, order), g, [*by, order])
+    return join_on(b, ranks, [BUCKET, *by, order]).select(*df.columns, "_before", "_equal", "_dense")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthlab.functions.exprs import exact_sum
-from synthlab.operators.ordered import global_rank
+from synthlab.operators.ordered import global_rank, tie_ranks
 from synthlab.session import materialise
 
 
@@ -117,18 +117,40 @@ def minority_to_one(df: DataFrame, label: str, out: str = "target") -> DataFrame
             .withColumn(out, (F.col(label) == F.col("_min")).cast("int")).drop("_min"))
 
 
+DICT_ROWS = 1_000_000           # a dictionary within both bounds is broadcast, a larger one is not
+DICT_BYTES = 64 * 1024 * 1024
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """P10: ordinal codes by sorted distinct value; NULL becomes the category "nan" (T20).
 
-    Dictionaries are built with a distributed distinct + bucketed global rank and joined back
-    (broadcast by AQE when small, shuffled when a column has very many values)."""
-    out = df
-    for c in cols:
-        v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        dictionary = global_rank(df.select(v.alias("_v")).distinct(), "_v", name="_code")
-        out = (out.withColumn("_v", v).join(dictionary, "_v", "left")
-               .withColumn(c + suffix, F.col("_code").cast("long")).drop("_v", "_code"))
-    return out
+    One dictionary of (column, value) for all columns, one distributed rank pass over it, one write; the
+    number of jobs does not grow with the columns.  A dictionary of proven size is broadcast once and
+    looked up for every column without a shuffle of rows.  A larger one never leaves its tasks: rows are
+    ranked in long form, spread on (column, value, row), and put together by row."""
+    cols = list(cols)
+    if not cols:
+        return df
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols]
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), v.alias("_v")) for i, v in enumerate(texts)])).alias("_k")).distinct()
+    ranked = materialise(global_rank(values, "_k", name="_at"), "dictionary")
+    first = ranked.groupBy("_k._i").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"),
+                                        F.sum(F.octet_length("_k._v")).alias("_b")).collect()      # one row per column
+    if sum(r["_n"] for r in first) <= DICT_ROWS and sum(r["_b"] for r in first) <= DICT_BYTES:
+        starts = {r["_i"]: r["_first"] for r in first}
+        out = df
+        for i, (c, v) in enumerate(zip(cols, texts)):      # the same build side every time: one broadcast, reused
+            side = F.broadcast(ranked.select(F.col("_k").alias("_dk"), F.col("_at").alias("_dat")))
+            # NULL was made "nan" before; a column encoded earlier is not read again
+            key = F.struct(F.lit(i).alias("_i"), v.alias("_v"))
+            out = (out.withColumn("_lk", key).join(side, F.col("_lk") == F.col("_dk"), "left")
+                   .withColumn(c + suffix, (F.col("_dat") - F.lit(starts.get(i, 0))).cast("long")).drop("_lk", "_dk", "_dat"))
+        return out
+    base = materialise(df.withColumn("_rid", F.monotonically_increasing_id()), "encoded")     # ids fixed by the write
+    long = base.select("_rid", F.posexplode(F.array(*texts)).alias("_i", "_v"))
+    codes = tie_ranks(long, ["_i"], "_v").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("_i", "_dense"))).alias("_codes"))
+    return base.join(codes, "_rid").withColumns(
+        {c + suffix: F.col("_codes")[i]["_dense"].cast("long") for i, c in enumerate(cols)}).drop("_rid", "_codes")
 
 
 # ---- P24: regimes ------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from synthlab.functions.exprs import join_on
 from synthlab.functions.tdist import t_cdf, t_crit, t_two_sided_p
-from synthlab.session import materialise
+from synthlab.operators.ordered import tie_ranks
 
 
 def ci95(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -152,31 +152,9 @@ def loo_ols(df: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
 
 
 def mid_rank(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
-    """Average rank of ties (1-based) via the distributed running count of distinct values."""
-    from synthlab.operators.metrics import running_before
-    name = name or f"{col}_rank"
-    g = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
-    g = running_before(g, by, col, ["_c"])
-    g = g.select(*by, col, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(name))
-    return join_on(df, g, [*by, col])
-
-
-def mid_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "_r_") -> DataFrame:
-    """Mid-ranks of several columns (NULL values get NULL ranks).
-
-    In long form: one distributed running count over (column, value) for all columns, one join of
-    (row, column, value) with it, and one aggregation back to a row of ranks.  The cost does not
-    grow with the square of the number of columns, as one join of the wide table per column would."""
-    from synthlab.operators.metrics import running_before
-    base = materialise(df.withColumn("_rid", F.monotonically_increasing_id()), "ranked")   # ids fixed by the write
-    long = base.select("_rid", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(["_rid"], list(cols), "_col", "_x")
-    long = long.filter(F.col("_x").isNotNull())
-    g = long.groupBy("_col", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    rb = running_before(g, ["_col"], "_x", ["_c"])
-    ranks = rb.select("_col", "_x", (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias("_mr"))
-    wide = long.join(ranks, ["_col", "_x"]).groupBy("_rid").agg(
-        *[F.max(F.when(F.col("_col") == c, F.col("_mr"))).alias(prefix + c) for c in cols])
-    return base.join(wide, "_rid", "left").drop("_rid")
+    """Average rank of ties (1-based); a frequent value is spread over tasks."""
+    r = tie_ranks(df, by, col)
+    return r.select(*df.columns, (F.col("_before") + (F.col("_equal") + 1) / 2.0).alias(name or f"{col}_rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

@@ -196,3 +196,44 @@ def q_var(spark, sf_dir):
     v = FD.variance_components(m, "auc", "seed", "alpha", ["dataset"])
     return v.select("dataset", r6("var_total").alias("var_total"), "n", r6("var_seed").alias("var_seed"),
                     r6("var_alpha").alias("var_alpha"))
+
+
+# ---- variance_decomposition (F11): split seed x alpha band, crossed random effects, unbalanced cells ----------------
+
+@register("variance_decomposition", f"""WITH m AS (SELECT dataset, seed AS a, alpha AS b, auc FROM ({X.SQL_RESULTS_LONG})
+  WHERE method = 'method' AND auc IS NOT NULL AND (seed + n) % 5 <> 0),
+y AS (SELECT dataset, a, b, auc - avg(auc) OVER (PARTITION BY dataset) AS y FROM m),
+c AS (SELECT dataset, a, b, CAST(count(*) AS DOUBLE) AS n, sum(y) AS s, sum(y * y) AS q FROM y GROUP BY ALL),
+ra AS (SELECT dataset, a, sum(n) AS n, sum(s) AS s, sum(n * n) AS nn FROM c GROUP BY ALL),
+rb AS (SELECT dataset, b, sum(n) AS n, sum(s) AS s, sum(n * n) AS nn FROM c GROUP BY ALL),
+t AS (SELECT dataset, sum(n) AS n, count(*) AS c, sum(q) AS t0, sum(s * s / n) AS tab, sum(s) * sum(s) / sum(n) AS tm,
+             sum(n * n) / sum(n) AS k12 FROM c GROUP BY dataset),
+sa AS (SELECT dataset, sum(s * s / n) AS ta, count(*) AS la, sum(n * n) / sum(n) AS k1, sum(nn / n) AS ka FROM ra GROUP BY dataset),
+sb AS (SELECT dataset, sum(s * s / n) AS tb, count(*) AS lb, sum(n * n) / sum(n) AS k2, sum(nn / n) AS kb FROM rb GROUP BY dataset),
+e AS (SELECT *, CASE WHEN n > c THEN (t0 - tab) / (n - c) ELSE 0 END AS e FROM t JOIN sa USING (dataset) JOIN sb USING (dataset)),
+r AS (SELECT *, ta - tm - e * (la - 1) AS r1, tb - tm - e * (lb - 1) AS r2, tab - ta - tb + tm - e * (c - la - lb + 1) AS r3 FROM e),
+-- the last equation is the negative sum of what the first two leave: eliminate the interaction, then the second factor
+p AS (SELECT *, n - k1 AS a1, ka - k2 AS b1, ka - k12 AS c1, kb - k1 AS a2, n - k2 AS b2, kb - k12 AS c2,
+             k1 - kb AS a3, k2 - ka AS b3, n - ka - kb + k12 AS c3 FROM r),
+q AS (SELECT *, a1 - a3 * c1 / c3 AS u1, b1 - b3 * c1 / c3 AS v1, r1 - r3 * c1 / c3 AS w1,
+             a2 - a3 * c2 / c3 AS u2, b2 - b3 * c2 / c3 AS v2, r2 - r3 * c2 / c3 AS w2 FROM p),
+x AS (SELECT *, (w1 * v2 - w2 * v1) / (u1 * v2 - u2 * v1) AS ca, (u1 * w2 - u2 * w1) / (u1 * v2 - u2 * v1) AS cb FROM q),
+z AS (SELECT *, (r3 - a3 * ca - b3 * cb) / c3 AS cab FROM x)
+SELECT dataset, CAST(n AS BIGINT) AS n, CAST(c AS BIGINT) AS n_cells, round(ca, 6) AS comp_seed, round(cb, 6) AS comp_alpha,
+       CASE WHEN n > c THEN round(cab, 6) END AS comp_interaction, round(CASE WHEN n > c THEN e ELSE cab END, 6) AS comp_residual
+FROM z""")
+def q_var_decomposition(spark, sf_dir):
+    m = X.results_long(spark, sf_dir).filter((F.col("method") == "method") & ((F.col("seed") + F.col("n")) % 5 != 0))
+    v = FD.variance_decomposition(m, "auc", "seed", "alpha", ["dataset"])
+    return v.select("dataset", "n", "n_cells", *[r6(f"comp_{c}").alias(f"comp_{c}") for c in ("seed", "alpha", "interaction", "residual")])
+
+
+# ---- spearman_wide (F4): all 2,016 pairs of 64 columns ------------------------------------------------------------------
+
+@register("spearman_wide", """WITH l AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding[1:64]) AS x FROM embeddings),
+r AS (SELECT vec_id, j, rank() OVER (PARTITION BY j ORDER BY x) + (count(*) OVER (PARTITION BY j, x) - 1) / 2.0::DOUBLE AS r
+      FROM l WHERE x IS NOT NULL)
+SELECT 'f' || p.j || '|f' || q.j AS pair, round(corr(p.r, q.r), 6) AS rho FROM r p JOIN r q ON p.vec_id = q.vec_id AND p.j < q.j GROUP BY p.j, q.j""")
+def q_spearman_wide(spark, sf_dir):
+    cols = [f"f{i}" for i in range(64)]
+    return FD.spearman_matrix(X.embeddings_wide(spark, sf_dir).select(*cols), cols).select("pair", r6("rho").alias("rho"))
