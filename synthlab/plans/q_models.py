@@ -116,10 +116,10 @@ def _events_ds(spark, sf_dir):
 # rows, and that each has a valid metric and no error.  A query returns these facts, and its twin
 # ``..._metrics``, without SQL, the results: every cell with its metrics and its error.
 
-def _cells(frame):
+def _cells(frame, *more):
     valid = F.coalesce(F.col("auc_roc").between(0, 1), F.col("mape") >= 0, F.lit(False)) & F.col("error").isNull()
     return frame.select("dataset", F.col("n").cast("bigint").alias("n"), F.col("seed").cast("bigint").alias("seed"), "method",
-                        "condition", "alpha", "classifier", valid.alias("ok"))
+                        "condition", "alpha", "classifier", valid.alias("ok"), *more)
 
 
 def register_run(name: str, sql: str):
@@ -162,7 +162,7 @@ def q_augment_sweep(spark, sf_dir):
     """Baseline, TSTR and the whole alpha sweep with three generators (logistic regression)."""
     from synthlab.plans.experiment import results_frame, run_experiment
     ds = _telco_ds(spark, sf_dir)
-    return results_frame(spark, run_experiment(ds, generators=SWEEP_GENERATORS, seed=42, classifiers=("lr",)))
+    return results_frame(spark, run_experiment(ds, generators=SWEEP_GENERATORS, seed=42, classifiers=("lr",), parallel=4))
 
 
 MULTI = ("gbc", "lr", "rf", "mlp")
@@ -175,7 +175,7 @@ def q_multi_classifier(spark, sf_dir):
     from synthlab.plans.experiment import run_multi_classifier
     ds = _telco_ds(spark, sf_dir)
     return run_multi_classifier(spark, ds, seeds=[42], classifiers=list(MULTI), generators=("bootstrap",), alphas=(1.0,),
-                                tstr=False)
+                                tstr=False, parallel=4)
 
 
 @register_run("ci_seeds", _sql_cells("telco_like", [c for s in (42, 123, 7) for c in _arms(None, s, ("bootstrap",), (0.3,), "lr")],
@@ -183,10 +183,51 @@ def q_multi_classifier(spark, sf_dir):
 def q_ci_seeds(spark, sf_dir):
     """The experiment for several seeds."""
     from synthlab.plans.experiment import results_frame, run_ci
-    rows = run_ci(_telco_ds(spark, sf_dir), (42, 123, 7), generators=("bootstrap",), alphas=(0.3,), classifiers=("lr",), tstr=False)
+    rows = run_ci(_telco_ds(spark, sf_dir), (42, 123, 7), generators=("bootstrap",), alphas=(0.3,), classifiers=("lr",), tstr=False,
+                  parallel=4)
     return results_frame(spark, rows)
 
 
+# ---- journal_resume (S10 in E3): which run finished each cell -------------------------------------------------------
+
+def _sql_journal() -> str:
+    parts = []
+    for run, cells in ((1, [(None, 42, "baseline", "real_only", None, "lr"), (None, 42, "bootstrap", "augmented", 0.3, "lr")]),
+                       (2, [(None, 42, "bootstrap", "augmented", 1.0, "lr"), *_arms(None, 123, ("bootstrap",), (0.3, 1.0), "lr")])):
+        parts.append(f"SELECT *, CAST({run} AS BIGINT) AS run FROM ({_sql_cells('telco_like', cells, TRAIN, TELCO)})")
+    return " UNION ALL ".join(parts)
+
+
+@register("journal_resume", _sql_journal())
+def q_journal_resume(spark, sf_dir):
+    """E3 stopped after its first cells and started again on a larger grid: no cell is run twice."""
+    from synthlab.plans.experiment import results_frame, run_ci
+    from synthlab.plans.journal import KEY, Journal
+    from synthlab.sources.files import scratch_path
+    ds, path = _telco_ds(spark, sf_dir), scratch_path(spark, "journal")
+    kw = {"generators": ("bootstrap",), "classifiers": ("lr",), "tstr": False, "parallel": 4}
+    first = Journal(spark, path)
+    run_ci(ds, (42,), alphas=(0.3,), journal=first, **kw)
+    second = Journal(spark, path)
+    rows = run_ci(ds, (42, 123), alphas=(0.3, 1.0), journal=second, **kw)
+    times = {r[:KEY]: [k + 1 for k, j in enumerate((first, second)) for key in j.ran if key == r[:KEY]] for r in rows}
+    runs = [results_frame(spark, [r]).withColumn("run", F.lit(int("".join(map(str, times[r[:KEY]])) or 0)).cast("bigint")) for r in rows]
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return _cells(out, "run")
+
+
+@register("sparse_recovery")
+def q_sparse_recovery(spark, sf_dir):
+    """Share of the AUC lost to sparse cells that augmentation recovers, per generator (logistic regression)."""
+    from synthlab.plans import fixtures as X
+    from synthlab.plans.experiment import Dataset, results_frame, run_sparse, sparse_recovery
+    ds = Dataset(X.embeddings_wide(spark, sf_dir), "vec_id", "target", "classification", "nomao_like", [f"f{i}" for i in range(64)])
+    rows = run_sparse(ds, 0.7, seed=42, generators=("bootstrap", "copula"), alphas=(0.3, 1.0), classifiers=("lr",), parallel=4)
+    return sparse_recovery(results_frame(spark, rows))
+
+
 @register("failed_cells", _sql_cells("telco_like", _arms(None, 42, ("no_such_generator",), (0.3,), "lr", True), TRAIN, TELCO)
           .replace("true AS ok", "method = 'baseline' AS ok"))
 def q_failed_cells(spark, sf_dir):
@@ -216,7 +257,7 @@ def q_small_n_sweep(spark, sf_dir):
     from synthlab.plans.experiment import results_frame, run_small_n
     ds = _telco_ds(spark, sf_dir)
     return results_frame(spark, run_small_n(ds, [50, 100], [42, 123], holdout_n=300, generators=("bootstrap",),
-                                            alpha=list(S.ALPHAS), classifier="lr"))
+                                            alpha=list(S.ALPHAS), classifier="lr", parallel=4))
 
 
 @register_run("balanced_vs_plain", _sql_cells("hillstrom_like", [(None, s, m, "real_only", None, "lr" if s != 42 else "gbc")

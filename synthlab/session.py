@@ -19,6 +19,7 @@ def get_spark(master: str | None = None, app: str = "synthlab",
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
+        .config("spark.scheduler.mode", "FAIR")              # cells of an experiment run side by side
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -62,27 +62,29 @@ def _any_match(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_result_files(spark: SparkSession, pattern: str, name_regex: str = r"([^/]+)\.csv(?:/[^/]*)?$") -> DataFrame:
+def read_result_files(spark: SparkSession, pattern: str, name_regex: str = r"([^/]+)\.csv(?:/[^/]*)?$",
+                      escape: str = "\\") -> DataFrame:
     """Many result CSVs at once, missing files skipped; the dataset label comes from the file
-    (or output folder) name.  Tasks read the files as lines and find each file's header (its first
-    line); only the distinct headers reach the driver, each is parsed with its own columns, mapped
-    to the canonical schema (S6) and the relations are unioned."""
+    (or output folder) name.  Tasks find each file's header (its first line); files of one header are one
+    CSV scan with its columns, mapped to the canonical schema (S6), and the scans are unioned.  Quoted
+    values may hold line breaks, so a file is read by one task; ``escape='"'`` for doubled quotes."""
     if not _any_match(spark, pattern):
         return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in CANONICAL))
-    lines = spark.read.text(pattern).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_id"))          # ascending within a file's first block
-    heads = lines.where("_at = 0").groupBy("_file").agg(F.min_by("value", "_id").alias("_head"))
-    heads = materialise(heads, "headers")
-    rows = lines.join(heads, "_file").where("value <> _head").withColumn("dataset_", F.regexp_extract("_file", name_regex, 1))
+    lines = spark.read.text(pattern).where("_metadata.file_block_start = 0").select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    heads = lines.groupBy("_file").agg(F.min_by("value", "_id").alias("_head"))
+    groups: dict[str, list[str]] = {}
+    for file, head in sorted(heads.collect()):                # one row per file: the listing a scan holds anyway
+        groups.setdefault(head, []).append(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+            spark.sparkContext._jvm.java.net.URI(file)).toString())
     out = None
-    for (header,) in sorted(heads.select("_head").distinct().collect()):        # one per header variant
-        names = next(csv.reader([header]))
-        schema = ", ".join(f"`{n}` STRING" for n in names)
-        parsed = rows.where(F.col("_head") == header).select("dataset_", F.from_csv("value", schema).alias("_r")).select("dataset_", "_r.*")
-        df = canonical_results(parsed, dataset=F.col("dataset_"))
+    for head, paths in groups.items():
+        schema = ", ".join(f"`{n}` STRING" for n in next(csv.reader([head])))
+        df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True)
+              .option("escape", escape).csv(paths))
+        df = canonical_results(df, dataset=F.regexp_extract(F.col("_metadata.file_path"), name_regex, 1))
         out = df if out is None else out.unionByName(df)
-    return out
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in CANONICAL))
 
 
 def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:

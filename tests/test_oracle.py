@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 SQLS = E.oracle_sql()
 # model runs need more rows than sf0.001 has; test_experiment runs their code on sf0.01
 MODEL_RUNS = {"augment_sweep", "multi_classifier", "ci_seeds", "low_data", "small_n_alpha_sweep", "balanced_vs_plain",
-              "sparse_stress", "clv_regression", "detection_auc", "failed_cells"}
+              "sparse_stress", "clv_regression", "detection_auc", "failed_cells", "journal_resume"}
 
 
 @pytest.fixture(scope="module")
