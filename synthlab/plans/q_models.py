@@ -224,7 +224,7 @@ def q_sparse_recovery(spark, sf_dir):
     from synthlab.plans import fixtures as X
     from synthlab.plans.experiment import Dataset, results_frame, run_sparse, sparse_recovery
     ds = Dataset(X.embeddings_wide(spark, sf_dir), "vec_id", "target", "classification", "nomao_like", [f"f{i}" for i in range(64)])
-    rows = run_sparse(ds, 0.7, seed=42, generators=("bootstrap", "copula"), alphas=(0.3, 1.0), classifiers=("lr",), parallel=4)
+    rows = run_sparse(ds, 0.7, seed=42, generators=("bootstrap",), alphas=(0.3, 1.0), classifiers=("lr",), parallel=4)
     return sparse_recovery(results_frame(spark, rows))
 
 
