@@ -160,6 +160,11 @@ def imbalance_regime(pos_rate: Column) -> Column:
     return (F.when(pos_rate < 0.01, "extreme").when(pos_rate < 0.10, "moderate").otherwise("mild"))
 
 
+def interpolation_unstable(pos_rate: Column) -> Column:
+    """True below 1 %, where interpolation between a handful of minority neighbours is unstable."""
+    return F.coalesce(pos_rate < 0.01, F.lit(False))
+
+
 # ---- A6 / A7: cell fractions -----------------------------------------------------------------
 
 def cell_fractions(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -107,6 +107,31 @@ def recommend(pos_rate: Column) -> tuple[Column, Column]:
     return advice, alpha
 
 
+# fixed values: limits of the decision framework; the codes are ours
+LOW_RATE = 0.10
+SMALL_GROUP = 5_000
+VERY_SMALL = 200
+MANY_ROWS = 50_000
+BALANCED_RATE = 0.40
+
+
+def recommend_profile(goal: Column, pos_rate: Column, n: Column, n_min_group: Column, named_features: Column) -> Column:
+    """E12 on a whole profile: the goal, then the rate, the smallest group, and the size decide, in this order.
+
+    ``goal`` is "share", "uplift" or anything else (predict); ``named_features``: feature names carry a
+    meaning.  A NULL rate, size or flag never meets its condition."""
+    def met(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+    return (F.when(met(goal == "share"), "share_copies_and_test_privacy")
+            .when(met(pos_rate < LOW_RATE), "oversample_minority")
+            .when(met(n_min_group < VERY_SMALL) & met(named_features), "language_model_small_alpha")
+            .when(met(n_min_group < VERY_SMALL), "fit_statistical_generator")
+            .when(met(n_min_group < SMALL_GROUP), "fit_generator_and_grow_2x_to_5x")
+            .when(met(goal == "uplift"), "known_process_only")
+            .when(met(n > MANY_ROWS) & met(pos_rate.between(BALANCED_RATE, 1 - BALANCED_RATE)), "real_rows_suffice")
+            .otherwise("sweep_alpha_0.1_to_0.5"))
+
+
 # fixed values: deploy if >= 2 AUC points or >= 5 % MAPE reduction
 MIN_AUC_GAIN = 0.02
 MIN_MAPE_REDUCTION = 0.05

@@ -1,4 +1,4 @@
-"""Registered queries: the dataset loaders (L2 L3 L5-L8) as pipelines over raw stand-in files.
+"""Registered queries: the dataset loaders (L2 L3 L5-L8; L1 is in q_prep, L4 in q_prep) as pipelines over raw stand-in files.
 
 Each query writes a raw file derived from a test table (the reference's downloads are unreachable)
 into a fresh folder under the shared checkpoint folder and prepares it with the loader pipeline.
@@ -53,17 +53,19 @@ def q_bank(spark, sf_dir):
 
 @register("german_prepare", """
 SELECT p_partkey AS f0, CAST(p_size AS BIGINT) AS f1, round(p_retailprice, 6) AS f2,
+       CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS f3,
        CAST((CASE WHEN p_size > 40 THEN 2 ELSE 1 END) = 2 AS INTEGER) AS target FROM part""")
 def q_german(spark, sf_dir):
-    p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint"), "p_retailprice",
+    p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint"), "p_retailprice", "p_type",
                                           F.when(F.col("p_size") > 40, 2).otherwise(1).alias("t"))
     path = FS.scratch_path(spark, "german")
     p.write.option("header", False).option("sep", " ").csv(path)
-    names = FS.generated_names(3)                                          # S3: f0..f2, target
+    names = FS.generated_names(4)                                          # S3: f0..f3, target
     df = FS.read_delimited(spark, path, header=False, sep=" ", names=names,
-                           schema="a BIGINT, b BIGINT, c DOUBLE, d STRING")
+                           schema="a BIGINT, b BIGINT, c DOUBLE, d STRING, e STRING")
     df = df.withColumn("target", P.target_equals(F.col("target"), "2"))    # P7
-    return df.select("f0", "f1", r6("f2").alias("f2"), "target")
+    df = P.label_encode(df, P.string_columns(df))                          # P15 + P10
+    return df.select("f0", "f1", r6("f2").alias("f2"), "f3", "target")
 
 
 # ---- L5 nomao: target by name, minority class -> 1, strings encoded ---------------------------------------
@@ -78,7 +80,8 @@ def q_nomao(spark, sf_dir):
     s = load(spark, sf_dir, "supplier")
     n = load(spark, sf_dir, "nation")
     raw = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "s_name", "s_acctbal", F.col("n_regionkey").alias("label"))
-    df = P.rename_target(raw, NOMAO_TARGET_CANDIDATES, to="_label")       # P2
+    df = FS.read_delimited(spark, FS.raw_file(raw, "nomao"), schema="s_suppkey BIGINT, s_name STRING, s_acctbal DOUBLE, label INT")   # S1
+    df = P.rename_target(df, NOMAO_TARGET_CANDIDATES, to="_label")       # P2
     df = P.minority_to_one(df, "_label").drop("_label")                   # P9
     df = P.label_encode(df, P.string_columns(df))                         # P10
     return df.select("s_suppkey", "s_name", r6("s_acctbal").alias("s_acctbal"), "target")
@@ -150,7 +153,8 @@ def q_kdd(spark, sf_dir):
                    F.when(hash_uniform(["c_custkey"], "n1") < 0.2, F.lit(None)).otherwise(F.col("c_acctbal")).alias("bal"),
                    F.when(hash_uniform(["c_custkey"], "n2") < 0.1, F.lit(None)).otherwise(F.col("c_mktsegment")).alias("seg"),
                    F.when(F.col("c_acctbal") > 8000, " 1").otherwise("-1").alias("appetency"))
-    df = P.rename_target(raw, ["appetency"])                               # P2
+    df = FS.read_delimited(spark, FS.raw_file(raw, "kdd", sep="\t"), sep="\t", schema="c_custkey BIGINT, bal DOUBLE, seg STRING, appetency STRING")
+    df = P.rename_target(df, ["appetency"])                               # P2
     df = df.withColumn("target", P.target_equals(F.col("target"), "1"))    # P7
     mf = P.cell_fractions(df, ["bal", "seg"]).select("missing_frac")       # A6
     df = P.label_encode(df, ["seg"])                                       # P10 (NULL -> 'nan')

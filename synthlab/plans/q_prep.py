@@ -7,6 +7,7 @@ from synthlab.functions.exprs import r6
 from synthlab.functions.keys import hash_uniform, sql_hash_uniform
 from synthlab.operators import prep
 from synthlab.plans.registry import register
+from synthlab.sources.files import raw_file, read_delimited
 from synthlab.sources.tables import load
 
 # ---- clv_rollup (L4: A1 A2 P16 P17 P18 P19) -------------------------------------------------
@@ -153,7 +154,9 @@ FROM k
 
 @register("telco_prepare", SQL_TELCO)
 def q_telco(spark, sf_dir):
-    raw = _telco_raw(spark, sf_dir)
+    path = raw_file(_telco_raw(spark, sf_dir), "telco")
+    raw = read_delimited(spark, path, schema=("customer_id BIGINT, contract STRING, region_code BIGINT, tenure BIGINT, "
+                                              "monthly_charges DOUBLE, total_charges STRING, churn STRING"))     # S1
     t = prep.coerce_numeric(raw, ["total_charges"]).dropna()
     t = t.withColumn("target", prep.target_equals(F.col("churn"), "Yes")).drop("churn")
     t = prep.label_encode(t, ["contract"])

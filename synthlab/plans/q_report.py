@@ -377,15 +377,45 @@ _ADV, _RNG = _sql_recommend("pos_rate")
 @register("recommend", f"""WITH p AS (SELECT event_type AS profile, avg(CAST(value > 150.0::DOUBLE AS DOUBLE)) AS pos_rate,
                                  CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type)
 SELECT profile, round(pos_rate, 6) AS pos_rate, n, {_ADV} AS advice, {_RNG} AS alpha_range,
-       CASE WHEN pos_rate < 0.01 THEN 'extreme' WHEN pos_rate < 0.10 THEN 'moderate' ELSE 'mild' END AS regime FROM p""")
+       CASE WHEN pos_rate < 0.01 THEN 'extreme' WHEN pos_rate < 0.10 THEN 'moderate' ELSE 'mild' END AS regime,
+       pos_rate < 0.01 AS unstable FROM p""")
 def q_recommend(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     p = ev.groupBy(F.col("event_type").alias("profile")).agg(
         F.avg((F.col("value") > 150.0).cast("double")).alias("pos_rate"), F.count(F.lit(1)).cast("long").alias("n"))
     adv, rng = RP.recommend(F.col("pos_rate"))
-    from synthlab.operators.prep import imbalance_regime
+    from synthlab.operators.prep import imbalance_regime, interpolation_unstable
     return p.select("profile", r6("pos_rate").alias("pos_rate"), "n", adv.alias("advice"), rng.alias("alpha_range"),
-                    imbalance_regime(F.col("pos_rate")).alias("regime"))
+                    imbalance_regime(F.col("pos_rate")).alias("regime"), interpolation_unstable(F.col("pos_rate")).alias("unstable"))
+
+
+# profiles: part type x goal; the groups of a profile are its quantities, the target is a price limit that differs by goal
+SQL_PROFILES = """
+WITH p AS (SELECT p_type, l_quantity, l_extendedprice FROM lineitem JOIN part ON p_partkey = l_partkey),
+c AS (SELECT p_type, goal, l_quantity, count(*) AS n, count(*) FILTER (WHERE l_extendedprice > lim) AS pos
+      FROM p CROSS JOIN (VALUES ('share', 40000), ('uplift', 30000), ('predict', 60000), ('predict low', 90000)) g(goal, lim) GROUP BY ALL),
+s AS (SELECT p_type, goal, sum(n) AS n, min(n) AS n_min_group, sum(pos) / sum(n)::DOUBLE AS pos_rate FROM c GROUP BY ALL)
+SELECT p_type, goal, CAST(n AS BIGINT) AS n, CAST(n_min_group AS BIGINT) AS n_min_group, round(pos_rate, 6) AS pos_rate,
+       CASE WHEN goal = 'share' THEN 'share_copies_and_test_privacy' WHEN pos_rate < 0.1::DOUBLE THEN 'oversample_minority'
+            WHEN n_min_group < 200 THEN CASE WHEN p_type LIKE 'S%' THEN 'language_model_small_alpha' ELSE 'fit_statistical_generator' END
+            WHEN n_min_group < 5000 THEN 'fit_generator_and_grow_2x_to_5x' WHEN goal = 'uplift' THEN 'known_process_only'
+            WHEN n > 50000 AND pos_rate >= 0.4::DOUBLE AND pos_rate <= 0.6::DOUBLE THEN 'real_rows_suffice'
+            ELSE 'sweep_alpha_0.1_to_0.5' END AS advice FROM s"""
+
+
+@register("recommend_profile", SQL_PROFILES)
+def q_recommend_profile(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_type")
+    limits = {"share": 40000, "uplift": 30000, "predict": 60000, "predict low": 90000}
+    counts = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type", "l_quantity").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("l_extendedprice") > v).alias(g) for g, v in limits.items()])
+    per_type = counts.groupBy("p_type").agg(F.sum("n").alias("n"), F.min("n").alias("n_min_group"), *[F.sum(F.col(f"`{g}`")).alias(g) for g in limits])
+    long = per_type.select("p_type", "n", "n_min_group", F.explode(F.create_map(
+        *[x for g in limits for x in (F.lit(g), F.col(f"`{g}`"))])).alias("goal", "pos")).withColumn("pos_rate", F.col("pos") / F.col("n"))
+    return long.select("p_type", "goal", "n", "n_min_group", r6("pos_rate").alias("pos_rate"),
+                       RP.recommend_profile(F.col("goal"), F.col("pos_rate"), F.col("n"), F.col("n_min_group"),
+                                            F.col("p_type").startswith("S")).alias("advice"))
 
 
 @register("gain_to_cost", f"""WITH {SQL_AM}, {SQL_BM}, {SQL_BEST}

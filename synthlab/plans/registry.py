@@ -21,6 +21,6 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # importing the modules registers their queries
     from synthlab.plans import (  # noqa: F401
-        q_prep, q_sampling, q_stats, q_report, q_generate, q_fidelity, q_models, q_sources, q_loaders, q_wide,
+        q_prep, q_sampling, q_stats, q_report, q_generate, q_fidelity, q_models, q_sources, q_loaders, q_wide, loaders,
     )
     return REGISTRY

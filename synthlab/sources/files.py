@@ -25,6 +25,14 @@ def read_delimited(spark: SparkSession, path: str, schema: str | None = None, he
     return df
 
 
+def raw_file(df: DataFrame, name: str, sep: str = ",", header: bool = True) -> str:
+    """``df`` written as delimited text, blanks of values kept; returns the fresh folder."""
+    path = scratch_path(df.sparkSession, name)
+    (df.write.option("header", header).option("sep", sep).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
 def generated_names(n_features: int, target: str = "target") -> list[str]:
     """S3: f0..f{n-1}, target."""
     return [f"f{i}" for i in range(n_features)] + [target]
