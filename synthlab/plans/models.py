@@ -22,6 +22,15 @@ MLP_HIDDEN, MLP_ITER = (64, 32), 200
 
 CLASSIFIERS = ("gbc", "lr", "rf", "mlp")
 
+#: training rows of one task; MLlib keeps a task's rows in memory and every task sends statistics of every tree node
+ROWS_PER_TASK = 1 << 16
+
+
+def dealt(train: DataFrame, rows: int) -> DataFrame:
+    """``train`` (``rows`` rows) in equal parts of at most ``ROWS_PER_TASK`` rows, however its files are
+    cut: no task of a fit grows with the input, and a small table is not spread over many tasks."""
+    return train.repartition(max(1, -(-rows // ROWS_PER_TASK)))
+
 
 def classifier(name: str, features: Sequence[str], label: str, seed: int = 42, n_train: int | None = None,
                weight_col: str | None = None) -> Pipeline:
@@ -60,9 +69,10 @@ def regressor(features: Sequence[str], label: str, seed: int = 42) -> Pipeline:
 def fit_score(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, name: str = "gbc",
               seed: int = 42, weight_col: str | None = None) -> DataFrame:
     """Fit on ``train`` and return ``test`` with ``score`` = P(class 1)."""
-    tr = train.withColumn(label, F.col(label).cast("double"))
-    model = classifier(name, features, label, seed, n_train=None if name != "lr" else tr.count(),
-                       weight_col=weight_col).fit(tr)
+    n = train.count()
+    used = [*features, label] + ([weight_col] if weight_col else [])
+    tr = dealt(train.select(*used).withColumn(label, F.col(label).cast("double")), n)
+    model = classifier(name, features, label, seed, n_train=n, weight_col=weight_col).fit(tr)
     pred = model.transform(test.withColumn(label, F.col(label).cast("double")))
     return pred.withColumn("score", vector_to_array("probability")[1]).withColumn(label, F.col(label).cast("int"))
 
@@ -75,5 +85,5 @@ def classification_metrics(scored: DataFrame, label: str, by: Sequence[str] = ()
 
 
 def fit_score_regression(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, seed: int = 42) -> DataFrame:
-    model = regressor(features, label, seed).fit(train)
+    model = regressor(features, label, seed).fit(dealt(train.select(*features, label), train.count()))
     return model.transform(test).withColumnRenamed("prediction", "yhat")
