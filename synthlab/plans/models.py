@@ -32,9 +32,9 @@ def dealt(train: DataFrame, rows: int) -> DataFrame:
     return train.repartition(max(1, -(-rows // ROWS_PER_TASK)))
 
 
-def classifier(name: str, features: Sequence[str], label: str, seed: int = 42, n_train: int | None = None,
+def classifier(name: str, features: Sequence[str], label: str, seed: int = 42, n_train: float | None = None,
                weight_col: str | None = None) -> Pipeline:
-    """M6: pipeline by name; unknown names raise."""
+    """M6: pipeline by name; unknown names raise.  ``n_train`` is the number of training rows, or their total weight."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
     if name == "gbc":
         est = GBTClassifier(featuresCol="_raw", labelCol=label, maxIter=GBT_TREES, maxDepth=GBT_DEPTH,
@@ -43,15 +43,21 @@ def classifier(name: str, features: Sequence[str], label: str, seed: int = 42, n
             est.setWeightCol(weight_col)
         return Pipeline(stages=[assemble, est])
     if name == "lr":
-        # L2 with C = 1 in a per-sample-mean loss is regParam = 1 / n
+        # L2 with C = 1 in a per-sample-mean loss is regParam = 1 / n; the mean is one by weight
         reg = 1.0 / max(n_train or 1, 1)
         scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)
         est = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=LR_ITER, regParam=reg, elasticNetParam=0.0)
+        if weight_col:      # the penalty is on the columns as scaled above, not scaled again by weight
+            est.setWeightCol(weight_col).setStandardization(False)
         return Pipeline(stages=[assemble, scale, est])
     if name == "rf":
         est = RandomForestClassifier(featuresCol="_raw", labelCol=label, numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=seed)
+        if weight_col:
+            est.setWeightCol(weight_col)
         return Pipeline(stages=[assemble, est])
     if name == "mlp":
+        if weight_col:
+            raise ValueError("mlp takes no weights")
         scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)
         est = MultilayerPerceptronClassifier(featuresCol="_x", labelCol=label,
                                              layers=[len(features), *MLP_HIDDEN, 2], maxIter=MLP_ITER, seed=seed)
@@ -69,10 +75,10 @@ def regressor(features: Sequence[str], label: str, seed: int = 42) -> Pipeline:
 def fit_score(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, name: str = "gbc",
               seed: int = 42, weight_col: str | None = None) -> DataFrame:
     """Fit on ``train`` and return ``test`` with ``score`` = P(class 1)."""
-    n = train.count()
+    n, total = train.agg(F.count(F.lit(1)), F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()
     used = [*features, label] + ([weight_col] if weight_col else [])
     tr = dealt(train.select(*used).withColumn(label, F.col(label).cast("double")), n)
-    model = classifier(name, features, label, seed, n_train=n, weight_col=weight_col).fit(tr)
+    model = classifier(name, features, label, seed, n_train=total, weight_col=weight_col).fit(tr)
     pred = model.transform(test.withColumn(label, F.col(label).cast("double")))
     return pred.withColumn("score", vector_to_array("probability")[1]).withColumn(label, F.col(label).cast("int"))
 
