@@ -247,16 +247,16 @@ def run_small_n(ds: Dataset, ns: Sequence[int], seeds: Sequence[int], holdout_n:
     return [row for rows in drawn for row in rows]
 
 
-def run_balanced(ds: Dataset, seed: int = 42, classifier: str = "gbc") -> list[tuple]:
+def run_balanced(ds: Dataset, seed: int = 42, classifier: str = "gbc", parallel: int = 1) -> list[tuple]:
     """Baseline vs class-weighted (n / (k * n_class)) fit on the same split."""
     train, test = split(ds, seed)
     n = train.count()
     w = balanced_weights(train, ds.target)
-    return [
-        _cell(lambda: _evaluate(train, test, ds, classifier, seed), ds, n, seed, "baseline", "real_only", None, classifier),
-        _cell(lambda: _evaluate(w, test, ds, classifier, seed, weight_col="weight"), ds, n, seed, "class_weighted",
-              "real_only", None, classifier),
-    ]
+    return side_by_side(ds.df.sparkSession, [
+        lambda: _cell(lambda: _evaluate(train, test, ds, classifier, seed), ds, n, seed, "baseline", "real_only", None, classifier),
+        lambda: _cell(lambda: _evaluate(w, test, ds, classifier, seed, weight_col="weight"), ds, n, seed, "class_weighted",
+                      "real_only", None, classifier),
+    ], parallel)
 
 
 def run_low_data(ds: Dataset, sizes: Sequence[int], seed: int = 42, generators=("smote", "bootstrap"),

@@ -266,8 +266,11 @@ def q_small_n_sweep(spark, sf_dir):
 def q_balanced(spark, sf_dir):
     """Class-weighted vs plain fits on the rare-target stand-in, GBT and logistic regression."""
     from synthlab.plans.experiment import results_frame, run_balanced
+    from synthlab.plans.journal import side_by_side
     ds = _events_ds(spark, sf_dir)
-    return results_frame(spark, run_balanced(ds, seed=42) + run_balanced(ds, seed=123, classifier="lr"))
+    runs = side_by_side(spark, [lambda: run_balanced(ds, seed=42, parallel=2),
+                                lambda: run_balanced(ds, seed=123, classifier="lr", parallel=2)], 2)
+    return results_frame(spark, [row for rows in runs for row in rows])
 
 
 @register_run("sparse_stress", " UNION ALL ".join([
