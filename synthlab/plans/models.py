@@ -123,7 +123,7 @@ def _scored(model, test: DataFrame, label: str) -> DataFrame:
 def fit_score(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, name: str = "gbc",
               seed: int = 42, weight_col: str | None = None) -> DataFrame:
     """Fit on ``train`` and return ``test`` with ``score`` = P(class 1)."""
-    if name == "gbc":
+    if name in ("gbc", "rf"):
         scored = _fit_score_bins(train, test, features, label, name, seed, weight_col)
         if scored is not None:
             return scored
