@@ -95,8 +95,14 @@ SPLIT_ROWS_ROOT = 1 << 10
 def _fit_score_bins(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, name: str, seed: int,
                     weight_col: str | None) -> DataFrame | None:
     """Tree fits on rows added up by bins and label: what a tree sees of them, however many rows there are.  None where a
-    forest has too many different rows for a task."""
+    forest has too many different rows for a task, and for rows that are not of two classes with finite features: MLlib
+    refuses those, or has more classes."""
     train = materialise(train.select(*features, label, *([weight_col] if weight_col else [])), "train")
+    usual = F.col(label).isin(0, 1)
+    for c in features:
+        usual = usual & (F.abs(F.col(c).cast("double")) < float("inf"))         # NaN is above all
+    if not train.filter(~F.coalesce(usual, F.lit(False))).isEmpty():
+        return None
     cuts = T.cut_points(train, features, weight_col)
     if name == "rf":
         kept = train.select(T.packed(features, cuts).alias("_x"), F.col(label).cast("double").alias(label),
